@@ -12,15 +12,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 PRIME = 2**31 - 1
 BASES = (911382323, 972663749, 1597334677, 2013265921)
-LANES = range(len(BASES))
 BLOCK = 2048  # 2**11 products below 2**52 each: their sum fits in 64 bits
 
 HASH_TYPE = T.StructType(
-    [T.StructField(f"{part}{k}", T.LongType()) for part in "hw" for k in LANES]
+    [T.StructField("h", T.ArrayType(T.LongType())), T.StructField("w", T.ArrayType(T.LongType()))]
 )
 
 
@@ -32,10 +31,10 @@ def _powers() -> np.ndarray:
 
 
 def _text_hasher():
-    """``[h0..h3, w0..w3]`` of one text, as a closure that travels to the executors."""
+    """Function text -> (h, w), as a closure that travels to the executors."""
     powers, bases, prime, block_size = _powers(), BASES, PRIME, BLOCK
 
-    def hash_text(text: str) -> list[int]:
+    def hash_text(text: str) -> tuple[list[int], list[int]]:
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         codes = codes.astype(np.uint64) + np.uint64(1)
         h = [0] * len(bases)
@@ -44,17 +43,17 @@ def _text_hasher():
             part = block @ powers[: len(block)]
             step = powers[len(block)]
             h = [(int(p) + int(s) * x) % prime for p, s, x in zip(part, step, h)]
-        return h + [pow(b, len(codes), prime) for b in bases]
+        return h, [pow(b, len(codes), prime) for b in bases]
 
     return hash_text
 
 
 def _hash_column():
-    hash_one, names = _text_hasher(), HASH_TYPE.names
+    hash_one = _text_hasher()
 
     @F.pandas_udf(HASH_TYPE)
     def hash_texts(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([hash_one(t) for t in text], columns=names)
+        return pd.DataFrame([hash_one(t) for t in text], columns=["h", "w"])
 
     return hash_texts
 
@@ -67,58 +66,56 @@ def hashed(text: Column) -> Column:
     return _hash_udf(text)
 
 
-def hash_literal(text: str) -> Column:
-    """Fingerprint of a fixed text, worked out once."""
-    return F.struct(
-        *[F.lit(v).cast("bigint").alias(n) for n, v in zip(HASH_TYPE.names, hash_text(text))]
-    )
-
-
-def element(chars: Column, hashes: Column) -> Column:
-    """A piece of text: its length in characters and its fingerprint."""
-    return F.struct(
-        chars.cast("bigint").alias("n"), *[hashes[name].alias(name) for name in HASH_TYPE.names]
-    )
+# A piece of text is (visible, n, h, w): whether it holds more than white space,
+# its length in characters, and its fingerprint.  The expressions are SQL text:
+# one call builds them, where nested lambdas of Columns take hundreds.
 
 
-def nothing() -> Column:
-    return element(F.lit(0), hash_literal(""))
+def _literal(text: str) -> tuple[str, str]:
+    return tuple(f"array({', '.join(f'{v}L' for v in values)})" for values in hash_text(text))
 
 
-def join(a: Column, b: Column) -> Column:
-    """Fingerprint of two pieces put one after the other."""
-    h = [((a[f"h{k}"] + a[f"w{k}"] * b[f"h{k}"]) % PRIME).alias(f"h{k}") for k in LANES]
-    w = [(a[f"w{k}"] * b[f"w{k}"] % PRIME).alias(f"w{k}") for k in LANES]
-    return F.struct((a["n"] + b["n"]).alias("n"), *h, *w)
+def separator() -> str:
+    h, w = _literal(" ")
+    return f"named_struct('visible', false, 'n', 1L, 'h', {h}, 'w', {w})"
 
 
-def key(piece: Column) -> Column:
-    """Grouping key: equal texts have equal keys."""
-    return F.struct(*[piece[name].alias(name) for name in HASH_TYPE.names])
-
-
-# A run of messages as (lead, core, trail): the white space and separators before
-# the first and after the last visible character, and what lies between.  Blank
-# runs keep everything in ``lead``.
+def piece(visible: str, text: str, hashes: str) -> str:
+    return (
+        f"named_struct('visible', {visible}, 'n', cast(length({text}) as bigint), "
+        f"'h', {hashes}.h, 'w', {hashes}.w)"
+    )
 
 
-def run(blank: Column, lead: Column, core: Column, trail: Column) -> Column:
-    return F.struct(
-        blank.alias("blank"), lead.alias("lead"), core.alias("core"), trail.alias("trail")
+def joined(pieces: str, visible: str) -> str:
+    """All pieces of an array, one after the other, as a single piece."""
+    h, w = _literal("")
+    step = (
+        "named_struct('n', a.n + p.n, "
+        f"'h', zip_with(a.h, zip_with(a.w, p.h, (w, h) -> w * h), (x, y) -> (x + y) % {PRIME}L), "
+        f"'w', zip_with(a.w, p.w, (x, y) -> x * y % {PRIME}L))"
+    )
+    return (
+        f"aggregate({pieces}, named_struct('n', 0L, 'h', {h}, 'w', {w}), (a, p) -> {step}, "
+        f"a -> named_struct('visible', {visible}, 'n', a.n, 'h', a.h, 'w', a.w))"
     )
 
 
-def empty_run() -> Column:
-    return run(F.lit(True), nothing(), nothing(), nothing())
+def compress(df: DataFrame, name: str = "pieces") -> DataFrame:
+    """Shorten the array ``name`` to white space, visible core, white space."""
+    marked = df.withColumn("marks", F.expr(f"transform({name}, p -> p.visible)")).withColumns(
+        {
+            "first": F.expr("cast(array_position(marks, true) as int)"),
+            "last": F.expr("cast(size(marks) + 1 - array_position(reverse(marks), true) as int)"),
+        }
+    )
+    before = joined(f"slice({name}, 1, first - 1)", "false")
+    core = joined(f"slice({name}, first, last - first + 1)", "true")
+    after = joined(f"slice({name}, last + 1, size({name}))", "false")
+    short = f"if(first = 0, array({joined(name, 'false')}), array({before}, {core}, {after}))"
+    return marked.withColumn(name, F.expr(short)).drop("marks", "first", "last")
 
 
-def join_runs(a: Column, b: Column) -> Column:
-    """Two neighbouring runs as one; only the outer white space stays outside."""
-    between = join(a["trail"], b["lead"])
-    return (
-        F.when(a["blank"], run(b["blank"], join(a["lead"], b["lead"]), b["core"], b["trail"]))
-        .when(b["blank"], run(a["blank"], a["lead"], a["core"], between))
-        .otherwise(
-            run(F.lit(False), a["lead"], join(join(a["core"], between), b["core"]), b["trail"])
-        )
-    )
+def core(pieces: str = "pieces") -> Column:
+    """The visible part of a compressed array; an empty piece if there is none."""
+    return F.expr(joined(f"filter({pieces}, p -> p.visible)", "true"))

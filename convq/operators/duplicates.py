@@ -31,40 +31,29 @@ def _pieces(profile: Profile) -> tuple[Column, Column, Column]:
 
 
 def message_fingerprints(messages: DataFrame, profile: Profile = OPTIMIZED) -> DataFrame:
-    """(conversation_id, sent_at, message_id, run): the text's fingerprint, no text."""
-    lead, core, trail = _pieces(profile)
-    rows = messages.select(
+    """(conversation_id, sent_at, message_id, pieces): fingerprints, no text."""
+    names = ["lead", "core", "trail"]
+    cut = messages.select(
         "conversation_id",
         "sent_at",
         "message_id",
-        lead.alias("lead"),
-        core.alias("core"),
-        trail.alias("trail"),
+        *[part.alias(name) for part, name in zip(_pieces(profile), names)],
     )
-
-    def piece(name: str) -> Column:
-        return fp.element(F.length(name), fp.hashed(F.lower(F.col(name))))
-
+    hashed = names if profile.classic else ["core"]
+    rows = cut.withColumns({f"{name}_hash": fp.hashed(F.lower(F.col(name))) for name in hashed})
+    core = fp.piece("core <> ''", "core", "core_hash")
     if profile.classic:
-        outer = {"lead": piece("lead"), "trail": piece("trail")}
+        lead = fp.piece("false", "lead", "lead_hash")
+        pieces = f"array({lead}, {core}, {fp.piece('false', 'trail', 'trail_hash')})"
     else:
-        outer = {
-            "lead": fp.element(F.lit(1), fp.hash_literal(" ")),
-            "trail": fp.nothing(),
-        }
-    return rows.select(
-        "conversation_id",
-        "sent_at",
-        "message_id",
-        fp.run(F.col("core") == "", outer["lead"], piece("core"), outer["trail"]).alias("run"),
-    )
+        pieces = f"array({fp.separator()}, {core})"
+    return rows.select("conversation_id", "sent_at", "message_id", F.expr(pieces).alias("pieces"))
 
 
 def _fold(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    in_order = F.array_sort(F.collect_list(F.struct(*order, "run")))
-    return rows.groupBy(*keys).agg(
-        F.aggregate(in_order["run"], fp.empty_run(), fp.join_runs).alias("run")
-    )
+    in_order = f"array_sort(collect_list(struct({', '.join(order)}, pieces)))"
+    collected = rows.groupBy(*keys).agg(F.expr(f"flatten({in_order}.pieces)").alias("pieces"))
+    return fp.compress(collected)
 
 
 def conversation_fingerprints(fingerprints: DataFrame) -> DataFrame:
@@ -97,7 +86,7 @@ def occurrences(
         F.lit(WHOLE).alias("kind"),
         F.lit(None).cast("timestamp").alias("sent_at"),
         F.lit(None).cast("bigint").alias("message_id"),
-        "run",
+        fp.core().alias("core"),
     )
     rows = whole
     if scope == "shared":
@@ -105,12 +94,22 @@ def occurrences(
         if checked_ids is not None:
             messages = messages.join(checked_ids, "conversation_id", "left_semi")
         rows = whole.unionByName(
-            messages.select("conversation_id", F.lit(MESSAGE).alias("kind"), "sent_at", "message_id", "run")
+            messages.select(
+                "conversation_id",
+                F.lit(MESSAGE).alias("kind"),
+                "sent_at",
+                "message_id",
+                fp.core().alias("core"),
+            )
         )
     if not profile.classic:
-        rows = rows.filter(~F.col("run.blank"))
+        rows = rows.filter(F.col("core.n") > 0)
     return rows.select(
-        "conversation_id", "kind", "sent_at", "message_id", fp.key(F.col("run.core")).alias("text_key")
+        "conversation_id",
+        "kind",
+        "sent_at",
+        "message_id",
+        F.struct("core.h", "core.w").alias("text_key"),
     )
 
 

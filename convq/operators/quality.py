@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from convq import schema as s
+from convq.functions import fingerprint as fp
 from convq.functions import rules
 from convq.functions import text as tx
 from convq.functions.rules import OPTIMIZED, Profile
@@ -135,7 +136,7 @@ def conversation_flags(
     if profile.classic:
         joined = dup.conversation_fingerprints(dup.message_fingerprints(messages, profile))
         rows = rows.join(
-            joined.select("conversation_id", F.col("run.core.n").alias("joined_chars")),
+            joined.select("conversation_id", fp.core()["n"].alias("joined_chars")),
             "conversation_id",
         )
     if dedup_scope is None:
