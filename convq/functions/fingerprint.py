@@ -117,5 +117,7 @@ def compress(df: DataFrame, name: str = "pieces") -> DataFrame:
 
 
 def core(pieces: str = "pieces") -> Column:
-    """The visible part of a compressed array; an empty piece if there is none."""
-    return F.expr(joined(f"filter({pieces}, p -> p.visible)", "true"))
+    """The visible part, of which a message or compressed array has one at most."""
+    h, w = _literal("")
+    nothing = f"named_struct('visible', true, 'n', 0L, 'h', {h}, 'w', {w})"
+    return F.expr(f"coalesce(get(filter({pieces}, p -> p.visible), 0), {nothing})")

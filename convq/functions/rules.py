@@ -119,7 +119,9 @@ def is_spam(t: Column, profile: Profile = OPTIMIZED) -> Column:
         both = t.rlike(_bounded(PROMO)) & t.rlike(_bounded(PRICE + PROMO_EXTRA))
         lower = F.lower(t)
         return (lower.contains("free") & lower.contains("click")) | both
-    return t.rlike(_bounded(PROMO + PROMO_EXTRA)) & t.rlike(_bounded(PRICE))
+    # a price needs one of two signs: most texts end here
+    maybe_price = t.contains("$") | t.contains("%")
+    return maybe_price & t.rlike(_bounded(PRICE)) & t.rlike(_bounded(PROMO + PROMO_EXTRA))
 
 
 def is_non_conversational(t: Column, n_alpha: Column, profile: Profile = OPTIMIZED) -> Column:
@@ -151,13 +153,8 @@ def has_language_issues(c: dict[str, Column]) -> Column:
     return tx.ratio(c["n_ascii"], c["n_chars"]) < 0.8
 
 
-def with_char_stats(messages: DataFrame) -> DataFrame:
-    """Add the counts as columns; the rules below read them from there."""
-    return messages.withColumns(tx.char_counts(F.col("text")))
-
-
 def flag_columns(profile: Profile = OPTIMIZED) -> dict[str, Column]:
-    """The stateless flags over ``text`` and the columns of ``with_char_stats``."""
+    """The stateless flags over ``text`` and the columns of ``with_char_counts``."""
     t = F.col("text")
     c = {name: F.col(name) for name in COUNTS}
     return {
@@ -177,14 +174,14 @@ def flag_columns(profile: Profile = OPTIMIZED) -> dict[str, Column]:
 def with_message_flags(messages: DataFrame, profile: Profile = OPTIMIZED) -> DataFrame:
     """Messages plus the character counts and ten flags; a null text counts as empty."""
     known = messages.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
-    return with_char_stats(known).withColumns(flag_columns(profile))
+    return tx.with_char_counts(known).withColumns(flag_columns(profile))
 
 
 def char_stats(messages: DataFrame) -> DataFrame:
     """Counts and ratios per message over the whole text."""
     known = messages.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
     c = {name: F.col(name) for name in COUNTS}
-    return with_char_stats(known).select(
+    return tx.with_char_counts(known).select(
         "conversation_id",
         "message_id",
         *COUNTS,

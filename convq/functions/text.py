@@ -5,7 +5,7 @@ Everything stays inside Spark expressions: no function here leaves the JVM.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Characters for which Python's str.isspace() holds.
 WHITESPACE = "".join(
@@ -54,18 +54,31 @@ def words(text: Column) -> Column:
 
 
 def has_word_longer_than(text: Column, n: int) -> Column:
-    return text.rlike(f"(?U)[^{_WS}]{{{n + 1}}}")
-
-
-def char_counts(text: Column) -> dict[str, Column]:
-    """Character counts shared by the rules; keep them in one projection."""
-    return {
-        "n_chars": F.length(text),
-        "n_alpha": letters(text),
-        "n_ascii": remaining(text, r"[^\x00-\x7f]+"),
-        "n_vowel": F.length(text) - F.length(F.translate(text, "aeiouAEIOU", "")),
-        "n_text": remaining(text, rf"(?U)[^\p{{L}}{_WS}]+"),
+    """Some word has more than ``n`` characters.
+
+    The first test knows only the common white space.  It is cheap, and where it
+    finds no long run there is no long word.
+    """
+    return text.rlike(rf"(?:\A|[ \t\n\r])[^ \t\n\r]{{{n + 1}}}") & text.rlike(f"(?U)[^{_WS}]{{{n + 1}}}")
+
+
+def with_char_counts(df: DataFrame, name: str = "text") -> DataFrame:
+    """Add the character counts shared by the rules.
+
+    ASCII letters, most of a text, are taken out once; the classes that need
+    Unicode tables are counted on the rest.
+    """
+    text, rest, n = F.col(name), F.col("rest"), F.length(name)
+    counts = {
+        "n_chars": n,
+        "n_alpha": n - remaining(rest, r"\p{L}+"),
+        "n_ascii": F.when(F.octet_length(text) == n, n).otherwise(n - remaining(rest, r"[\x00-\x7f]+")),
+        "n_vowel": n - remaining(text, "[aeiouAEIOU]+"),
+        "n_text": n - remaining(rest, rf"(?U)[\p{{L}}{_WS}]+"),
     }
+    return (
+        df.withColumn("rest", F.regexp_replace(text, "[A-Za-z]+", "")).withColumns(counts).drop("rest")
+    )
 
 
 def ratio(part: Column, whole: Column) -> Column:

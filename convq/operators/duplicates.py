@@ -16,6 +16,7 @@ from convq.functions import text as tx
 from convq.functions.rules import OPTIMIZED, Profile
 
 WHOLE, MESSAGE = 0, 1
+PART = 65_536  # message ids per group of one conversation and instant
 
 
 def _pieces(profile: Profile) -> tuple[Column, Column, Column]:
@@ -50,28 +51,39 @@ def message_fingerprints(messages: DataFrame, profile: Profile = OPTIMIZED) -> D
     return rows.select("conversation_id", "sent_at", "message_id", F.expr(pieces).alias("pieces"))
 
 
+def instants(fingerprints: DataFrame) -> DataFrame:
+    """Messages of one conversation and instant, as ordered arrays of bounded size.
+
+    Both users of this table, whole texts and single messages, share one shuffle.
+    """
+    return (
+        fingerprints.withColumn("minute", F.date_trunc("minute", "sent_at"))
+        .withColumn("part", F.floor(F.col("message_id") / PART))
+        .groupBy("conversation_id", "minute", "sent_at", "part")
+        .agg(F.array_sort(F.collect_list(F.struct("message_id", "pieces"))).alias("messages"))
+    )
+
+
 def _fold(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     in_order = f"array_sort(collect_list(struct({', '.join(order)}, pieces)))"
     collected = rows.groupBy(*keys).agg(F.expr(f"flatten({in_order}.pieces)").alias("pieces"))
     return fp.compress(collected)
 
 
-def conversation_fingerprints(fingerprints: DataFrame) -> DataFrame:
+def conversation_fingerprints(instants: DataFrame) -> DataFrame:
     """One fingerprint per conversation, joined in time order in three steps.
 
-    The steps bound what a task collects for a hot conversation: 4096 message ids
-    of one instant, then one minute, then all minutes of the conversation.
+    The steps bound what a task collects for a hot conversation: ``PART`` message
+    ids of one instant, then one minute, then all minutes of the conversation.
     """
-    step = fingerprints.withColumn("minute", F.date_trunc("minute", "sent_at")).withColumn(
-        "part", F.floor(F.col("message_id") / 4096)
-    )
-    step = _fold(step, ["conversation_id", "minute", "sent_at", "part"], ["message_id"])
+    step = instants.withColumn("pieces", F.expr("flatten(messages.pieces)")).drop("messages")
+    step = fp.compress(step)
     step = _fold(step, ["conversation_id", "minute"], ["sent_at", "part"])
     return _fold(step, ["conversation_id"], ["minute"])
 
 
 def occurrences(
-    fingerprints: DataFrame,
+    instants: DataFrame,
     profile: Profile = OPTIMIZED,
     checked_ids: DataFrame | None = None,
     scope: str = "shared",
@@ -81,19 +93,19 @@ def occurrences(
     ``checked_ids`` limits the messages to conversations whose messages are looked
     at.  The optimized profile leaves blank texts out.
     """
-    whole = conversation_fingerprints(fingerprints).select(
+    rows = conversation_fingerprints(instants).select(
         "conversation_id",
         F.lit(WHOLE).alias("kind"),
         F.lit(None).cast("timestamp").alias("sent_at"),
         F.lit(None).cast("bigint").alias("message_id"),
         fp.core().alias("core"),
     )
-    rows = whole
     if scope == "shared":
-        messages = fingerprints
+        groups = instants
         if checked_ids is not None:
-            messages = messages.join(checked_ids, "conversation_id", "left_semi")
-        rows = whole.unionByName(
+            groups = groups.join(checked_ids, "conversation_id", "left_semi")
+        messages = groups.select("conversation_id", "sent_at", F.inline("messages"))
+        rows = rows.unionByName(
             messages.select(
                 "conversation_id",
                 F.lit(MESSAGE).alias("kind"),
@@ -124,7 +136,7 @@ def original_conversations(
     Inside a conversation the whole text comes before the messages, so the
     smallest id per key is enough to tell.
     """
-    texts = occurrences(message_fingerprints(messages, profile), profile, checked_ids, scope)
+    texts = occurrences(instants(message_fingerprints(messages, profile)), profile, checked_ids, scope)
     first = F.min("conversation_id")
     first_whole = F.min(F.when(F.col("kind") == WHOLE, F.col("conversation_id")))
     return (
@@ -139,7 +151,7 @@ def first_occurrence(
     messages: DataFrame, profile: Profile = OPTIMIZED, checked_ids: DataFrame | None = None
 ) -> DataFrame:
     """Every conversation text and message text, and whether it was seen before."""
-    texts = occurrences(message_fingerprints(messages, profile), profile, checked_ids)
+    texts = occurrences(instants(message_fingerprints(messages, profile)), profile, checked_ids)
     place = F.struct("conversation_id", "kind", "sent_at", "message_id")
     firsts = texts.groupBy("text_key").agg(F.min(place).alias("first")).select("first.*")
     return _mark_repeats(texts.drop("text_key"), firsts, ["conversation_id", "kind", "message_id"])

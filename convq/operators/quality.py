@@ -134,7 +134,8 @@ def conversation_flags(
     """
     rows = conversation_counters(messages, profile)
     if profile.classic:
-        joined = dup.conversation_fingerprints(dup.message_fingerprints(messages, profile))
+        instants = dup.instants(dup.message_fingerprints(messages, profile))
+        joined = dup.conversation_fingerprints(instants)
         rows = rows.join(
             joined.select("conversation_id", fp.core()["n"].alias("joined_chars")),
             "conversation_id",

@@ -1,8 +1,8 @@
 """Conversations as one text.
 
-A transcript is one string, so it must fit into one cell.  ``transcript_*`` build
-those of at most ``max_chars`` characters; ``oversize_messages`` gives the rest,
-whole, as ordered messages.  There can be at most (all characters / max_chars)
+A transcript is one string, so it must fit into one cell.  The whole-conversation
+transcripts are those of at most ``max_chars`` characters; ``oversize_messages``
+gives the rest, whole, as ordered messages.  There can be at most (all characters / max_chars)
 oversize conversations, so their ids are a bounded broadcast, and the messages of
 a hot conversation leave the plan before any shuffle.
 """
@@ -35,24 +35,27 @@ def oversize_messages(messages: DataFrame, max_chars: int = MAX_CHARS) -> DataFr
     )
 
 
-def _joined(messages: DataFrame, piece: Column, separator: str, name: str, max_chars: int):
-    large = oversize_conversations(messages, max_chars)
+def _collected(messages: DataFrame, piece: Column, separator: str, name: str) -> DataFrame:
     in_order = F.array_sort(F.collect_list(F.struct(*ORDER, piece.alias("piece"))))
-    return (
-        messages.join(F.broadcast(large), "conversation_id", "left_anti")
-        .groupBy("conversation_id")
-        .agg(F.array_join(in_order["piece"], separator).alias(name))
+    return messages.groupBy("conversation_id").agg(
+        F.array_join(in_order["piece"], separator).alias(name)
     )
 
 
+def _whole(messages: DataFrame, piece: Column, max_chars: int) -> DataFrame:
+    large = oversize_conversations(messages, max_chars)
+    fitting = messages.join(F.broadcast(large), "conversation_id", "left_anti")
+    return _collected(fitting, piece, " ", "combined_text")
+
+
 def transcript_plain(messages: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return _joined(messages, text, " ", "combined_text", max_chars)
+    return _whole(messages, text, max_chars)
 
 
 def transcript_stripped(messages: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     text = tx.strip(F.coalesce(F.col("text"), F.lit("")))
-    return _joined(messages, text, " ", "combined_text", max_chars)
+    return _whole(messages, text, max_chars)
 
 
 def first_messages(messages: DataFrame, n: int = 15) -> DataFrame:
@@ -65,9 +68,9 @@ def first_messages(messages: DataFrame, n: int = 15) -> DataFrame:
     return messages.withColumn("position", rank).filter(F.col("position") <= n)
 
 
-def transcript_authored(messages: DataFrame, n: int = 15, max_chars: int = MAX_CHARS) -> DataFrame:
+def transcript_authored(messages: DataFrame, n: int = 15) -> DataFrame:
     """``author: text`` lines of the first messages; a null text reads as empty."""
     line = F.concat(
         F.coalesce(F.col("type"), F.lit("")), F.lit(": "), F.coalesce(F.col("text"), F.lit(""))
     )
-    return _joined(first_messages(messages, n), line, "\n", "full_conversation", max_chars)
+    return _collected(first_messages(messages, n), line, "\n", "full_conversation")

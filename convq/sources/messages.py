@@ -31,3 +31,16 @@ def message_view(source: DataFrame, columns: dict[str, str] | None = None) -> Da
             column = F.coalesce(column, F.lit(""))
         selected.append(column.alias(field))
     return source.select(*selected)
+
+
+def spread(source: DataFrame, *keys: str) -> DataFrame:
+    """Give every core a part of a small input that Spark would read in few tasks.
+
+    A file with one row group is one task, however long its texts.  Inputs with
+    enough partitions, that is all large ones, are left as they are.  ``keys``
+    should be unique, so that no part gets more than its share.
+    """
+    wanted = source.sparkSession.sparkContext.defaultParallelism
+    if source.rdd.getNumPartitions() >= wanted:
+        return source
+    return source.repartition(wanted, *keys)

@@ -41,6 +41,7 @@ def write_usable_ids(usable: DataFrame, path: str) -> None:
     """Text lists of ids, one folder per segment, and their summary as JSON."""
     (
         usable.select("length_category", "time_bucket", F.col("conversation_id").cast("string"))
+        .hint("rebalance", "length_category", "time_bucket")
         .write.mode("overwrite")
         .partitionBy("length_category", "time_bucket")
         .text(f"{path}/ids")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from convq.sources.messages import spread
+
 EPOCH = "2023-06-15 00:00:00"
 
 
@@ -16,8 +18,12 @@ def _side(number: Column) -> Column:
     return F.when(number % 2 == 0, "HUMAN_TO_AI").otherwise("AI_TO_HUMAN")
 
 
+KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    source = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(source, *KEYS[name]) if name in KEYS else source
 
 
 def conv_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -939,12 +939,12 @@ def _fenced_verdicts(spark, sf):
     """Verdicts as answers: plain, fenced, fenced with a language, cut off, not an object."""
     v = views.verdicts(spark, sf)
     body = F.to_json(F.struct(*[c for c in v.columns if c != "conversation_id"]))
-    kind = F.col("conversation_id") % 5
+    quality = F.col("quality")
     answer = (
-        F.when(kind == 0, body)
-        .when(kind == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
-        .when(kind == 2, F.concat(F.lit("\n ```"), body, F.lit("``` ")))
-        .when(kind == 3, F.substr(body, F.lit(1), F.length(body) - 1))
+        F.when(quality <= 3, body)
+        .when(quality <= 5, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+        .when(quality <= 7, F.concat(F.lit("\n ```"), body, F.lit("``` ")))
+        .when(quality <= 9, F.substr(body, F.lit(1), F.length(body) - 1))
         .otherwise(F.concat(F.lit("["), body, F.lit("]")))
     )
     return v.select("conversation_id", answer.alias("response"), F.lit(None).cast("string").alias("error"))
@@ -956,25 +956,25 @@ add(
     f"""select conversation_id, quality, null::varchar as topic, null::varchar as summary,
                null::varchar as classification_reasoning, contains_pii, contains_sensitive_content, is_safe,
                response_accuracy, null::boolean as ai_assistant_is_wrong, language
-        from ({duck.VERDICTS}) where conversation_id % 5 <= 2""",
+        from ({duck.VERDICTS}) where quality <= 7""",
 )
 add(
     "verdict_errors",
     lambda spark, sf: judge.split_verdicts(_fenced_verdicts(spark, sf))[1].select("conversation_id", "error"),
-    f"select conversation_id, 'not a JSON object' as error from ({duck.VERDICTS}) where conversation_id % 5 > 2",
+    f"select conversation_id, 'not a JSON object' as error from ({duck.VERDICTS}) where quality > 7",
 )
 
 
 def _stub_scorer():
-    """Deterministic stand-in for a judge: reads sizes out of the prompt, fails on some."""
+    """Deterministic stand-in for a judge: answers by length, refuses long conversations."""
     head, tail = len(judge.PROMPT_HEAD), len(judge.PROMPT_TAIL)
 
     def score(question: str) -> str:
         import json
 
         n = len(question) - head - tail
-        if n % 7 == 0:
-            raise RuntimeError("judge not reachable")
+        if n > 5000:
+            raise ValueError("conversation too long for this judge")
         verdict = {"quality": 1 + n % 10, "is_safe": n % 3 != 0, "language": "xx"}
         return "```json\n" + json.dumps(verdict) + "\n```"
 
@@ -994,7 +994,7 @@ add(
     with_sql(
         _transcripts_sql("doc"),
         f"""select conversation_id, cast(1 + n % 10 as int) as quality, n % 3 <> 0 as is_safe, 'xx' as language
-            from {READABLE} where n % 7 <> 0""",
+            from {READABLE} where n <= 5000""",
     ),
 )
 
@@ -1011,7 +1011,7 @@ add(
              order by {duck.order_hash(SEED, 'conversation_id')}, conversation_id limit 200),
         {_transcripts_sql('pairs')},
         v as (select 1 + n % 10 as quality, n % 3 <> 0 as is_safe
-              from {READABLE} semi join ids using (conversation_id) where n % 7 <> 0)
+              from {READABLE} semi join ids using (conversation_id) where n <= 5000)
         select count(*) as total_conversations, round(avg(quality), 6) as quality_mean,
                round(median(quality), 6) as quality_median, round(stddev_samp(quality), 6) as quality_std,
                count(*) filter (where is_safe) as safe_conversations, 0::bigint as contains_pii,
