@@ -69,7 +69,7 @@ def lowest_per_group(df: DataFrame, by: list[str], order: str, n: int) -> DataFr
         .join(F.broadcast(wanted), [*by, "prefix"], "left_semi")
         .withColumn("rank", rank)
         .filter(F.col("rank") <= n)
-        .drop("prefix", "rank")
+        .select(*df.columns)
     )
 
 
