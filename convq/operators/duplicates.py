@@ -31,24 +31,24 @@ def _pieces(profile: Profile) -> tuple[Column, Column, Column]:
     return lead, core, trail
 
 
-def message_fingerprints(messages: DataFrame, profile: Profile = OPTIMIZED) -> DataFrame:
-    """(conversation_id, sent_at, message_id, pieces): fingerprints, no text."""
+def with_pieces(messages: DataFrame, profile: Profile = OPTIMIZED) -> DataFrame:
+    """Messages plus ``pieces``, the fingerprints of their text."""
     names = ["lead", "core", "trail"]
-    cut = messages.select(
-        "conversation_id",
-        "sent_at",
-        "message_id",
-        *[part.alias(name) for part, name in zip(_pieces(profile), names)],
-    )
-    hashed = names if profile.classic else ["core"]
-    rows = cut.withColumns({f"{name}_hash": fp.hashed(F.lower(F.col(name))) for name in hashed})
+    cut = messages.withColumns(dict(zip(names, _pieces(profile))))
+    to_hash = names if profile.classic else ["core"]
+    hashes = {f"{name}_hash": fp.hashed(F.lower(F.col(name))) for name in to_hash}
     core = fp.piece("core <> ''", "core", "core_hash")
     if profile.classic:
         lead = fp.piece("false", "lead", "lead_hash")
         pieces = f"array({lead}, {core}, {fp.piece('false', 'trail', 'trail_hash')})"
     else:
         pieces = f"array({fp.separator()}, {core})"
-    return rows.select("conversation_id", "sent_at", "message_id", F.expr(pieces).alias("pieces"))
+    return cut.withColumns(hashes).withColumn("pieces", F.expr(pieces)).drop(*names, *hashes)
+
+
+def message_fingerprints(messages: DataFrame, profile: Profile = OPTIMIZED) -> DataFrame:
+    """(conversation_id, sent_at, message_id, pieces): fingerprints, no text."""
+    return with_pieces(messages, profile).select("conversation_id", "sent_at", "message_id", "pieces")
 
 
 def instants(fingerprints: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def occurrences(
 
 
 def original_conversations(
-    messages: DataFrame,
+    fingerprints: DataFrame,
     profile: Profile = OPTIMIZED,
     checked_ids: DataFrame | None = None,
     scope: str = "shared",
@@ -136,7 +136,7 @@ def original_conversations(
     Inside a conversation the whole text comes before the messages, so the
     smallest id per key is enough to tell.
     """
-    texts = occurrences(instants(message_fingerprints(messages, profile)), profile, checked_ids, scope)
+    texts = occurrences(instants(fingerprints), profile, checked_ids, scope)
     first = F.min("conversation_id")
     first_whole = F.min(F.when(F.col("kind") == WHOLE, F.col("conversation_id")))
     return (
@@ -148,10 +148,10 @@ def original_conversations(
 
 
 def first_occurrence(
-    messages: DataFrame, profile: Profile = OPTIMIZED, checked_ids: DataFrame | None = None
+    fingerprints: DataFrame, profile: Profile = OPTIMIZED, checked_ids: DataFrame | None = None
 ) -> DataFrame:
     """Every conversation text and message text, and whether it was seen before."""
-    texts = occurrences(instants(message_fingerprints(messages, profile)), profile, checked_ids)
+    texts = occurrences(instants(fingerprints), profile, checked_ids)
     place = F.struct("conversation_id", "kind", "sent_at", "message_id")
     firsts = texts.groupBy("text_key").agg(F.min(place).alias("first")).select("first.*")
     return _mark_repeats(texts.drop("text_key"), firsts, ["conversation_id", "kind", "message_id"])

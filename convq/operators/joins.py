@@ -9,12 +9,12 @@ from convq.operators import filters as f
 
 
 def fetch_by_ids(messages: DataFrame, ids: DataFrame) -> DataFrame:
-    """Messages of the given conversations.
+    """Messages of the given conversations; ids may repeat.
 
     Spark broadcasts the ids while they are below its size threshold and
     otherwise shuffles; runtime skew handling splits a hot conversation.
     """
-    return messages.join(ids.select("conversation_id").distinct(), "conversation_id", "left_semi")
+    return messages.join(ids.select("conversation_id"), "conversation_id", "left_semi")
 
 
 def sampled_messages(messages: DataFrame, sample: DataFrame) -> DataFrame:

@@ -59,20 +59,38 @@ def _count(flag: str) -> Column:
     return F.count_if(F.col(flag)).alias(flag)
 
 
-def conversation_counters(messages: DataFrame, profile: Profile = OPTIMIZED) -> DataFrame:
-    """Per conversation: messages, lengths, first time, messages per rule, repeats."""
-    counted = [*SHARES, *ANY]
-    stripped = F.length(tx.strip(F.col("text")))
+def message_features(messages: DataFrame, profile: Profile = OPTIMIZED) -> DataFrame:
+    """All that the conversation flags need to know of a message; its text is left behind.
+
+    Use it as it is, and every step computes just the columns it reads; or write
+    it, as ``plans.quality_run`` does, and the text is read once.
+    """
     normal = tx.normalise(F.col("text"))
-    per_message = rules.with_message_flags(messages, profile).select(
+    flagged = rules.with_message_flags(messages, profile).withColumns(
+        {
+            "n_stripped": F.length(tx.strip(F.col("text"))),
+            # short texts never count as repeats; they share one key
+            "text_key": F.when(
+                F.length(normal) > REPEAT_MIN_CHARS, F.unhex(F.sha2(normal, 256))
+            ),
+        }
+    )
+    return dup.with_pieces(flagged, profile).select(
         "conversation_id",
+        "message_id",
         "sent_at",
-        stripped.alias("n_stripped"),
-        # short texts never count as repeats; they share one key
-        F.when(F.length(normal) > REPEAT_MIN_CHARS, F.sha2(normal, 256)).alias("text_key"),
-        *counted,
+        "n_stripped",
+        "text_key",
+        *SHARES,
+        *ANY,
+        "pieces",
     )
-    per_text = per_message.groupBy("conversation_id", "text_key").agg(
+
+
+def conversation_counters(features: DataFrame) -> DataFrame:
+    """Per conversation: messages, lengths, first time, messages per rule, repeats."""
+    counted = [*SHARES, *ANY]
+    per_text = features.groupBy("conversation_id", "text_key").agg(
         F.count("*").alias("n_messages"),
         F.sum("n_stripped").alias("n_stripped"),
         F.count_if(F.col("n_stripped") >= MEANINGFUL).alias("n_meaningful"),
@@ -105,16 +123,15 @@ def gate_columns(profile: Profile = OPTIMIZED) -> dict[str, Column]:
     }
 
 
-def checked_conversations(messages: DataFrame) -> DataFrame:
+def checked_conversations(features: DataFrame) -> DataFrame:
     """Ids whose messages the optimized profile looks at: not empty, short or single."""
-    stripped = F.length(tx.strip(F.coalesce(F.col("text"), F.lit(""))))
     gate = gate_columns(OPTIMIZED)
     return (
-        messages.groupBy("conversation_id")
+        features.groupBy("conversation_id")
         .agg(
             F.count("*").alias("n_messages"),
-            F.sum(stripped).alias("n_stripped"),
-            F.count_if(stripped >= MEANINGFUL).alias("n_meaningful"),
+            F.sum("n_stripped").alias("n_stripped"),
+            F.count_if(F.col("n_stripped") >= MEANINGFUL).alias("n_meaningful"),
         )
         .filter(~(gate["empty"] | gate["too_short"] | gate["single_turn"]))
         .select("conversation_id")
@@ -132,10 +149,15 @@ def conversation_flags(
     and their messages, "conversation" only with conversations; ``None`` leaves
     duplicates unmarked and saves that work.
     """
-    rows = conversation_counters(messages, profile)
+    return flags_from_features(message_features(messages, profile), profile, dedup_scope)
+
+
+def flags_from_features(
+    features: DataFrame, profile: Profile = OPTIMIZED, dedup_scope: str | None = "shared"
+) -> DataFrame:
+    rows = conversation_counters(features)
     if profile.classic:
-        instants = dup.instants(dup.message_fingerprints(messages, profile))
-        joined = dup.conversation_fingerprints(instants)
+        joined = dup.conversation_fingerprints(dup.instants(features))
         rows = rows.join(
             joined.select("conversation_id", fp.core()["n"].alias("joined_chars")),
             "conversation_id",
@@ -143,8 +165,8 @@ def conversation_flags(
     if dedup_scope is None:
         rows = rows.withColumn("duplicate", F.lit(False))
     else:
-        checked = None if profile.classic else checked_conversations(messages)
-        originals = dup.original_conversations(messages, profile, checked, dedup_scope)
+        checked = None if profile.classic else checked_conversations(features)
+        originals = dup.original_conversations(features, profile, checked, dedup_scope)
         rows = rows.join(
             originals.withColumn("is_original", F.lit(True)), "conversation_id", "left"
         )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from convq import schema as s
 from convq.functions.rules import CLASSIC, OPTIMIZED, Profile
@@ -52,8 +52,16 @@ class QualityRun:
         sinks.write_usable_ids(quality.usable_conversations(self.flags), f"{path}/usable_ids")
 
 
-def _written(flags: DataFrame, spark: SparkSession, path: str) -> DataFrame:
-    """Flags as a table: the corpus is read once, and a lost executor costs little."""
+def written_flags(messages: DataFrame, path: str, profile: Profile) -> DataFrame:
+    """Flags as a table, by way of a table of message features.
+
+    The text is read and hashed once, the rest works on narrow rows, and a lost
+    executor costs one step, not the whole run.
+    """
+    spark = messages.sparkSession
+    features = quality.message_features(messages, profile)
+    features.write.mode("overwrite").parquet(f"{path}/features")
+    flags = quality.flags_from_features(spark.read.parquet(f"{path}/features"), profile)
     flags.write.mode("overwrite").parquet(f"{path}/flags")
     return spark.read.parquet(f"{path}/flags")
 
@@ -66,12 +74,10 @@ def stratified_run(
     seed: int = sampling.SEED,
 ) -> QualityRun:
     """Even sample over buckets and length classes; whole conversations are judged."""
-    ids = sampling.stratified_sample(messages, target, seed).select("conversation_id").distinct()
+    ids = sampling.stratified_sample(messages, target, seed)
     sampled = joins.fetch_by_ids(messages, ids)
-    flags = quality.conversation_flags(sampled, profile)
-    return QualityRun(
-        _written(flags, messages.sparkSession, path), "stratified_even_sampling_comprehensive"
-    )
+    flags = written_flags(sampled, path, profile)
+    return QualityRun(flags, "stratified_even_sampling_comprehensive")
 
 
 def classic_run(
@@ -99,7 +105,7 @@ def classic_run(
         chosen = joins.fetch_by_ids(
             pool, sampling.percent_sample(pool, sample_rate, sample_by, seed)
         )
-    flags = _written(quality.conversation_flags(chosen, profile), messages.sparkSession, path)
+    flags = written_flags(chosen, path, profile)
     if limit is not None:
         # the share that was really drawn, so that projections fit
         drawn = flags.count()
@@ -113,5 +119,4 @@ def stored_run(
 ) -> QualityRun:
     """The stratified reports over a stored copy."""
     stored = joins.fetch_by_ids(messages, metadata)
-    flags = quality.conversation_flags(stored, profile)
-    return QualityRun(_written(flags, messages.sparkSession, path), "local_database_analysis")
+    return QualityRun(written_flags(stored, path, profile), "local_database_analysis")

@@ -57,11 +57,17 @@ class MessageStore:
             return self.metadata().select("conversation_id").limit(0)
         return rows.select("conversation_id")
 
-    def messages(self) -> DataFrame:
-        """Messages of fully stored conversations."""
+    def messages(self, start: str | None = None, end: str | None = None) -> DataFrame:
+        """Messages of fully stored conversations; a date range reads its quarters only."""
         rows = self._committed("messages")
         if rows is None:
             raise ValueError("nothing stored yet: pull messages first")
+        if start:
+            first = F.trunc(F.lit(start).cast("date"), "quarter")
+            rows = rows.filter((F.col("quarter") >= first) & (F.col("sent_at") >= f.timestamp(start)))
+        if end:
+            last = F.lit(end).cast("date")
+            rows = rows.filter((F.col("quarter") <= last) & (F.col("sent_at") <= f.timestamp(end)))
         return rows.drop("pull", "quarter")
 
     def pull(self, source: DataFrame, **date_range) -> None:

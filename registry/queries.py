@@ -589,8 +589,8 @@ add(
 
 def _first_occurrence(spark, sf):
     m = VIEW["pairs"](spark, sf)
-    checked = quality.checked_conversations(m)
-    return dup.first_occurrence(m, checked_ids=checked).drop("sent_at")
+    checked = quality.checked_conversations(quality.message_features(m))
+    return dup.first_occurrence(dup.message_fingerprints(m), checked_ids=checked).drop("sent_at")
 
 
 add(
@@ -603,7 +603,7 @@ add(
 )
 add(
     "checked_conversations",
-    on("doc", quality.checked_conversations),
+    on("doc", lambda m: quality.checked_conversations(quality.message_features(m))),
     with_sql(
         duck.conversation_ctes("doc"),
         "select conversation_id from g where not (empty or too_short or single_turn)",

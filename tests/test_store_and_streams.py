@@ -29,6 +29,10 @@ def test_refresh_twice_equals_once(spark, talks, tmp_path):
         store.refresh(talks)
     assert store.messages().count() == talks.count()
     assert store.messages().exceptAll(talks).isEmpty()
+    day = store.messages("2024-02-01", "2024-02-02")
+    assert day.count() == talks.count() and store.messages("2024-02-02").isEmpty()
+    plan = day._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(quarter" in plan
     assert store.status().first().progress_pct == 100.0
 
 
