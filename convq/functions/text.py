@@ -47,10 +47,9 @@ def letters(text: Column) -> Column:
     return remaining(text, r"\P{L}+")
 
 
-def words(text: Column) -> Column:
-    """Number of whitespace-separated words."""
-    one_char_words = F.regexp_replace(text, f"(?U)[^{_WS}]+", "x")
-    return F.length(F.regexp_replace(one_char_words, f"(?U)[{_WS}]+", ""))
+def has_more_words_than(text: Column, n: int) -> Column:
+    """More than ``n`` whitespace-separated words; reads no further than it must."""
+    return text.rlike(rf"(?U)\A[{_WS}]*+(?:[^{_WS}]++[{_WS}]++){{{n}}}[^{_WS}]")
 
 
 def has_word_longer_than(text: Column, n: int) -> Column:

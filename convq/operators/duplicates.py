@@ -48,7 +48,8 @@ def with_pieces(messages: DataFrame, profile: Profile = OPTIMIZED) -> DataFrame:
 
 def message_fingerprints(messages: DataFrame, profile: Profile = OPTIMIZED) -> DataFrame:
     """(conversation_id, sent_at, message_id, pieces): fingerprints, no text."""
-    return with_pieces(messages, profile).select("conversation_id", "sent_at", "message_id", "pieces")
+    known = messages.filter(F.col("conversation_id").isNotNull())
+    return with_pieces(known, profile).select("conversation_id", "sent_at", "message_id", "pieces")
 
 
 def instants(fingerprints: DataFrame) -> DataFrame:
@@ -83,15 +84,11 @@ def conversation_fingerprints(instants: DataFrame) -> DataFrame:
 
 
 def occurrences(
-    instants: DataFrame,
-    profile: Profile = OPTIMIZED,
-    checked_ids: DataFrame | None = None,
-    scope: str = "shared",
+    instants: DataFrame, checked_ids: DataFrame | None = None, scope: str = "shared"
 ) -> DataFrame:
     """Every text that takes part: whole conversations and, if shared, messages.
 
-    ``checked_ids`` limits the messages to conversations whose messages are looked
-    at.  The optimized profile leaves blank texts out.
+    ``checked_ids`` limits the messages to conversations whose messages are looked at.
     """
     rows = conversation_fingerprints(instants).select(
         "conversation_id",
@@ -103,7 +100,8 @@ def occurrences(
     if scope == "shared":
         groups = instants
         if checked_ids is not None:
-            groups = groups.join(checked_ids, "conversation_id", "left_semi")
+            # ids are unique; a semi join would move below the grouping and undo the sharing
+            groups = groups.join(checked_ids, "conversation_id")
         messages = groups.select("conversation_id", "sent_at", F.inline("messages"))
         rows = rows.unionByName(
             messages.select(
@@ -114,29 +112,25 @@ def occurrences(
                 fp.core().alias("core"),
             )
         )
-    if not profile.classic:
-        rows = rows.filter(F.col("core.n") > 0)
     return rows.select(
         "conversation_id",
         "kind",
         "sent_at",
         "message_id",
+        (F.col("core.n") == 0).alias("blank"),
         F.struct("core.h", "core.w").alias("text_key"),
     )
 
 
 def original_conversations(
-    fingerprints: DataFrame,
-    profile: Profile = OPTIMIZED,
-    checked_ids: DataFrame | None = None,
-    scope: str = "shared",
+    fingerprints: DataFrame, checked_ids: DataFrame | None = None, scope: str = "shared"
 ) -> DataFrame:
     """Ids of conversations whose whole text occurs nowhere earlier.
 
     Inside a conversation the whole text comes before the messages, so the
-    smallest id per key is enough to tell.
+    smallest id per key is enough to tell.  Blank texts count as equal.
     """
-    texts = occurrences(instants(fingerprints), profile, checked_ids, scope)
+    texts = occurrences(instants(fingerprints), checked_ids, scope)
     first = F.min("conversation_id")
     first_whole = F.min(F.when(F.col("kind") == WHOLE, F.col("conversation_id")))
     return (
@@ -150,8 +144,14 @@ def original_conversations(
 def first_occurrence(
     fingerprints: DataFrame, profile: Profile = OPTIMIZED, checked_ids: DataFrame | None = None
 ) -> DataFrame:
-    """Every conversation text and message text, and whether it was seen before."""
-    texts = occurrences(instants(fingerprints), profile, checked_ids)
+    """Every conversation text and message text, and whether it was seen before.
+
+    The optimized profile leaves blank texts out.
+    """
+    texts = occurrences(instants(fingerprints), checked_ids)
+    if not profile.classic:
+        texts = texts.filter(~F.col("blank"))
+    texts = texts.drop("blank")
     place = F.struct("conversation_id", "kind", "sent_at", "message_id")
     firsts = texts.groupBy("text_key").agg(F.min(place).alias("first")).select("first.*")
     return _mark_repeats(texts.drop("text_key"), firsts, ["conversation_id", "kind", "message_id"])

@@ -66,7 +66,9 @@ def message_features(messages: DataFrame, profile: Profile = OPTIMIZED) -> DataF
     it, as ``plans.quality_run`` does, and the text is read once.
     """
     normal = tx.normalise(F.col("text"))
-    flagged = rules.with_message_flags(messages, profile).withColumns(
+    # stated here so that all branches below have the same plan, and Spark reuses it
+    known = messages.filter(F.col("conversation_id").isNotNull())
+    flagged = rules.with_message_flags(known, profile).withColumns(
         {
             "n_stripped": F.length(tx.strip(F.col("text"))),
             # short texts never count as repeats; they share one key
@@ -166,7 +168,7 @@ def flags_from_features(
         rows = rows.withColumn("duplicate", F.lit(False))
     else:
         checked = None if profile.classic else checked_conversations(features)
-        originals = dup.original_conversations(features, profile, checked, dedup_scope)
+        originals = dup.original_conversations(features, checked, dedup_scope)
         rows = rows.join(
             originals.withColumn("is_original", F.lit(True)), "conversation_id", "left"
         )
