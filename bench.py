@@ -22,31 +22,31 @@ from registry.queries import QUERIES
 HEADLINE = [
     "conversation_rollup_doc",
     "totals_by_class_and_quarter_doc",
-    "conversation_metadata_doc",
+    "conversation_metadata",
     "length_stats_doc",
     "length_histogram_doc",
-    "quarterly_volume_doc",
-    "stratified_sample_pairs",
+    "quarterly_volume",
+    "stratified_sample",
     "random_conversations",
     "fetch_by_ids",
     "first_15_messages",
-    "transcript_plain_doc",
-    "transcript_authored_doc",
-    "prefilter_funnel_pairs",
+    "transcript_plain",
+    "transcript_authored",
+    "prefilter_funnel",
     "char_stats",
     "message_flags_doc",
     "message_flags_doc_classic",
     "conversation_flags_conv",
     "conversation_flags_doc",
-    "conversation_flags_pairs",
+    "conversation_flags",
     "conversation_flags_pairs_classic",
     "first_occurrence",
-    "quality_metrics_pairs",
+    "quality_metrics",
     "issue_report",
-    "stratified_metrics_pairs",
-    "usability_matrix_pairs",
-    "token_stats_doc",
-    "cost_summary_doc",
+    "stratified_metrics",
+    "usability_matrix",
+    "token_stats",
+    "cost_summary",
     "count_tokens",
     "judge_scores",
     "judge_summary",

@@ -82,12 +82,12 @@ def _bounded(alternatives) -> str:
     return rf"(?U)\b(?:{pattern})\b"
 
 
-def is_empty(t: Column) -> Column:
-    return tx.strip(t) == ""
+def is_empty(stripped: Column) -> Column:
+    return stripped == ""
 
 
-def is_too_short(t: Column, min_chars: int = 2) -> Column:
-    return F.length(tx.strip(t)) < min_chars
+def is_too_short(stripped: Column, min_chars: int = 2) -> Column:
+    return F.length(stripped) < min_chars
 
 
 def is_too_long(t: Column, profile: Profile = OPTIMIZED) -> Column:
@@ -135,13 +135,14 @@ def is_spam(t: Column, profile: Profile = OPTIMIZED) -> Column:
     return maybe_price & lower.rlike(_bounded(PRICE)) & lower.rlike(_bounded(PROMO + PROMO_EXTRA))
 
 
-def is_non_conversational(t: Column, n_alpha: Column, profile: Profile = OPTIMIZED) -> Column:
+def is_non_conversational(
+    t: Column, clean: Column, n_alpha: Column, profile: Profile = OPTIMIZED
+) -> Column:
     """One character, or nothing that reads as language.
 
     The punctuation-only and symbol-only forms hold no letter, so the letter
     (classic: letter or digit) test covers them.
     """
-    clean = tx.normalise(t)
     single = F.length(clean) == 1
     if profile.classic:
         no_alnum = ~clean.rlike(r"[\p{L}\p{N}]")
@@ -165,27 +166,35 @@ def has_language_issues(c: dict[str, Column]) -> Column:
 
 
 def flag_columns(profile: Profile = OPTIMIZED) -> dict[str, Column]:
-    """The stateless flags over ``text`` and the columns of ``with_char_counts``."""
+    """The stateless flags over the columns that ``with_message_flags`` prepares."""
     t = F.col("text")
     c = {name: F.col(name) for name in COUNTS}
     return {
-        "empty": is_empty(t),
-        "too_short": is_too_short(t),
+        "empty": is_empty(F.col("stripped")),
+        "too_short": is_too_short(F.col("stripped")),
         "too_long": is_too_long(t, profile),
         "gibberish": is_gibberish(t, c),
         "non_text_heavy": is_non_text_heavy(c),
         "offensive": is_offensive(t, profile),
         "spam": is_spam(t, profile),
-        "non_conversational": is_non_conversational(t, c["n_alpha"], profile),
+        "non_conversational": is_non_conversational(t, F.col("norm"), c["n_alpha"], profile),
         "encoding_issues": has_encoding_issues(t, c, profile),
         "language_issues": has_language_issues(c),
     }
 
 
 def with_message_flags(messages: DataFrame, profile: Profile = OPTIMIZED) -> DataFrame:
-    """Messages plus the character counts and ten flags; a null text counts as empty."""
+    """Messages plus ``stripped``, ``norm``, the character counts and ten flags.
+
+    A null text counts as empty.
+    """
     known = messages.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
-    return tx.with_char_counts(known).withColumns(flag_columns(profile))
+    prepared = (
+        tx.with_char_counts(known)
+        .withColumn("stripped", tx.strip(F.col("text")))
+        .withColumn("norm", F.lower("stripped"))
+    )
+    return prepared.withColumns(flag_columns(profile))
 
 
 def char_stats(messages: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from convq import schema as s
 from convq.functions import fingerprint as fp
 from convq.functions import rules
-from convq.functions import text as tx
 from convq.functions.rules import OPTIMIZED, Profile
 from convq.operators import duplicates as dup
 from convq.operators import filters as f
@@ -65,16 +64,13 @@ def message_features(messages: DataFrame, profile: Profile = OPTIMIZED) -> DataF
     Use it as it is, and every step computes just the columns it reads; or write
     it, as ``plans.quality_run`` does, and the text is read once.
     """
-    normal = tx.normalise(F.col("text"))
     # stated here so that all branches below have the same plan, and Spark reuses it
     known = messages.filter(F.col("conversation_id").isNotNull())
     flagged = rules.with_message_flags(known, profile).withColumns(
         {
-            "n_stripped": F.length(tx.strip(F.col("text"))),
+            "n_stripped": F.length("stripped"),
             # short texts never count as repeats; they share one key
-            "text_key": F.when(
-                F.length(normal) > REPEAT_MIN_CHARS, F.unhex(F.sha2(normal, 256))
-            ),
+            "text_key": F.when(F.length("norm") > REPEAT_MIN_CHARS, F.unhex(F.sha2("norm", 256))),
         }
     )
     return dup.with_pieces(flagged, profile).select(

@@ -19,23 +19,23 @@ NAMES = [
     "message_view",
     "incremental_pull",
     "store_status",
-    "stratified_sample_pairs",
+    "stratified_sample",
     "length_histogram_doc",
     "length_distribution_conv",
-    "quarterly_volume_doc",
+    "quarterly_volume",
     "transcript_stripped",
-    "prefilter_funnel_pairs",
+    "prefilter_funnel",
     "char_stats",
     "message_flags_doc",
     "message_flags_pairs_classic",
     "conversation_flags_doc",
-    "conversation_flags_pairs",
+    "conversation_flags",
     "conversation_flags_pairs_classic",
     "first_occurrence",
-    "stratified_metrics_pairs",
-    "usability_matrix_pairs",
+    "stratified_metrics",
+    "usability_matrix",
     "projection",
-    "cost_summary_doc",
+    "cost_summary",
     "clean_verdict",
     "judge_summary",
     "stream_message_flags",

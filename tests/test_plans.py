@@ -9,20 +9,20 @@ from registry.queries import ORACLES, QUERIES
 LAZY = [
     "conversation_rollup_doc",
     "length_histogram_doc",
-    "stratified_sample_pairs",
+    "stratified_sample",
     "first_15_messages",
-    "transcript_plain_doc",
-    "transcript_authored_doc",
+    "transcript_plain",
+    "transcript_authored",
     "fetch_by_ids",
     "char_stats",
     "message_flags_doc",
     "conv_gibberish",
-    "conversation_flags_pairs",
+    "conversation_flags",
     "conversation_flags_pairs_classic",
     "first_occurrence",
-    "quality_metrics_pairs",
-    "usability_matrix_pairs",
-    "token_stats_doc",
+    "quality_metrics",
+    "usability_matrix",
+    "token_stats",
     "judge_summary",
     "clean_verdict",
 ]
@@ -52,7 +52,7 @@ def test_first_messages_are_limited_before_the_shuffle(spark):
 
 
 def test_metadata_does_not_read_the_text(spark):
-    text = plan(QUERIES["conversation_metadata_doc"](spark, SF_DIR))
+    text = plan(QUERIES["conversation_metadata"](spark, SF_DIR))
     assert "text" not in text.split("ReadSchema: ")[1].split(">")[0]
 
 
@@ -65,7 +65,7 @@ def test_date_filter_reaches_the_scan(spark, make, tmp_path):
 
 
 def test_both_dedup_branches_share_the_fingerprints(spark):
-    df = QUERIES["conversation_flags_pairs"](spark, SF_DIR)
+    df = QUERIES["conversation_flags"](spark, SF_DIR)
     df.collect()
     assert "ReusedExchange" in plan(df)
 
