@@ -12,10 +12,10 @@ from convq.operators import joins, reports, sampling, transcripts
 from convq.sources import sinks
 
 
-def judged_transcripts(messages: DataFrame, n: int = 10, seed: int = sampling.SEED) -> DataFrame:
-    """The readable ones of ``n`` random conversations, as authored transcripts."""
+def sampled_transcripts(messages: DataFrame, n: int = 10, seed: int = sampling.SEED) -> DataFrame:
+    """Authored transcripts of ``n`` random conversations."""
     ids = sampling.random_conversations(messages, n, seed)
-    return f.prefilter(transcripts.transcript_authored(joins.fetch_by_ids(messages, ids)))
+    return transcripts.transcript_authored(joins.fetch_by_ids(messages, ids))
 
 
 def filter_and_judge(
@@ -27,10 +27,10 @@ def filter_and_judge(
 ) -> dict[str, DataFrame]:
     """Run the whole job; answers are written once and everything reads them back."""
     spark = messages.sparkSession
-    readable = judged_transcripts(messages, n, seed)
-    sinks.write_json_report(readable, f"{path}/sampled_conversations")
-    readable = spark.read.schema(readable.schema).json(f"{path}/sampled_conversations")
-    answers = judge.judge_responses(readable, scorer)
+    sampled = sampled_transcripts(messages, n, seed)
+    sinks.write_json_report(sampled, f"{path}/sampled_conversations")  # for inspection
+    stored = spark.read.schema(sampled.schema).json(f"{path}/sampled_conversations")
+    answers = judge.judge_responses(f.prefilter(stored), scorer)
     answers.write.mode("overwrite").parquet(f"{path}/responses")
     verdicts, errors = judge.split_verdicts(spark.read.parquet(f"{path}/responses"))
     sinks.append_verdicts(verdicts, f"{path}/verdicts")

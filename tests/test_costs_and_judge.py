@@ -100,6 +100,7 @@ def test_filter_and_judge_keeps_going_after_a_failure(spark, make, tmp_path):
     assert result["judge_summary"].first().total_conversations == 19
     assert [r.error for r in result["errors"].collect()] == ["no answer"]
     assert spark.read.json(str(tmp_path / "run/verdicts")).count() == 38  # both runs
+    assert spark.read.json(str(tmp_path / "run/sampled_conversations")).count() == 21
 
 
 def test_summary_of_missing_columns_is_zero(spark):
