@@ -41,6 +41,7 @@ VERDICTS = """
            d.lang as language
     from documents d join labels l on d.doc_id = l.doc_id"""
 
+# ---- fixed values: dates, names, word lists ----
 START, END = "timestamp '2023-07-01'", "timestamp '2025-01-31'"
 BUCKETS = [
     ("2023-Q3", "2023-07-01", "2023-09-30"),
@@ -82,6 +83,7 @@ PROMO = (
     "|act now"
 )
 EXTRA = "discount code|huge sale"
+# ---- end of fixed values ----
 
 
 def in_range(column: str = "sent_at") -> str:

@@ -982,7 +982,7 @@ def _stub_scorer():
 
 
 def _judge_scores(spark, sf):
-    readable = f.prefilter(transcripts.transcript_authored(VIEW["doc"](spark, sf)))
+    readable = f.prefilter(transcripts.transcript_authored(VIEW["pairs"](spark, sf)))
     verdicts, _ = judge.split_verdicts(judge.judge_responses(readable, _stub_scorer()))
     return verdicts.select("conversation_id", "quality", "is_safe", "language")
 
@@ -992,7 +992,7 @@ add(
     "judge_scores",
     _judge_scores,
     with_sql(
-        _transcripts_sql("doc"),
+        _transcripts_sql("pairs"),
         f"""select conversation_id, cast(1 + n % 10 as int) as quality, n % 3 <> 0 as is_safe, 'xx' as language
             from {READABLE} where n <= 5000""",
     ),
