@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from convq.llm import decontaminate, mixing
+from convq.llm import ann, chat, decontaminate, mixing, pii, simhash, substring, suffix, toxicity, warc
+from convq.sources.workspace import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +109,122 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(hit.n, 0) as big
 from d left join hit on hit.r = d.r left join items on items.r = d.r
 """
 add("op2_decontaminate", op2_decontaminate, DECONTAMINATE_SQL)
+
+
+# ---- 3: suffix-array dedup
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.dedup(read(spark, sf_dir, "documents"), with_kept=False)
+    return found.select(
+        F.col("doc").alias("doc_id"), F.col("n_tokens").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256"
+    )
+
+
+add("op3_suffix_dedup", op3_suffix_dedup)
+
+
+# ---- 4: chat formatting
+
+
+def op4_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
+
+
+add("op4_format_chats", op4_format_chats)
+
+
+# ---- 5: WARC
+
+
+def op5_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_folder(spark, "archives")
+    warc.write_archives(read(spark, sf_dir, "pages"), path)
+    captured = warc.assemble(warc.read_records(spark, path))
+    return captured.select(
+        "page_id",
+        "response.payload_bytes",
+        "response.payload_digest",
+        "response.record_type",
+        F.col("response.refers_to").cast("bigint").alias("refers_to"),
+    )
+
+
+WARC_SQL = """
+with p as (select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n from pages),
+s as (select html, max(page_id) as original, count(*) as c from p where n >= 1000 group by html)
+select p.page_id, cast(n as bigint) as payload_bytes, sha1(p.html) as payload_digest,
+    case when c > 1 and original is not null and p.page_id is distinct from original then 'revisit' else 'response' end
+        as record_type,
+    case when c > 1 and p.page_id is distinct from original then original end as refers_to
+from p left join s on s.html = p.html
+"""
+add("op5_warc_transactions", op5_warc_transactions, WARC_SQL)
+
+
+# ---- 6: approximate nearest neighbours
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+add("op6_nearest", op6_nearest)
+
+
+# ---- 7: personal data
+
+
+def op7_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = pii.with_spans(docs.select("doc_id", "text"), pii.fit(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    named = lambda spans: F.concat_ws(
+        ",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    )
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in pii.KINDS],
+        F.sha2(named(base), 256).alias("base_sha256"),
+        named(F.col("spans")).alias("spans"),
+    )
+
+
+add("op7_find_pii", op7_find_pii)
+
+
+# ---- 8: SimHash near-duplicates
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
+
+
+add("op8_simhash", op8_simhash)
+
+
+# ---- 9: substring dedup
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.dedup(read(spark, sf_dir, "documents"), with_kept=False)
+    return found.select(F.col("doc").alias("doc_id"), F.col("n_tokens").alias("n_words"), "n_removed", "kept_sha256")
+
+
+add("op9_substring_dedup", op9_substring_dedup)
+
+
+# ---- 10: toxicity
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = toxicity.with_scores(docs.select("doc_id", "text"), toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+add("op10_toxicity", op10_toxicity)

@@ -1,4 +1,61 @@
-"""The corpus pipeline (under construction)."""
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""The corpus pipeline: five filters and orderings over ``documents``, one after the other.
+
+Each stage gets the rows that the one before kept, as a table of its own below the shared
+folder, so a stage that is run again after a failure starts there.  All but the last return the
+columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from convq.llm import decontaminate, mixing, pii, simhash, toxicity
+from convq.llm.tables import stored
+
+THRESHOLD = 0.5
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below ``THRESHOLD``; the model is fitted on labelled rows of ``docs``."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.with_scores(docs, toxicity.fit(docs, labels))
+    return scored.filter(scored["score"] < THRESHOLD).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that do not hold too much of the benchmark."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by the name of its kind."""
+    return pii.with_spans(docs, pii.fit(docs), redact=True).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their slot and place in the mixed order."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("simhash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("pii", redact_personal_data),
+    ("mixing", mix_sources),
+]
+
+#: Scores of a fitted model and components of fingerprints are not for SQL; see tests/llm.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
