@@ -5,9 +5,10 @@ Levenshtein automata of all terms, walked together with the trie and made determ
 one table lookup per letter decides every word of a text at once.  Short terms must match
 exactly, longer ones may differ by one or two edits.
 
-A found term counts by its context window: quoted or reported words speak against abuse, words
-that address somebody speak for it.  A logistic regression, fitted on a bounded sample of the
-labelled rows, turns the counts into a score.
+The lexicon is a fixed list and, beside it, words that the labelled sample shows to be typical
+of toxic texts, in whatever language.  A found term counts by its context window: quoted or
+reported words speak against abuse, words that address somebody speak for it.  A logistic
+regression, fitted on another part of the sample than the words, turns the counts into a score.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from convq.llm.tables import stored
+
 # ---- fixed values: insulting terms; words of reporting and of address ----
 LEXICON = """
     clown disgusting garbage idiot imbecile loser lowlife moron parasite pathetic scum stupid
@@ -31,24 +34,40 @@ QUOTES = "\"'‘’‚“”„«»‹›`"
 #: Code points around a term that make its context window.
 WINDOW = 60
 #: At most so many labelled rows, those of the smallest hash of their id, fit the model.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 12_000
+#: A word becomes a term if so many toxic texts of the sample have it, and their share is so
+#: many times that of the others; the best of them, at most.
+LEAST_TEXTS, LEAST_ODDS, LEARNED = 5, 20.0, 200
+#: Of the four folds that may be learned from, the last fits the regression.
+FIT_FOLD = 4
 #: A misspelling found in so many harmless texts of the sample is a word of its own.
 COMMON = 2
 #: Code points scanned at once.
 BLOCK = 1 << 21
-FEATURES = ("exact", "near", "quoted", "addressed", "density", "loud")
+FEATURES = ("exact", "near", "learned", "near_learned", "quoted", "addressed", "density", "loud")
 FOLDS = 5
 
 
 def allowed(term: str) -> int:
-    """Edits that a term may be away: none up to four letters, one up to seven, else two."""
+    """Edits that a term may be away: none up to four letters, one up to seven, else two.
+
+    A learned term of five letters or more may be one away.
+    """
+    if term not in LEXICON:
+        return int(len(term) > 4)
     return 0 if len(term) <= 4 else 1 if len(term) <= 7 else 2
 
 
 @dataclass(frozen=True)
 class Automaton:
-    """``step[state, letter]``; ``term[state]`` is the index of the term found, or -1."""
+    """``step[state, letter]``; ``term[state]`` is the index of the term found, or -1.
 
+    ``classes`` has the letter of each code point below its length, -1 between words; the last
+    letter is any that no term has.
+    """
+
+    lexicon: list[str]
+    classes: np.ndarray
     step: np.ndarray
     term: np.ndarray
     edits: np.ndarray
@@ -56,8 +75,15 @@ class Automaton:
     longest: int
 
 
+def _classes(letters: list[str]) -> np.ndarray:
+    """Letters of the code points up to U+05FF, whatever their case; digits count as letters."""
+    numbers = {letter: i for i, letter in enumerate(letters)}
+    points = [chr(i) for i in range(0x600)]
+    return np.array([numbers.get(c.lower(), len(letters)) if c.isalnum() else -1 for c in points], np.int16)
+
+
 def automaton(lexicon: list[str]) -> Automaton:
-    """The deterministic automaton of all words near a term; letter 26 is any but a to z."""
+    """The deterministic automaton of all words near a term."""
     children, accepts, room = [{}], {}, [0]
     for number, term in enumerate(lexicon):
         node = 0
@@ -100,7 +126,8 @@ def automaton(lexicon: list[str]) -> Automaton:
                 reach(child, edits + (own != letter))
         return closed(pairs)
 
-    letters = [chr(ord("a") + i) for i in range(26)] + ["?"]
+    known = sorted({c for term in lexicon for c in term})
+    letters = [*known, ""]
     start = closed({0: 0})
     numbers, states, rows = {start: 0}, [start], []
     for state in states:
@@ -118,25 +145,22 @@ def automaton(lexicon: list[str]) -> Automaton:
         if found:
             edits[i], term[i] = min(found)
     lengths = [(len(t), allowed(t)) for t in lexicon]
-    return Automaton(
-        np.array(rows, np.int32), term, edits, min(n - k for n, k in lengths), max(n + k for n, k in lengths)
-    )
+    shortest, longest = min(n - k for n, k in lengths), max(n + k for n, k in lengths)
+    return Automaton(lexicon, _classes(known), np.array(rows, np.int32), term, edits, shortest, longest)
 
 
-def _letters(points: np.ndarray) -> np.ndarray:
-    """0 to 25 for a letter of either case, 26 for digits and other scripts, -1 between words."""
-    classes = np.full(len(points), -1, np.int8)
-    folded = points | 32
-    latin = (folded >= 97) & (folded <= 122) & (points < 128)
-    classes[latin] = (folded[latin] - 97).astype(np.int8)
-    other = ((points >= 48) & (points <= 57)) | ((points >= 0xC0) & ~((points >= 0x2000) & (points <= 0x206F)) & ~((points >= 0x3000) & (points <= 0x303F)))
-    classes[other] = 26
+def _letters(points: np.ndarray, machine: Automaton) -> np.ndarray:
+    """The letter of each code point, -1 between words; other scripts are letters no term has."""
+    low = points < len(machine.classes)
+    classes = np.full(len(points), machine.step.shape[1] - 1, np.int16)
+    classes[low] = machine.classes[points[low]]
+    classes[((points >= 0x2000) & (points <= 0x206F)) | ((points >= 0x3000) & (points <= 0x303F))] = -1
     return classes
 
 
 def find_terms(points: np.ndarray, machine: Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """``start, end, term, edits`` of the words that match, and the number of words."""
-    classes = _letters(points)
+    classes = _letters(points, machine)
     inside = np.concatenate(([False], classes >= 0, [False]))
     change = np.diff(inside.astype(np.int8))
     starts, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
@@ -144,7 +168,7 @@ def find_terms(points: np.ndarray, machine: Automaton) -> tuple[np.ndarray, np.n
     fits = (size >= machine.shortest) & (size <= machine.longest)
     starts, ends, size = starts[fits], ends[fits], size[fits]
     state = np.zeros(len(starts), np.int32)
-    padded = np.concatenate((classes, np.zeros(machine.longest, np.int8)))
+    padded = np.concatenate((classes, np.zeros(machine.longest, np.int16)))
     for i in range(machine.longest):
         live = size > i
         state = np.where(live, machine.step[state, padded[starts + i]], state)
@@ -180,6 +204,7 @@ def hits(text: str, machine: Automaton) -> tuple[list[dict], int]:
                     "end": int(end),
                     "term": int(term),
                     "edits": int(distance),
+                    "learned": machine.lexicon[term] not in LEXICON,
                     "surface": text[start:end].lower(),
                     "quoted": _quoted(text, start, end) or bool(words & REPORTING),
                     "addressed": bool(words & ADDRESS),
@@ -194,8 +219,7 @@ def features(found: list[dict], n_words: int, common: frozenset[str]) -> list[fl
     """The numbers of ``FEATURES`` for one text."""
     real = [h for h in found if not h["edits"] or h["surface"] not in common]
     return [
-        np.log1p(sum(not h["edits"] for h in real)),
-        np.log1p(sum(h["edits"] > 0 for h in real)),
+        *(np.log1p(sum((h["edits"] > 0) == near and h["learned"] == learned for h in real)) for learned in (False, True) for near in (False, True)),
         np.log1p(sum(h["quoted"] for h in real)),
         np.log1p(sum(h["addressed"] and not h["quoted"] for h in real)),
         min(1.0, 20 * len(real) / max(n_words, 20)),
@@ -205,6 +229,7 @@ def features(found: list[dict], n_words: int, common: frozenset[str]) -> list[fl
 
 @dataclass(frozen=True)
 class Model:
+    machine: Automaton
     weights: np.ndarray  # of FEATURES, then the constant
     common: frozenset[str]
 
@@ -234,20 +259,40 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def learned_terms(sample: DataFrame, most: int = LEARNED) -> list[str]:
+    """Words of ``sample`` (``text, toxic``) that are typical of toxic texts, at most ``most``."""
+    sizes = {bool(r["toxic"]): r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,24}"), F.lit(0)))
+    odds = ((F.col("bad") + 0.5) / (toxic + 1)) / ((F.col("n") - F.col("bad") + 0.5) / (clean + 1))
+    counts = (
+        sample.select("toxic", F.explode(words).alias("word"))
+        .groupBy("word")
+        .agg(F.count("*").alias("n"), F.count_if("toxic").alias("bad"))
+        .filter(F.col("bad") >= LEAST_TEXTS)
+        .withColumn("odds", odds)
+        .filter(F.col("odds") >= LEAST_ODDS)
+    )
+    best = counts.orderBy(F.desc(F.col("bad") * F.log("odds")), "word").limit(most).collect()
+    return sorted({r["word"] for r in best} - set(LEXICON))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Weights from at most ``sample_rows`` labelled rows outside the held-out fifth.
+    """Terms and weights from at most ``sample_rows`` labelled rows outside the held-out fifth.
 
-    ``labels`` has ``doc_id, toxic``; rows without either are passed over.  With no labels, or
-    only one kind, a found term alone makes a text toxic.
+    ``labels`` has ``doc_id, toxic``; rows without either are passed over.  Where the part that
+    fits the weights has no labels, or only one kind, fixed weights stand in.
     """
-    machine = automaton(LEXICON)
     usable = labels.filter("doc_id is not null and toxic is not null").filter(~held_out()).select("doc_id", "toxic")
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # sample_rows ids at most
-
-    names = ("edits", "surface", "quoted", "addressed", "loud")
-    kinds = dict(zip(names, (pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_())))
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
+    chosen = chosen.select("doc_id", (F.col("toxic") > 0).alias("toxic"), fold.alias("fold"))
+    sample = stored(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic", "fold"), "sample")  # sample_rows ids at most
+    machine = automaton([*LEXICON, *learned_terms(sample.filter(F.col("fold") != FIT_FOLD).select("text", "toxic"))])
+    rows = sample.filter(F.col("fold") == FIT_FOLD).select("text", F.col("toxic").cast("bigint").alias("toxic"))
+    names = ("edits", "learned", "surface", "quoted", "addressed", "loud")
+    kinds = dict(zip(names, (pa.int64(), pa.bool_(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_())))
     arrow = pa.schema([("hits", pa.list_(pa.struct(list(kinds.items())))), ("n_words", pa.int64()), ("toxic", pa.int64())])
 
     def scan(batches):
@@ -259,7 +304,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     schema = (
-        "hits array<struct<edits: bigint, surface: string, quoted: boolean, addressed: boolean, loud: boolean>>, "
+        "hits array<struct<edits: bigint, learned: boolean, surface: string, quoted: boolean, addressed: boolean, loud: boolean>>, "
         "n_words bigint, toxic bigint"
     )
     sample = [(r["hits"], r["n_words"], r["toxic"]) for r in rows.mapInArrow(scan, schema).collect()]
@@ -267,9 +312,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     common = frozenset(s for s, n in seen.items() if n >= COMMON)
     y = np.array([toxic for *_, toxic in sample], float)
     if len(y) == 0 or y.min() == y.max():
-        return Model(np.array([6.0, 4.0, -2.0, 1.0, 1.0, 1.0, -2.0]), common)
+        return Model(machine, np.array([6.0, 4.0, 3.0, 1.0, -2.0, 1.0, 1.0, 1.0, -2.0]), common)
     x = np.array([features(found, n, common) for found, n, _ in sample])
-    return Model(_logistic(x, y), common)
+    return Model(machine, _logistic(x, y), common)
 
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -278,7 +323,7 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
     A null text counts as empty.  Columns of those names are replaced; offsets count code
     points.  Texts are scanned whole.
     """
-    machine = automaton(LEXICON)
+    machine = model.machine
     kept = docs.drop("score", "terms")
     terms = "array<struct<start: bigint, end: bigint, term: string, edits: bigint, quoted: boolean>>"
     schema = kept.withColumn("score", F.lit(0.0)).withColumn("terms", F.lit(None).cast(terms)).schema
@@ -290,7 +335,7 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
             for text in batch.column(text_col):
                 found, n = hits(text.as_py() or "", machine)
                 scores.append(model.score(found, n))
-                spans.append([{k: LEXICON[h[k]] if k == "term" else h[k] for k in ("start", "end", "term", "edits", "quoted")} for h in found])
+                spans.append([{k: machine.lexicon[h[k]] if k == "term" else h[k] for k in ("start", "end", "term", "edits", "quoted")} for h in found])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(scores, pa.float64()), pa.array(spans, arrow)], [*batch.schema.names, "score", "terms"]
             )
