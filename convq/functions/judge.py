@@ -51,14 +51,32 @@ def clean_verdict(response: Column) -> Column:
 
 
 def parse_verdicts(responses: DataFrame) -> DataFrame:
-    """Responses with the verdict's fields; ``corrupt`` tells which could not be read."""
-    body = clean_verdict(F.col("response"))
-    is_object = F.schema_of_variant(F.try_parse_json(body)).startswith("OBJECT")
-    return responses.select(
-        "*",
-        (~F.coalesce(is_object, F.lit(False))).alias("corrupt"),
-        F.from_json(body, VERDICT_SCHEMA).alias("verdict"),
-    ).select(*responses.columns, "corrupt", "verdict.*")
+    """Responses with the verdict's fields; ``corrupt`` tells which could not be read.
+
+    An answer is parsed once, its fields as text.  A field that is there but cannot be taken
+    as its type makes the answer corrupt; a field that is missing or null stays null.
+    """
+    as_text = ", ".join(f"{field.name} string" for field in VERDICT_SCHEMA.fields) + ", broken string"
+    # explode keeps the two steps apart: merged, the answer would be parsed for every field
+    cleaned = responses.select("*", F.explode(F.array(tx.strip(clean_verdict(F.col("response"))))).alias("body"))
+    given = F.from_json("body", as_text, {"columnNameOfCorruptRecord": "broken"})
+    parsed = cleaned.select(
+        *responses.columns,
+        F.coalesce(F.col("body").startswith("{"), F.lit(False)).alias("is_object"),
+        F.explode(F.array(given)).alias("given"),
+    )
+    values, wrong = {}, F.lit(False)
+    for field in VERDICT_SCHEMA.fields:
+        given, kind = F.col(f"given.{field.name}"), field.dataType.simpleString()
+        value = given if kind == "string" else given.try_cast(kind)
+        if kind == "boolean":
+            value = F.when(given.isin("true", "false"), value)
+        values[field.name] = value
+        wrong = wrong | (value.isNull() & given.isNotNull())
+    corrupt = ~F.col("is_object") | F.col("given.broken").isNotNull() | wrong
+    return parsed.select(
+        *responses.columns, corrupt.alias("corrupt"), *[value.alias(name) for name, value in values.items()]
+    )
 
 
 def judge_responses(

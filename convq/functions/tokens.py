@@ -24,16 +24,17 @@ def count_words_and_marks(text: Column) -> Column:
 def tokenizer_counts(tokenize: Callable[[Sequence[str]], Sequence[Sequence]]):
     """Column function that counts the tokens of ``tokenize(texts)`` per text.
 
-    Texts reach the tokenizer in Arrow batches.  If it fails on a batch, that
-    batch falls back to the character estimate.
+    The column has the count ``n`` and ``estimated``.  Texts reach the tokenizer in Arrow
+    batches; if it fails on a batch, the character estimate stands in and is marked.
     """
 
-    @F.pandas_udf("bigint")
-    def count(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("n bigint, estimated boolean")
+    def count(texts: pd.Series) -> pd.DataFrame:
         known = texts.fillna("")
         try:
-            return pd.Series([len(tokens) for tokens in tokenize(known.tolist())])
+            counts = [len(tokens) for tokens in tokenize(known.tolist())]
+            return pd.DataFrame({"n": counts, "estimated": False})
         except Exception:
-            return known.str.len() // CHARS_PER_TOKEN
+            return pd.DataFrame({"n": known.str.len() // CHARS_PER_TOKEN, "estimated": True})
 
     return count

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from convq import schema as s
 from convq.functions import tokens as tk
 from convq.operators import filters as f
 from convq.operators import rollup
-from convq.operators.transcripts import transcript_plain
+from convq.operators.transcripts import PART_CHARS, transcript_plain
 
 # ---- fixed values: price model in USD per million tokens ----
 INPUT_PRICE = 0.55
@@ -20,13 +19,14 @@ OUTPUT_SHARE = 0.1
 
 
 def token_rows(
-    messages: DataFrame, tokenizer=None, all_messages: bool = False
+    messages: DataFrame, tokenizer=None, all_messages: bool = False, part_chars: int = PART_CHARS
 ) -> DataFrame:
     """One row per short, medium or long two-sided conversation in range.
 
     The default estimate needs lengths only, so no transcript is built: the
     joined text has all characters plus one separator between messages.  A
-    ``tokenizer`` (see ``tokens.tokenizer_counts``) gets the transcript itself.
+    ``tokenizer`` (see ``tokens.tokenizer_counts``) gets the transcript itself, part by
+    part; ``estimated_parts`` tells how many parts it failed on.
     ``all_messages`` counts messages outside the range as well.
     """
     sized = rollup.sized_conversations(messages).withColumn(
@@ -49,8 +49,14 @@ def token_rows(
         return rows.withColumn("token_count", tk.estimate_tokens(F.col("char_count")))
     source = messages if all_messages else f.date_range_filter(messages)
     wanted = source.join(rows.select("conversation_id"), "conversation_id", "left_semi")
-    counted = transcript_plain(wanted).select(
-        "conversation_id", tokenizer(F.col("combined_text")).alias("token_count")
+    counted = (
+        transcript_plain(wanted, part_chars)
+        .select("conversation_id", tokenizer(F.col("combined_text")).alias("counted"))
+        .groupBy("conversation_id")
+        .agg(
+            F.sum("counted.n").alias("token_count"),
+            F.count_if("counted.estimated").alias("estimated_parts"),
+        )
     )
     return rows.join(counted, "conversation_id")
 
@@ -109,11 +115,3 @@ def cost_summary(breakdown: DataFrame) -> DataFrame:
         (F.col("total_tokens") / F.col("total_conversations")).alias("avg_tokens_per_conversation"),
     )
 
-
-def category_rows(rows: DataFrame) -> dict[str, DataFrame]:
-    """Token rows split by class, as the per-class exports need them."""
-    return {
-        label: rows.filter(F.col("length_category") == label)
-        for label in s.LENGTH_LABELS
-        if label != "one_off"
-    }

@@ -8,6 +8,7 @@ from convq.operators import filters as f
 from convq.operators.rollup import conversation_rollup
 
 SEED = 42
+PREFIX_DIGITS = 4
 SEGMENTS = 28  # seven buckets times four length classes
 
 
@@ -20,13 +21,13 @@ def _below_rate(order: Column, rate: float) -> Column:
 
 
 def random_conversations(messages: DataFrame, n: int, seed: int = SEED) -> DataFrame:
-    """Ids of ``n`` conversations; every task keeps its own ``n`` smallest first."""
-    return (
-        messages.select("conversation_id")
-        .distinct()
-        .orderBy(sample_order(F.col("conversation_id"), seed=seed), "conversation_id")
-        .limit(n)
-    )
+    """Ids of ``n`` conversations, those of the lowest order.
+
+    One group of ``lowest_per_group``: no task gets more than ``n`` rows and one prefix.
+    """
+    ids = messages.select("conversation_id").filter("conversation_id is not null").distinct()
+    ordered = ids.select("*", sample_order(F.col("conversation_id"), seed=seed).alias("order"))
+    return lowest_per_group(ordered, [], "order", n).select("conversation_id")
 
 
 def percent_sample(
@@ -50,12 +51,12 @@ def percent_sample(
 def lowest_per_group(df: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
     """The ``n`` rows of each group with the lowest hex ``order``, exactly.
 
-    Counts per three-digit prefix give the prefixes that can hold a wanted row;
-    all other rows drop out before the shuffle.  So a group that holds most of
-    the table brings ``n`` rows and one prefix to its task, not all of its rows.
-    The prefix table has at most 4096 rows per group.
+    Counts per prefix of ``PREFIX_DIGITS`` digits give the prefixes that can hold a
+    wanted row; all other rows drop out before the shuffle.  So a group that holds
+    most of the table brings ``n`` rows and one prefix, a 65,536th of the group, to
+    its task.  The prefix table has at most 65,536 rows per group.
     """
-    prefix = F.substring(order, 1, 3)
+    prefix = F.substring(order, 1, PREFIX_DIGITS)
     counts = df.groupBy(*by, prefix.alias("prefix")).agg(F.count("*").alias("n_prefix"))
     running = F.sum("n_prefix").over(W.partitionBy(*by).orderBy("prefix"))
     wanted = (
@@ -66,7 +67,7 @@ def lowest_per_group(df: DataFrame, by: list[str], order: str, n: int) -> DataFr
     rank = F.row_number().over(W.partitionBy(*by).orderBy(order, "conversation_id"))
     return (
         df.withColumn("prefix", prefix)
-        .join(F.broadcast(wanted), [*by, "prefix"], "left_semi")
+        .join(wanted, [*by, "prefix"], "left_semi")
         .withColumn("rank", rank)
         .filter(F.col("rank") <= n)
         .select(*df.columns)

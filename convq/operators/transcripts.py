@@ -1,10 +1,11 @@
-"""Conversations as one text.
+"""Conversations as text, in ordered parts of bounded size.
 
-A transcript is one string, so it must fit into one cell.  The whole-conversation
-transcripts are those of at most ``max_chars`` characters; ``oversize_messages``
-gives the rest, whole, as ordered messages.  There can be at most (all characters / max_chars)
-oversize conversations, so their ids are a bounded broadcast, and the messages of
-a hot conversation leave the plan before any shuffle.
+A transcript may be longer than any cell, so it comes as parts: joined in their order they are
+the whole text, of every conversation, whatever its length.  Parts end between messages; a part
+holds the messages that begin within the same ``part_chars`` characters.
+
+Where a message begins follows from two sums: the characters of earlier hours, a small table,
+and those of earlier messages of its own hour.  So no task ever orders a whole hot conversation.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from convq.functions import text as tx
 
-MAX_CHARS = 256 * 1024 * 1024
+PART_CHARS = 1 << 20
 ORDER = ("sent_at", "message_id")
 
 
-def oversize_conversations(messages: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
+def oversize_conversations(messages: DataFrame, max_chars: int) -> DataFrame:
     size = F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1)
     return (
         messages.groupBy("conversation_id")
@@ -27,35 +28,45 @@ def oversize_conversations(messages: DataFrame, max_chars: int = MAX_CHARS) -> D
     )
 
 
-def oversize_messages(messages: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
-    """Messages, in order, of the conversations too long for one cell."""
+def oversize_messages(messages: DataFrame, max_chars: int) -> DataFrame:
+    """Messages, in order, of the conversations of more than ``max_chars`` characters."""
     large = oversize_conversations(messages, max_chars)
-    return messages.join(F.broadcast(large), "conversation_id", "left_semi").orderBy(
-        "conversation_id", *ORDER
-    )
+    return messages.join(large, "conversation_id", "left_semi").orderBy("conversation_id", *ORDER)
 
 
-def _collected(messages: DataFrame, piece: Column, separator: str, name: str) -> DataFrame:
-    in_order = F.array_sort(F.collect_list(F.struct(*ORDER, piece.alias("piece"))))
-    return messages.groupBy("conversation_id").agg(
-        F.array_join(in_order["piece"], separator).alias(name)
+def _parts(messages: DataFrame, piece: Column, separator: str, name: str, part_chars: int) -> DataFrame:
+    # messages without a time share an hour that is before all others
+    hour = F.coalesce(F.date_trunc("hour", "sent_at"), F.lit("0001-01-01").cast("timestamp"))
+    pieces = messages.filter(F.col("conversation_id").isNotNull()).select(
+        "conversation_id", *ORDER, hour.alias("hour"), piece.alias("piece")
+    )
+    pieces = pieces.withColumn("size", F.length("piece") + len(separator))
+    earlier = W.partitionBy("conversation_id").orderBy("hour").rowsBetween(W.unboundedPreceding, -1)
+    hours = pieces.groupBy("conversation_id", "hour").agg(F.sum("size").alias("chars"))
+    hours = hours.select("conversation_id", "hour", F.coalesce(F.sum("chars").over(earlier), F.lit(0)).alias("before"))
+    within = W.partitionBy("conversation_id", "hour").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
+    begin = F.col("before") + F.coalesce(F.col("before_in_hour"), F.lit(0))
+    placed = (
+        pieces.withColumn("before_in_hour", F.sum("size").over(within))
+        .join(hours, ["conversation_id", "hour"])
+        .withColumn("part", F.floor(begin / part_chars))
+    )
+    in_order = F.array_sort(F.collect_list(F.struct(*ORDER, "piece")))["piece"]
+    lead = F.when(F.col("part") > 0, separator).otherwise("")
+    return placed.groupBy("conversation_id", "part").agg(F.array_join(in_order, separator).alias(name)).withColumn(
+        name, F.concat(lead, F.col(name))
     )
 
 
-def _whole(messages: DataFrame, piece: Column, max_chars: int) -> DataFrame:
-    large = oversize_conversations(messages, max_chars)
-    fitting = messages.join(F.broadcast(large), "conversation_id", "left_anti")
-    return _collected(fitting, piece, " ", "combined_text")
-
-
-def transcript_plain(messages: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
+def transcript_plain(messages: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """``conversation_id, part, combined_text``; a null text counts as empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return _whole(messages, text, max_chars)
+    return _parts(messages, text, " ", "combined_text", part_chars)
 
 
-def transcript_stripped(messages: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
+def transcript_stripped(messages: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
     text = tx.strip(F.coalesce(F.col("text"), F.lit("")))
-    return _whole(messages, text, max_chars)
+    return _parts(messages, text, " ", "combined_text", part_chars)
 
 
 def first_messages(messages: DataFrame, n: int = 15) -> DataFrame:
@@ -68,9 +79,22 @@ def first_messages(messages: DataFrame, n: int = 15) -> DataFrame:
     return messages.withColumn("position", rank).filter(F.col("position") <= n)
 
 
-def transcript_authored(messages: DataFrame, n: int = 15) -> DataFrame:
-    """``author: text`` lines of the first messages; a null text reads as empty."""
+def authored_parts(messages: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """``author: text`` lines of all messages, in parts; a null text reads as empty."""
     line = F.concat(
         F.coalesce(F.col("type"), F.lit("")), F.lit(": "), F.coalesce(F.col("text"), F.lit(""))
     )
-    return _collected(first_messages(messages, n), line, "\n", "full_conversation")
+    return _parts(messages, line, "\n", "full_conversation", part_chars)
+
+
+def transcript_authored(messages: DataFrame, n: int | None = None) -> DataFrame:
+    """One text per conversation, as a reader or a judge gets it: all messages, or the first ``n``.
+
+    Here a conversation must fit into one cell, as it must fit into one prompt; see
+    ``authored_parts`` for the others.
+    """
+    parts = authored_parts(messages if n is None else first_messages(messages, n))
+    in_order = F.array_sort(F.collect_list(F.struct("part", "full_conversation")))
+    return parts.groupBy("conversation_id").agg(
+        F.array_join(in_order["full_conversation"], "").alias("full_conversation")
+    )

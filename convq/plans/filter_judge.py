@@ -12,10 +12,12 @@ from convq.operators import joins, reports, sampling, transcripts
 from convq.sources import sinks
 
 
-def sampled_transcripts(messages: DataFrame, n: int = 10, seed: int = sampling.SEED) -> DataFrame:
-    """Authored transcripts of ``n`` random conversations."""
+def sampled_transcripts(
+    messages: DataFrame, n: int = 10, seed: int = sampling.SEED, first: int | None = None
+) -> DataFrame:
+    """Authored transcripts of ``n`` random conversations, of their ``first`` messages if given."""
     ids = sampling.random_conversations(messages, n, seed)
-    return transcripts.transcript_authored(joins.fetch_by_ids(messages, ids))
+    return transcripts.transcript_authored(joins.fetch_by_ids(messages, ids), first)
 
 
 def filter_and_judge(
@@ -24,10 +26,11 @@ def filter_and_judge(
     path: str,
     n: int = 10,
     seed: int = sampling.SEED,
+    first: int | None = None,
 ) -> dict[str, DataFrame]:
     """Run the whole job; answers are written once and everything reads them back."""
     spark = messages.sparkSession
-    sampled = sampled_transcripts(messages, n, seed)
+    sampled = sampled_transcripts(messages, n, seed, first)
     sinks.write_json_report(sampled, f"{path}/sampled_conversations")  # for inspection
     stored = spark.read.schema(sampled.schema).json(f"{path}/sampled_conversations")
     answers = judge.judge_responses(f.prefilter(stored), scorer)

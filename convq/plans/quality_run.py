@@ -77,7 +77,7 @@ def stratified_run(
     ids = sampling.stratified_sample(messages, target, seed)
     sampled = joins.fetch_by_ids(messages, ids)
     flags = written_flags(sampled, path, profile)
-    return QualityRun(flags, "stratified_even_sampling_comprehensive")
+    return QualityRun(flags, "even strata")
 
 
 def classic_run(
@@ -119,4 +119,4 @@ def stored_run(
 ) -> QualityRun:
     """The stratified reports over a stored copy."""
     stored = joins.fetch_by_ids(messages, metadata)
-    return QualityRun(written_flags(stored, path, profile), "local_database_analysis")
+    return QualityRun(written_flags(stored, path, profile), "stored copy")

@@ -37,13 +37,16 @@ def usable_ids_summary(usable: DataFrame) -> DataFrame:
     )
 
 
+def write_id_lists(usable: DataFrame, path: str, *by: str) -> None:
+    """Text lists of ids below ``path``: one, or one folder per value of ``by``."""
+    ids = usable.select(*by, F.col("conversation_id").cast("string"))
+    writer = (ids.hint("rebalance", *by) if by else ids).write.mode("overwrite")
+    (writer.partitionBy(*by) if by else writer).text(path)
+
+
 def write_usable_ids(usable: DataFrame, path: str) -> None:
-    """Text lists of ids, one folder per segment, and their summary as JSON."""
-    (
-        usable.select("length_category", "time_bucket", F.col("conversation_id").cast("string"))
-        .hint("rebalance", "length_category", "time_bucket")
-        .write.mode("overwrite")
-        .partitionBy("length_category", "time_bucket")
-        .text(f"{path}/ids")
-    )
+    """Lists of ids by segment, by time and all in one, and their summary as JSON."""
+    write_id_lists(usable, f"{path}/ids", "length_category", "time_bucket")
+    write_id_lists(usable, f"{path}/by_time", "time_bucket")
+    write_id_lists(usable, f"{path}/all")
     write_json_report(usable_ids_summary(usable), f"{path}/summary")

@@ -45,21 +45,30 @@ class MessageStore:
         pulls = self._read("pulls")
         if pulls is None:
             return None
-        # pulls: one short row per pull ever made
-        return self.spark.read.parquet(self._path(table)).join(
-            F.broadcast(pulls), "pull", "left_semi"
-        )
+        return self.spark.read.parquet(self._path(table)).join(pulls.distinct(), "pull", "left_semi")
+
+    def _owners(self) -> DataFrame | None:
+        """Each stored id with the pull it belongs to.
+
+        Two pulls at the same time may both fetch an id; the smaller pull counts.
+        """
+        rows = self._committed("stored_ids")
+        return rows and rows.groupBy("conversation_id").agg(F.min("pull").alias("pull"))
 
     def stored_ids(self) -> DataFrame:
         """Ids of the conversations that finished pulls have stored."""
-        rows = self._committed("stored_ids")
-        if rows is None:
+        owners = self._owners()
+        if owners is None:
             return self.metadata().select("conversation_id").limit(0)
-        return rows.select("conversation_id")
+        return owners.select("conversation_id")
+
+    def _owned_messages(self) -> DataFrame | None:
+        rows = self._committed("messages")
+        return rows and rows.join(self._owners(), ["conversation_id", "pull"], "left_semi")
 
     def messages(self, start: str | None = None, end: str | None = None) -> DataFrame:
         """Messages of fully stored conversations; a date range reads its quarters only."""
-        rows = self._committed("messages")
+        rows = self._owned_messages()
         if rows is None:
             raise ValueError("nothing stored yet: pull messages first")
         if start:
@@ -100,7 +109,7 @@ class MessageStore:
         marked = self.metadata().join(
             self.stored_ids().withColumn("stored", F.lit(True)), "conversation_id", "left"
         )
-        messages = self._committed("messages")
+        messages = self._owned_messages()
         return store_status(marked, messages)
 
 

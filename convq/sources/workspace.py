@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one the cluster names in spark.checkpoint.dir.
-
-    Only where that is unset, as in local tests, a temporary folder is used.
-    """
+    """A fresh folder below the shared one that the session names in spark.checkpoint.dir."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
-    if shared:
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
+    if not shared:
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return tempfile.mkdtemp(prefix=f"{name}-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def name_folder(spark: SparkSession, path: str) -> None:
+    """Name ``path`` as the shared folder of a local session that has none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.startswith("local["):
+        spark.conf.set("spark.checkpoint.dir", path)

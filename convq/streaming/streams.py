@@ -63,12 +63,22 @@ def daily_flag_counts(messages: DataFrame, profile: Profile = OPTIMIZED) -> Data
 
 
 def stream_message_flags(
-    messages: DataFrame,
-    path: str,
-    checkpoint: str,
-    watermark: str = "7 days",
-    profile: Profile = OPTIMIZED,
+    messages: DataFrame, path: str, checkpoint: str, profile: Profile = OPTIMIZED
 ) -> StreamingQuery:
-    """Write daily flag counts; a day is written once the watermark has passed it."""
-    counts = daily_flag_counts(messages.withWatermark("sent_at", watermark), profile)
-    return _run(counts.writeStream, path, checkpoint)
+    """Write each batch's flag counts per day; ``read_daily_flag_counts`` sums them.
+
+    No row is too late and no day has to be over: counts of batches add up however the files
+    fall into them.  A batch that runs again writes its own folder anew.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        daily_flag_counts(batch, profile).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
+def read_daily_flag_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Days and counts of all batches that ``stream_message_flags`` has written."""
+    counts = ["n_messages", *[f"n_{name}" for name in rules.FLAGS]]
+    return spark.read.parquet(path).groupBy("day").agg(*[F.sum(name).alias(name) for name in counts])

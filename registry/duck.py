@@ -6,6 +6,9 @@ where Spark compares fingerprints.
 
 from __future__ import annotations
 
+from convq import schema
+from convq.functions import rules
+
 EPOCH = "timestamp '2023-06-15 00:00:00'"
 W = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 UNICODE_SPACE = r"\t-\r\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -43,47 +46,39 @@ VERDICTS = """
 
 # ---- fixed values: dates, names, word lists ----
 START, END = "timestamp '2023-07-01'", "timestamp '2025-01-31'"
-BUCKETS = [
-    ("2023-Q3", "2023-07-01", "2023-09-30"),
-    ("2023-Q4", "2023-10-01", "2023-12-31"),
-    ("2024-Q1", "2024-01-01", "2024-03-31"),
-    ("2024-Q2", "2024-04-01", "2024-06-30"),
-    ("2024-Q3", "2024-07-01", "2024-09-30"),
-    ("2024-Q4", "2024-10-01", "2024-12-31"),
-    ("2025-Q1", "2025-01-01", "2025-01-31"),
-]
+BUCKETS = schema.TIME_BUCKETS
 BUCKET_TABLE = (
     "buckets as (select * from (values "
     + ", ".join(f"('{q}', date '{a}', date '{b}')" for q, a, b in BUCKETS)
     + ") as b(time_bucket, start_date, end_date))"
 )
-ISSUES = [
-    "empty", "too_short", "too_long", "duplicate", "gibberish", "non_text_heavy", "offensive",
-    "spam", "non_conversational", "encoding_issues", "language_issues", "single_turn",
-    "low_quality", "repetitive_spam",
-]
-MESSAGE_FLAGS = [
-    "empty", "too_short", "too_long", "gibberish", "non_text_heavy", "offensive", "spam",
-    "non_conversational", "encoding_issues", "language_issues",
-]
-MAJOR = [
-    "empty", "too_short", "gibberish", "spam", "offensive", "encoding_issues", "low_quality",
-    "repetitive_spam",
-]
-LOW = [
-    "empty", "too_short", "gibberish", "non_text_heavy", "offensive", "spam", "encoding_issues",
-    "language_issues", "non_conversational", "repetitive_spam",
-]
-TERMS = (
-    "fuck|shit|damn|bitch|ass|crap|hell|stupid|idiot|moron|retard|hate|kill|die|death"
-    "|nazi|hitler|terrorist"
-)
-PROMO = (
-    "click here|visit (our )?website|buy now|free (offer|gift|trial)|limited time (offer|deal)"
-    "|act now"
-)
-EXTRA = "discount code|huge sale"
-# ---- end of fixed values ----
+# the judge's prompt, here as the check's own statement of it
+PROMPT_HEAD = """You are an expert conversation evaluator for large language model training. Your task is to analyze conversations between users and AI assistants to determine their suitability for LLM fine-tuning.
+
+IMPORTANT: Your response MUST be a valid JSON object. Do not include backticks, markdown code block markers, or any other text outside the JSON object.
+
+[CONVERSATION]
+"""
+PROMPT_TAIL = """
+[END CONVERSATION]
+
+Evaluate this conversation and return a JSON object with these fields:
+
+- quality (integer 1-10): The overall quality of the conversation for fine-tuning.
+- topic (string): The main subject from the provided list.
+- summary (string): A concise 10-20 word description.
+- classification_reasoning (string): Brief reasoning for the quality and safety classifications.
+- contains_pii (boolean): True if PII is present.
+- contains_sensitive_content (boolean): True if PHI or other sensitive topics are present.
+- is_safe (boolean): True if the conversation contains NO harmful material.
+- response_accuracy (string): "high" | "medium" | "low".
+- ai_assistant_is_wrong (boolean): True if the assistant is clearly incorrect.
+- language (string): The primary language used."""
+# ---- end of fixed values; names and word lists are stated once, in schema and rules ----
+ISSUES, MAJOR, LOW = schema.ISSUES, schema.MAJOR_ISSUES, schema.LOW_QUALITY_ISSUES
+MESSAGE_FLAGS = rules.FLAGS
+TERMS = "|".join(term for group in rules.OFFENSIVE_TERMS for term in group)
+PROMO, EXTRA = "|".join(rules.PROMO), "|".join(rules.PROMO_EXTRA)
 
 
 def in_range(column: str = "sent_at") -> str:

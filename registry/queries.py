@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from convq.functions import judge, rules
+from convq.functions import text as tx
 from convq.functions import tokens as tk
 from convq.functions.rules import CLASSIC
 from convq.operators import costs, joins, quality, reports, rollup, sampling, transcripts
 from convq.operators import duplicates as dup
 from convq.operators import filters as f
 from convq.plans.filter_judge import filter_and_judge
-from convq.plans.quality_run import classic_run, stratified_run
+from convq.plans.quality_run import classic_run, stored_run, stratified_run
 from convq.plans.token_cost import token_cost_run
 from convq.sources import messages as msg
 from convq.sources import sinks, store, views
@@ -110,14 +111,19 @@ EARLIER = f"""
              where sent_at >= {duck.START} and sent_at <= timestamp '{FIRST_PULL_END}')"""
 
 
-def _materialized(spark, sf):
-    return _earlier_store(spark, sf).messages()
+def _whole_store(spark, sf) -> MessageStore:
+    kept = MessageStore(spark, work_folder(spark, "store"))
+    kept.refresh(VIEW["conv"](spark, sf))
+    return kept
 
 
 add(
     "materialize_messages",
-    _materialized,
-    with_sql(duck.rollup_ctes("conv") + "," + EARLIER, "select * exclude (upto) from kept"),
+    lambda spark, sf: _whole_store(spark, sf).messages(),
+    with_sql(
+        duck.rollup_ctes("conv"),
+        f"select * from m where {duck.in_range()} and conversation_id in (select conversation_id from two)",
+    ),
 )
 
 
@@ -179,14 +185,10 @@ add(
 )
 
 
-def _stored_back(spark, sf):
-    return _earlier_store(spark, sf).stored_ids()
-
-
 add(
     "read_stored",
-    _stored_back,
-    with_sql(duck.rollup_ctes("conv") + "," + EARLIER, "select conversation_id from early"),
+    lambda spark, sf: _whole_store(spark, sf).stored_ids(),
+    with_sql(duck.rollup_ctes("conv"), "select conversation_id from two"),
 )
 
 
@@ -317,12 +319,12 @@ for name, target in (("conv", 56), ("pairs", 840), ("doc", 28)):
     )
 
 
-def _transcripts_sql(view: str) -> str:
+def _transcripts_sql(view: str, n: int | None = None) -> str:
     return f"""m as ({duck.VIEWS[view]}),
     first as (select *, row_number() over (partition by conversation_id order by sent_at, message_id) as position from m),
     t as (select conversation_id, string_agg(coalesce(type, '') || ': ' || coalesce(text, ''), chr(10)
                  order by sent_at, message_id) as full_conversation
-          from first where position <= 15 group by conversation_id),
+          from first {f"where position <= {n}" if n else ""} group by conversation_id),
     a as (select *, length(full_conversation) as n,
                  cast({duck.without('full_conversation', '[^\\p{L}]')} as double) / length(full_conversation) as alpha
           from t)"""
@@ -353,7 +355,7 @@ for name in ("conv", "pairs"):
 add(
     "first_15_messages",
     on("doc", transcripts.first_messages),
-    with_sql(_transcripts_sql("doc"), "select * from first where position <= 15"),
+    with_sql(_transcripts_sql("doc", 15), "select * from first where position <= 15"),
 )
 
 # -------------------------------------------------------------------- joins
@@ -477,9 +479,22 @@ for name in ("conv", "doc"):
                from two where length_category <> 'one_off' group by 1, 2""",
         ),
     )
+
+
+def _approx_distinct(spark, sf):
+    """Whether the estimate is within five percent of the exact count."""
+    m = VIEW["pairs"](spark, sf)
+    both = [rollup.distinct_conversations(m, approximate=how).select(F.lit(how).alias("how"), "n_conversations") for how in (True, False)]
+    counts = both[0].unionByName(both[1])
+    n = lambda how: F.max(F.when(F.col("how") == how, F.col("n_conversations")))
+    return counts.agg((F.abs(n(True) - n(False)) / n(False) < 0.05).alias("close"), n(False).alias("n_conversations"))
+
+
 add(
     "approx_distinct_conversations",
-    on("pairs", rollup.distinct_conversations, approximate=True),
+    _approx_distinct,
+    f"""select true as close, count(distinct conversation_id) as n_conversations
+        from ({duck.VIEWS['pairs']}) where {duck.in_range()}""",
 )
 
 # -------------------------------------------------------------- transcripts
@@ -488,19 +503,20 @@ for name in ("conv", "doc"):
     add(
         f"transcript_plain_{name}",
         on(name, transcripts.transcript_plain),
-        f"""select conversation_id, string_agg(coalesce(text, ''), ' ' order by sent_at, message_id) as combined_text
+        f"""select conversation_id, 0::bigint as part,
+                   string_agg(coalesce(text, ''), ' ' order by sent_at, message_id) as combined_text
             from ({duck.VIEWS[name]}) group by 1""",
     )
     add(
         f"transcript_authored_{name}",
-        on(name, transcripts.transcript_authored),
-        with_sql(_transcripts_sql(name), "select * from t"),
+        on(name, transcripts.transcript_authored, 15),
+        with_sql(_transcripts_sql(name, 15), "select * from t"),
     )
 add(
     "transcript_stripped",
     on("doc", transcripts.transcript_stripped),
-    f"""select conversation_id, string_agg({duck.strip("coalesce(text, '')")}, ' ' order by sent_at, message_id)
-               as combined_text from ({duck.VIEWS['doc']}) group by 1""",
+    f"""select conversation_id, 0::bigint as part,
+               string_agg({duck.strip("coalesce(text, '')")}, ' ' order by sent_at, message_id) as combined_text from ({duck.VIEWS['doc']}) group by 1""",
 )
 OVERSIZE = 100_000
 add(
@@ -802,6 +818,22 @@ def _ids_export(spark, sf):
 
 add("usable_ids_export", _ids_export, SUMMARY_SQL)
 
+for part, columns in (("ids", "length_category, time_bucket, "), ("by_time", "time_bucket, "), ("all", "")):
+
+    def _ids_back(spark, sf, part=part):
+        path = work_folder(spark, "usable-ids")
+        sinks.write_usable_ids(QUERIES["usable_conversations"](spark, sf), path)
+        return spark.read.text(f"{path}/{part}").withColumnRenamed("value", "conversation_id")
+
+    add(
+        f"usable_{part}_read_back",
+        _ids_back,
+        with_sql(
+            duck.conversation_ctes("pairs"),
+            f"select {columns}cast(conversation_id as varchar) as conversation_id from c where usable",
+        ),
+    )
+
 
 def _json_report(spark, sf):
     path = work_folder(spark, "report")
@@ -874,7 +906,8 @@ for name in ("conv", "doc"):
 
 def _words_and_marks(spark, sf):
     t = transcripts.transcript_plain(VIEW["conv"](spark, sf))
-    return t.select("conversation_id", tk.count_words_and_marks(F.col("combined_text")).alias("token_count"))
+    count = F.sum(tk.count_words_and_marks(F.col("combined_text")))
+    return t.groupBy("conversation_id").agg(count.alias("token_count"))
 
 
 add(
@@ -888,7 +921,7 @@ add(
 
 def _count_tokens(spark, sf):
     def split_on_space(texts):
-        return [t.split(" ") for t in texts]
+        return [[w for w in t.split(" ") if w] for t in texts]
 
     rows = costs.token_rows(VIEW["doc"](spark, sf), tk.tokenizer_counts(split_on_space))
     return rows.select("conversation_id", "length_category", "token_count")
@@ -901,7 +934,7 @@ add(
         duck.token_ctes("doc"),
         f""", j as (select conversation_id, string_agg(coalesce(text, ''), ' ' order by sent_at, message_id) as t
                    from m where {duck.in_range()} group by 1)
-        select conversation_id, length_category, cast(len(string_split(t, ' ')) as bigint) as token_count
+        select conversation_id, length_category, cast(len(regexp_extract_all(t, '[^ ]+')) as bigint) as token_count
         from tok join j using (conversation_id)""",
     ),
 )
@@ -914,6 +947,16 @@ def _token_csv(spark, sf):
 
 add("token_cost_csv", _token_csv, ORACLES["cost_summary_doc"])
 
+
+def _token_csv_back(spark, sf):
+    path = work_folder(spark, "tokens")
+    token_cost_run(VIEW["doc"](spark, sf), path)
+    kinds = costs.token_rows(VIEW["doc"](spark, sf)).schema
+    return spark.read.option("header", True).schema(kinds).csv(f"{path}/tokens")
+
+
+add("token_rows_read_back", _token_csv_back, ORACLES["estimate_tokens_doc"])
+
 # -------------------------------------------------------------------- judge
 
 
@@ -929,8 +972,8 @@ add(
     ),
     with_sql(
         _transcripts_sql("conv"),
-        f"""select conversation_id, {_quote(judge.PROMPT_HEAD)} || full_conversation ||
-                   {_quote(judge.PROMPT_TAIL)} as prompt from t""",
+        f"""select conversation_id, {_quote(duck.PROMPT_HEAD)} || full_conversation ||
+                   {_quote(duck.PROMPT_TAIL)} as prompt from t""",
     ),
 )
 
@@ -966,15 +1009,15 @@ add(
 
 
 def _stub_scorer():
-    """Deterministic stand-in for a judge: answers by length, refuses long conversations."""
+    """Deterministic stand-in for a judge: answers by length, fails on every seventh length."""
     head, tail = len(judge.PROMPT_HEAD), len(judge.PROMPT_TAIL)
 
     def score(question: str) -> str:
         import json
 
         n = len(question) - head - tail
-        if n > 5000:
-            raise ValueError("conversation too long for this judge")
+        if n % 7 == 0:
+            raise ValueError("the judge did not answer")
         verdict = {"quality": 1 + n % 10, "is_safe": n % 3 != 0, "language": "xx"}
         return "```json\n" + json.dumps(verdict) + "\n```"
 
@@ -994,7 +1037,33 @@ add(
     with_sql(
         _transcripts_sql("pairs"),
         f"""select conversation_id, cast(1 + n % 10 as int) as quality, n % 3 <> 0 as is_safe, 'xx' as language
-            from {READABLE} where n <= 5000""",
+            from {READABLE} where n % 7 <> 0""",
+    ),
+)
+
+
+def _judge_errors(spark, sf):
+    """Errors of the whole run, each with the number of verdicts and of conversations asked."""
+    readable = f.prefilter(transcripts.transcript_authored(VIEW["pairs"](spark, sf)))
+    answers = judge.judge_responses(readable, _stub_scorer())
+    path = work_folder(spark, "answers")
+    answers.write.parquet(path)
+    verdicts, errors = judge.split_verdicts(spark.read.parquet(path))
+    return (
+        errors.select("error", F.lit(1).alias("wrong"))
+        .unionByName(verdicts.select(F.lit(None).cast("string").alias("error"), F.lit(0).alias("wrong")))
+        .agg(F.max("error").alias("error"), F.sum("wrong").alias("errors"), F.count("*").alias("asked"))
+        .withColumn("verdicts", F.col("asked") - F.col("errors"))
+    )
+
+
+add(
+    "judge_errors",
+    _judge_errors,
+    with_sql(
+        _transcripts_sql("pairs"),
+        f"""select 'the judge did not answer' as error, cast(count(*) filter (where n % 7 = 0) as bigint) as errors,
+                   count(*) as asked, cast(count(*) filter (where n % 7 <> 0) as bigint) as verdicts from {READABLE}""",
     ),
 )
 
@@ -1011,7 +1080,7 @@ add(
              order by {duck.order_hash(SEED, 'conversation_id')}, conversation_id limit 200),
         {_transcripts_sql('pairs')},
         v as (select 1 + n % 10 as quality, n % 3 <> 0 as is_safe
-              from {READABLE} semi join ids using (conversation_id) where n <= 5000)
+              from {READABLE} semi join ids using (conversation_id) where n % 7 <> 0)
         select count(*) as total_conversations, round(avg(quality), 6) as quality_mean,
                round(median(quality), 6) as quality_median, round(stddev_samp(quality), 6) as quality_std,
                count(*) filter (where is_safe) as safe_conversations, 0::bigint as contains_pii,
@@ -1056,6 +1125,26 @@ add(
 )
 
 
+def _stored_run(spark, sf):
+    kept = _whole_store(spark, sf)
+    run = stored_run(kept.metadata(), kept.messages(), work_folder(spark, "run"))
+    return reports.stratified_metrics(run.flags)
+
+
+add(
+    "stored_run",
+    _stored_run,
+    with_sql(
+        duck.segment_ctes(
+            "conv",
+            source=f"""with {duck.rollup_ctes('conv')} select * from m
+                       where {duck.in_range()} and conversation_id in (select conversation_id from two)""",
+        ),
+        "select * from seg",
+    ),
+)
+
+
 def _classic_run(spark, sf):
     run = classic_run(VIEW["conv"](spark, sf), work_folder(spark, "run"), two_sided=True)
     return reports.quality_metrics(run.flags)
@@ -1078,10 +1167,17 @@ add(
 # ---------------------------------------------------------------- streaming
 
 
-def _document_stream(spark, sf):
-    """The documents table as a file stream."""
+def _document_stream(spark, sf, folder=None, **options):
+    """The documents table as a file stream, out of ``folder`` if it was copied there."""
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    return views.doc_messages_from(streams.read_messages(spark, f"{sf}/documents*.parquet", schema))
+    path = folder or f"{sf}/documents*.parquet"
+    return views.doc_messages_from(streams.read_messages(spark, path, schema, **options))
+
+
+def _six_files(spark, sf) -> str:
+    path = work_folder(spark, "stream-source")
+    spark.read.parquet(f"{sf}/documents.parquet").repartition(6, "doc_id").write.parquet(path)
+    return path
 
 
 def _stream_pull(spark, sf):
@@ -1095,11 +1191,12 @@ add("stream_pull", _stream_pull, ORACLES["date_range_filter_doc"])
 
 
 def _stream_flags(spark, sf):
-    path = work_folder(spark, "stream")
-    streams.stream_message_flags(
-        _document_stream(spark, sf), f"{path}/table", f"{path}/state"
-    ).awaitTermination()
-    return spark.read.parquet(f"{path}/table")
+    """Six files, one per batch, and a restart that finds nothing new."""
+    path, source = work_folder(spark, "stream"), _six_files(spark, sf)
+    for _ in range(2):
+        stream = _document_stream(spark, sf, source, maxFilesPerTrigger=1)
+        streams.stream_message_flags(stream, f"{path}/table", f"{path}/state").awaitTermination()
+    return streams.read_daily_flag_counts(spark, f"{path}/table")
 
 
 DAILY = f"""select cast(date_trunc('day', sent_at) as timestamp) as day, count(*) as n_messages,
@@ -1108,11 +1205,7 @@ DAILY = f"""select cast(date_trunc('day', sent_at) as timestamp) as day, count(*
 add(
     "stream_message_flags",
     _stream_flags,
-    with_sql(
-        duck.flag_ctes("doc"),
-        # a day is complete once the newest message is seven days past its end
-        f"select * from ({DAILY}) where day + interval 8 day <= (select max(sent_at) from m)",
-    ),
+    with_sql(duck.flag_ctes("doc"), DAILY),
 )
 add(
     "daily_message_flags",
@@ -1121,16 +1214,38 @@ add(
 )
 
 
+DEDUP_DAYS, SPAN = 30, 120
+
+
 def _stream_dedup(spark, sf):
-    path = work_folder(spark, "stream")
-    kept = streams.stream_dedup(_document_stream(spark, sf), "3650 days").select("text")
+    """What the watermark promises, over files in the order of time, one per batch.
+
+    Every text is kept; it may come again only after the watermark's time.
+    """
+    path, source = work_folder(spark, "stream"), work_folder(spark, "stream-source")
+    m = VIEW["doc"](spark, sf)
+    span = F.floor(F.datediff("sent_at", F.lit(views.EPOCH)) / SPAN)
+    for k in range(640 // SPAN + 1):  # the view's times lie within 640 days and the hours of a day
+        m.filter(span == k).coalesce(1).write.mode("append").parquet(source)
+    m.filter(span > 640 // SPAN).coalesce(1).write.mode("append").parquet(source)
+    stream = streams.read_messages(spark, source, m.schema, maxFilesPerTrigger=1)
+    kept = streams.stream_dedup(stream, f"{DEDUP_DAYS} days").select("text", "sent_at")
     writer = kept.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
     writer.option("path", f"{path}/table").option("checkpointLocation", f"{path}/state").start().awaitTermination()
-    texts = spark.read.parquet(f"{path}/table")
-    return texts.select(F.lower(F.btrim("text")).alias("norm")).groupBy("norm").agg(F.count("*").alias("n"))
+    texts = spark.read.parquet(f"{path}/table").withColumn("norm", tx.normalise(F.col("text")))
+    seconds = F.col("sent_at").cast("long")
+    gap = seconds - F.lag(seconds).over(W.partitionBy("norm").orderBy("sent_at"))
+    per_text = texts.withColumn("gap", gap).groupBy("norm").agg(F.min("gap").alias("gap"))
+    return per_text.agg(
+        F.count("*").alias("n_texts"), F.count_if(F.col("gap") <= DEDUP_DAYS * 86400).alias("too_early")
+    )
 
 
-add("stream_dedup", _stream_dedup)
+add(
+    "stream_dedup",
+    _stream_dedup,
+    f"select count(distinct lower({duck.strip('text')})) as n_texts, 0::bigint as too_early from documents",
+)
 
 
 def _plain_names(table: dict) -> dict:

@@ -110,14 +110,19 @@ def test_samples_repeat_and_follow_the_seed(make):
 
 def test_oversize_conversations_come_whole_as_messages(make):
     m = make({1: ["x" * 50] * 4, 2: ["short", "talk"]})
-    assert {r.conversation_id: r.combined_text for r in transcripts.transcript_plain(m, 100).collect()} == {2: "short talk"}
     assert [r.text for r in transcripts.oversize_messages(m, 100).collect()] == ["x" * 50] * 4
-    assert transcripts.transcript_plain(m).count() == 2
+    whole = {r.conversation_id: r.combined_text for r in transcripts.transcript_plain(m).collect()}
+    assert whole == {1: " ".join(["x" * 50] * 4), 2: "short talk"}
+    parts = {}
+    for r in transcripts.transcript_plain(m, 60).orderBy("part").collect():
+        parts[r.conversation_id] = parts.get(r.conversation_id, "") + r.combined_text
+    assert parts == whole
+    assert transcripts.transcript_plain(m, 60).count() > 2
 
 
 def test_authored_transcript_keeps_fifteen_lines(make):
     m = make({1: [f"line {i}" for i in range(40)], 2: [None, "b"]})
-    got = {r.conversation_id: r.full_conversation for r in transcripts.transcript_authored(m).collect()}
+    got = {r.conversation_id: r.full_conversation for r in transcripts.transcript_authored(m, 15).collect()}
     assert got[1].split("\n") == [f"{'AI_TO_HUMAN' if i % 2 else 'HUMAN_TO_AI'}: line {i}" for i in range(15)]
     assert got[2] == "HUMAN_TO_AI: \nAI_TO_HUMAN: b"
 
