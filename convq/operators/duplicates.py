@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from convq.functions import fingerprint as fp
 from convq.functions import text as tx
 from convq.functions.rules import OPTIMIZED, Profile
+from convq.sources.workspace import stored
 
 WHOLE, MESSAGE = 0, 1
 PART = 65_536  # message ids per group of one conversation and instant
@@ -72,15 +73,17 @@ def _fold(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def conversation_fingerprints(instants: DataFrame) -> DataFrame:
-    """One fingerprint per conversation, joined in time order in three steps.
+    """One fingerprint per conversation, joined in time order in four steps.
 
     The steps bound what a task collects for a hot conversation: ``PART`` message
-    ids of one instant, then one minute, then all minutes of the conversation.
+    ids of one instant, then one minute, the 1,440 minutes of a day, and its days.
     """
     step = instants.withColumn("pieces", F.expr("flatten(messages.pieces)")).drop("messages")
     step = fp.compress(step)
     step = _fold(step, ["conversation_id", "minute"], ["sent_at", "part"])
-    return _fold(step, ["conversation_id"], ["minute"])
+    step = step.withColumn("day", F.to_date("minute"))
+    step = _fold(step, ["conversation_id", "day"], ["minute"])
+    return _fold(step, ["conversation_id"], ["day"])
 
 
 def occurrences(
@@ -148,7 +151,7 @@ def first_occurrence(
 
     The optimized profile leaves blank texts out.
     """
-    texts = occurrences(instants(fingerprints), checked_ids)
+    texts = stored(occurrences(instants(fingerprints), checked_ids), "occurrences")
     if not profile.classic:
         texts = texts.filter(~F.col("blank"))
     texts = texts.drop("blank")
@@ -174,16 +177,23 @@ def message_duplicates(messages: DataFrame, profile: Profile = OPTIMIZED) -> Dat
     never count as repeats in the optimized profile.
     """
     normal = tx.normalise(F.coalesce(F.col("text"), F.lit("")))
-    rows = messages.select(
-        "conversation_id",
-        "sent_at",
-        "message_id",
-        (normal == "").alias("blank"),
-        F.sha2(normal, 256).alias("text_key"),
-    )
-    place = F.struct("conversation_id", "sent_at", "message_id")
+    rows = messages.withColumn("norm", normal).select(*PLACE, *keys_of("norm"))
+    return mark_duplicates(stored(rows, "text-keys"), profile).select("conversation_id", "message_id", "duplicate")
+
+
+PLACE = ("conversation_id", "sent_at", "message_id")
+
+
+def keys_of(norm: str) -> list[Column]:
+    """``blank`` and ``text_key`` of a normalised text: all that its copies are found by."""
+    return [(F.col(norm) == "").alias("blank"), F.unhex(F.sha2(norm, 256)).alias("text_key")]
+
+
+def mark_duplicates(rows: DataFrame, profile: Profile = OPTIMIZED) -> DataFrame:
+    """``rows`` (``PLACE``, ``blank``, ``text_key`` and others) with ``duplicate``; a written table."""
+    place = F.struct(*PLACE)
     firsts = rows.groupBy("text_key").agg(F.min(place).alias("first")).select("first.*")
     marked = _mark_repeats(rows.drop("text_key"), firsts, ["conversation_id", "message_id"])
     if not profile.classic:
         marked = marked.withColumn("duplicate", F.col("duplicate") & ~F.col("blank"))
-    return marked.select("conversation_id", "message_id", "duplicate")
+    return marked.drop("blank")

@@ -16,6 +16,7 @@ from convq.functions import rules
 from convq.functions.rules import OPTIMIZED, Profile
 from convq.operators import duplicates as dup
 from convq.operators import filters as f
+from convq.sources.workspace import stored
 
 # ---- fixed values: thresholds of the conversation rules ----
 MIN_TEXT = 10
@@ -38,14 +39,16 @@ LOW_QUALITY_FROM = 3
 def message_flags(
     messages: DataFrame, profile: Profile = OPTIMIZED, duplicate: bool = True
 ) -> DataFrame:
-    """All eleven flags per message; only ids and flags leave the scan."""
-    flags = rules.with_message_flags(messages, profile).select(
-        "conversation_id", "message_id", *rules.FLAGS
-    )
+    """All eleven flags per message; only ids, flags and text keys leave the scan.
+
+    They are written once, and copies are found among these narrow rows.
+    """
+    flagged = rules.with_message_flags(messages, profile)
     if not duplicate:
-        return flags
-    repeats = dup.message_duplicates(messages, profile)
-    return flags.join(repeats, ["conversation_id", "message_id"])
+        return flagged.select("conversation_id", "message_id", *rules.FLAGS)
+    rows = flagged.select(*dup.PLACE, *rules.FLAGS, *dup.keys_of("norm"))
+    marked = dup.mark_duplicates(stored(rows, "message-flags"), profile)
+    return marked.select("conversation_id", "message_id", *rules.FLAGS, "duplicate")
 
 
 def message_flag(messages: DataFrame, name: str, profile: Profile = OPTIMIZED) -> DataFrame:
@@ -121,19 +124,10 @@ def gate_columns(profile: Profile = OPTIMIZED) -> dict[str, Column]:
     }
 
 
-def checked_conversations(features: DataFrame) -> DataFrame:
+def checked_conversations(counters: DataFrame) -> DataFrame:
     """Ids whose messages the optimized profile looks at: not empty, short or single."""
     gate = gate_columns(OPTIMIZED)
-    return (
-        features.groupBy("conversation_id")
-        .agg(
-            F.count("*").alias("n_messages"),
-            F.sum("n_stripped").alias("n_stripped"),
-            F.count_if(F.col("n_stripped") >= MEANINGFUL).alias("n_meaningful"),
-        )
-        .filter(~(gate["empty"] | gate["too_short"] | gate["single_turn"]))
-        .select("conversation_id")
-    )
+    return counters.filter(~(gate["empty"] | gate["too_short"] | gate["single_turn"])).select("conversation_id")
 
 
 def conversation_flags(
@@ -146,8 +140,11 @@ def conversation_flags(
     ``dedup_scope``: "shared" compares a conversation with earlier conversations
     and their messages, "conversation" only with conversations; ``None`` leaves
     duplicates unmarked and saves that work.
+
+    The features of the messages are written once, so the text is read once, whatever follows.
     """
-    return flags_from_features(message_features(messages, profile), profile, dedup_scope)
+    features = stored(message_features(messages, profile), "features")
+    return flags_from_features(features, profile, dedup_scope)
 
 
 def flags_from_features(
@@ -163,7 +160,7 @@ def flags_from_features(
     if dedup_scope is None:
         rows = rows.withColumn("duplicate", F.lit(False))
     else:
-        checked = None if profile.classic else checked_conversations(features)
+        checked = None if profile.classic else checked_conversations(conversation_counters(features))
         originals = dup.original_conversations(features, checked, dedup_scope)
         rows = rows.join(
             originals.withColumn("is_original", F.lit(True)), "conversation_id", "left"

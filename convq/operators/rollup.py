@@ -13,7 +13,9 @@ from convq.operators import filters as f
 
 
 def conversation_rollup(messages: DataFrame, *keys: str) -> DataFrame:
-    return messages.groupBy("conversation_id", *keys).agg(
+    """Counts per conversation; messages without a conversation id are set aside, here as in
+    flags, samples and transcripts (see ``unassigned_messages``)."""
+    return messages.filter(F.col("conversation_id").isNotNull()).groupBy("conversation_id", *keys).agg(
         F.count("*").alias("message_count"),
         F.count_if(F.col("type") == s.HUMAN).alias("human_count"),
         F.count_if(F.col("type") == s.AI).alias("ai_count"),
@@ -22,6 +24,13 @@ def conversation_rollup(messages: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def unassigned_messages(messages: DataFrame) -> DataFrame:
+    """Messages in all, and those that belong to no conversation: one row."""
+    return messages.agg(
+        F.count("*").alias("n_messages"), F.count_if(F.col("conversation_id").isNull()).alias("n_unassigned")
+    )
+
+
 def two_sided_conversations(messages: DataFrame, **date_range) -> DataFrame:
     """Rollup of the conversations with a human and an AI side inside the range."""
     return f.two_sided(conversation_rollup(f.date_range_filter(messages, **date_range)))

@@ -38,6 +38,7 @@ def percent_sample(
     ``by="message"`` draws messages and takes their conversations, which favours
     long conversations.
     """
+    messages = messages.filter(F.col("conversation_id").isNotNull())
     ids = [F.col("conversation_id")]
     if by == "message":
         ids.append(F.col("message_id"))

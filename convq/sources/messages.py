@@ -7,8 +7,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from convq.schema import MESSAGE_SCHEMA
 
 
+PARTITIONED_READ = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
+
+
 def scan(spark: SparkSession, path: str | None = None, format: str = "parquet", **options) -> DataFrame:
-    """A table by path, or any source by options, such as JDBC."""
+    """A table by path, or any source by options, such as JDBC.
+
+    A JDBC source is one task unless its reading is split, so the four options that split it
+    must be given.
+    """
+    if format == "jdbc":
+        missing = [name for name in PARTITIONED_READ if name not in options]
+        if missing:
+            raise ValueError(f"a JDBC source needs {', '.join(missing)}, or one task reads all of it")
     reader = spark.read.format(format).options(**options)
     return reader.load(path) if path else reader.load()
 
@@ -32,15 +43,3 @@ def message_view(source: DataFrame, columns: dict[str, str] | None = None) -> Da
         selected.append(column.alias(field))
     return source.select(*selected)
 
-
-def spread(source: DataFrame, *keys: str) -> DataFrame:
-    """Give every core a part of a small input that Spark would read in few tasks.
-
-    A file with one row group is one task, however long its texts.  Inputs with
-    enough partitions, that is all large ones, are left as they are.  ``keys``
-    should be unique, so that no part gets more than its share.
-    """
-    wanted = source.sparkSession.sparkContext.defaultParallelism
-    if source.rdd.getNumPartitions() >= wanted:
-        return source
-    return source.repartition(wanted, *keys)

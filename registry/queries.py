@@ -605,7 +605,7 @@ add(
 
 def _first_occurrence(spark, sf):
     m = VIEW["pairs"](spark, sf)
-    checked = quality.checked_conversations(quality.message_features(m))
+    checked = quality.checked_conversations(quality.conversation_counters(quality.message_features(m)))
     return dup.first_occurrence(dup.message_fingerprints(m), checked_ids=checked).drop("sent_at")
 
 
@@ -619,7 +619,7 @@ add(
 )
 add(
     "checked_conversations",
-    on("doc", lambda m: quality.checked_conversations(quality.message_features(m))),
+    on("doc", lambda m: quality.checked_conversations(quality.conversation_counters(quality.message_features(m)))),
     with_sql(
         duck.conversation_ctes("doc"),
         "select conversation_id from g where not (empty or too_short or single_turn)",

@@ -64,8 +64,28 @@ def test_date_filter_reaches_the_scan(spark, make, tmp_path):
     assert "GreaterThanOrEqual(sent_at" in text and "LessThanOrEqual(sent_at" in text
 
 
-def test_both_dedup_branches_share_the_fingerprints(spark):
-    df = QUERIES["conversation_flags"](spark, SF_DIR)
+@pytest.fixture
+def large_input(spark, tmp_path):
+    """Several files, and no table small enough to be broadcast."""
+    for name in ("documents", "conversations", "labels"):
+        table = spark.read.parquet(f"{SF_DIR}/{name}.parquet").repartition(6)
+        table.write.parquet(str(tmp_path / f"{name}.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield str(tmp_path)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["conversation_flags", "message_flags", "first_occurrence", "issue_report"])
+def test_text_is_read_once_and_then_narrow_rows(spark, large_input, name):
+    df = QUERIES[name](spark, large_input)
+    df.collect()
+    text = plan(df).split("== Initial Plan ==")[0]
+    assert "documents.parquet" not in text  # the one read of the text wrote the features
+    assert "CartesianProduct" not in text and "ArrowEvalPython" not in text
+
+
+def test_dedup_branches_share_the_fingerprints(spark, large_input):
+    df = QUERIES["conversation_flags"](spark, large_input)
     df.collect()
     assert "ReusedExchange" in plan(df)
 
@@ -73,4 +93,4 @@ def test_both_dedup_branches_share_the_fingerprints(spark):
 def test_entry_has_rows_and_every_check_belongs_to_a_query(spark):
     assert entry.entry(spark).count() > 0
     assert set(ORACLES) <= set(QUERIES)
-    assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(ORACLES)
+    assert set(entry.queries()) >= set(QUERIES) and set(entry.oracle_sql()) >= set(ORACLES)
