@@ -133,8 +133,9 @@ class Kind:
     kept: object  # bytes, what is removed -> bytes that stay
 
 
-COLUMNS = "anchor bigint, segment bigint, doc bigint, place bigint"
-NAMES = ["anchor", "segment", "doc", "place"]
+COLUMNS = "anchor bigint, segment bigint, place bigint, doc bigint"
+NAMES = ["anchor", "segment", "place", "doc"]
+ORDER = ["anchor", "segment", "doc", "place"]
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -155,6 +156,8 @@ def _settle(rows: list[np.ndarray], kind: Kind) -> list[np.ndarray]:
     anchor, segment, doc, place = rows
     order = np.lexsort((place, doc, segment, anchor))
     anchor, segment, doc, place = (c[order] for c in (anchor, segment, doc, place))
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))  # rows of one text stay together, which packs better
     bounds = _runs(anchor, segment)
     size = np.diff(bounds)
     if kind.keep_first:
@@ -166,7 +169,7 @@ def _settle(rows: list[np.ndarray], kind: Kind) -> list[np.ndarray]:
         settled[bounds[:-1]] = False
         place = place.view(np.uint64) | np.where(settled, 0, np.where(several, 2, 1)).astype(np.uint64)
     anchor = np.where(settled, _mixed(place ^ (doc.view(np.uint64) * np.uint64(BASE))), anchor)
-    return [anchor.view(np.int64), segment.view(np.int64), doc, place.view(np.int64)]
+    return [c.view(np.int64)[back] for c in (anchor, segment, place, doc)]
 
 
 def _anchors(kind: Kind):
@@ -196,7 +199,7 @@ def _batch(columns: list[np.ndarray], names: list[str] = NAMES) -> pa.RecordBatc
 
 def _decide(rows: list[np.ndarray], kind: Kind, many_anchor: int | None) -> pa.RecordBatch:
     """Statuses of whole segments; ``many_anchor`` has more segments than are here."""
-    anchor, segment, doc, place = rows
+    anchor, segment, place, doc = rows
     size = np.diff(bounds := _runs(anchor, segment))
     anchors = _runs(anchor)
     weight = (place & 3).astype(np.int64)
@@ -262,7 +265,7 @@ def statuses(texts: DataFrame, kind: Kind) -> DataFrame:
     ``texts`` has ``doc, text``.  A text that occurs in several rows gives its rows once each.
     """
     rows = texts.mapInArrow(_anchors(kind), COLUMNS)
-    dealt = rows.repartition("anchor").sortWithinPartitions(*NAMES)
+    dealt = rows.repartition("anchor").sortWithinPartitions(*ORDER)
     return dealt.mapInArrow(_statuses(kind), "anchor bigint, doc bigint, place bigint, status int")
 
 
@@ -293,6 +296,26 @@ DONE, PIECE, WAITING = 0, 1, 2
 BATCH_BYTES = 16 << 20
 
 
+def packed(texts: DataFrame) -> DataFrame:
+    """``doc, text`` with the text compressed, to be shuffled."""
+
+    def pack_all(batches):
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            texts = pa.array([packer.compress(t.as_py()) for t in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), texts], ["doc", "text"])
+
+    return texts.mapInArrow(pack_all, "doc bigint, text binary")
+
+
+def _unpacker():
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress
+
+
 def look(texts: DataFrame, found: DataFrame, kind: Kind, pieces, with_kept: bool) -> DataFrame:
     """One pass over the texts with the statuses of their segments; see ``MIXED``.
 
@@ -308,10 +331,10 @@ def look(texts: DataFrame, found: DataFrame, kind: Kind, pieces, with_kept: bool
     )
 
     def work(batches):
-        rows, held = [], 0
+        unpacked, rows, held = _unpacker(), [], 0
         for batch in batches:
             for doc, text, own in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("found")):
-                data = text.as_py()
+                data = unpacked(text.as_py())
                 place, status, anchor, first, last = _own(data, own)
                 full, mark = status == FULL, text_mark(data)
                 if full.all():
@@ -325,7 +348,7 @@ def look(texts: DataFrame, found: DataFrame, kind: Kind, pieces, with_kept: bool
                             rows.append((PIECE, doc, *[None] * 5, a, b, at, s, piece, None))
                             held += len(piece or b"") + 100
                     if (status == PARTIAL).any():
-                        rows.append((WAITING, doc, *[None] * 9, data, place[full].tolist()))
+                        rows.append((WAITING, doc, *[None] * 9, text.as_py(), place[full].tolist()))
                         held += len(data)
                     else:
                         rows.append((DONE, *result(doc, data, kind, first[full], last[full], with_kept), None, None, None, None, None, None))
@@ -336,7 +359,7 @@ def look(texts: DataFrame, found: DataFrame, kind: Kind, pieces, with_kept: bool
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], names)
 
-    return texts.join(by_document, "doc", "left").select("doc", "text", "found").mapInArrow(work, MIXED)
+    return packed(texts).join(by_document, "doc", "left").select("doc", "text", "found").mapInArrow(work, MIXED)
 
 
 def _own(data: bytes, found: pa.Scalar) -> tuple[np.ndarray, ...]:
@@ -357,9 +380,11 @@ def finish(mixed: DataFrame, removed: DataFrame, kind: Kind, with_kept: bool) ->
     by_document = removed.groupBy("doc").agg(F.collect_set("place").alias("removed"))
 
     def work(batches):
+        unpacked = _unpacker()
         for batch in batches:
             rows = []
             for doc, text, ready, own in zip(*(batch.column(n).to_pylist() for n in ("doc", "text", "ready", "removed"))):
+                text = unpacked(text)
                 place = np.array([*(ready or []), *(own or [])], np.int64)
                 mark, first, last = unpack(place)
                 mine = mark == text_mark(text)

@@ -7,16 +7,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from convq.sources.workspace import work_folder
 
 
-def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written below the shared folder and read back.
 
     A later stage, or a retry after a lost executor, starts from these files.
     """
     path = work_folder(df.sparkSession, name)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
