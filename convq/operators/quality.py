@@ -67,7 +67,6 @@ def message_features(messages: DataFrame, profile: Profile = OPTIMIZED) -> DataF
     Use it as it is, and every step computes just the columns it reads; or write
     it, as ``plans.quality_run`` does, and the text is read once.
     """
-    # stated here so that all branches below have the same plan, and Spark reuses it
     known = messages.filter(F.col("conversation_id").isNotNull())
     flagged = rules.with_message_flags(known, profile).withColumns(
         {
@@ -150,7 +149,10 @@ def conversation_flags(
 def flags_from_features(
     features: DataFrame, profile: Profile = OPTIMIZED, dedup_scope: str | None = "shared"
 ) -> DataFrame:
-    rows = conversation_counters(features)
+    # stated here so that all branches below have the same plan, and Spark reuses it
+    features = features.filter(F.col("conversation_id").isNotNull())
+    rows = stored(conversation_counters(features), "counters")
+    counters = rows
     if profile.classic:
         joined = dup.conversation_fingerprints(dup.instants(features))
         rows = rows.join(
@@ -160,7 +162,7 @@ def flags_from_features(
     if dedup_scope is None:
         rows = rows.withColumn("duplicate", F.lit(False))
     else:
-        checked = None if profile.classic else checked_conversations(conversation_counters(features))
+        checked = None if profile.classic else checked_conversations(counters)
         originals = dup.original_conversations(features, checked, dedup_scope)
         rows = rows.join(
             originals.withColumn("is_original", F.lit(True)), "conversation_id", "left"
