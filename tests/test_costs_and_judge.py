@@ -41,6 +41,16 @@ def test_tokenizer_and_its_fallback(spark, make):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {r.conversation_id: r.token_count for r in rows} == {1: 5, 2: len("bad words here x y") // 4}
+    assert {r.conversation_id: r.estimated_parts for r in rows} == {1: 0, 2: 1}
+
+
+def test_long_conversations_are_counted_whole_in_parts(make):
+    m = make({1: ["some words here"] * 40, 2: ["a b", "c d e", "f " * 300]})
+    words = tk.tokenizer_counts(lambda texts: [t.split() for t in texts])
+    whole, parts = (
+        {r.conversation_id: r.token_count for r in costs.token_rows(m, words, part_chars=n).collect()} for n in (1 << 20, 50)
+    )
+    assert whole == parts == {1: 120, 2: 305}
 
 
 def test_words_and_marks(spark):
@@ -73,12 +83,15 @@ def test_verdict_forms(spark):
         8: None,
         9: "{}",
         10: f"```json```json{body}```",
+        11: json.dumps(GOOD | {"quality": "very good"}),
+        12: json.dumps(GOOD | {"is_safe": 3}),
+        13: json.dumps(GOOD | {"topic": None}),
     }
     df = spark.createDataFrame([(k, v, None) for k, v in answers.items()], "conversation_id int, response string, error string")
     verdicts, errors = judge.split_verdicts(df)
     got = {r.conversation_id: r.quality for r in verdicts.collect()}
-    assert got == {1: 7, 2: 7, 3: 7, 4: 7, 9: None}
-    assert {r.conversation_id for r in errors.collect()} == {5, 6, 7, 8, 10}
+    assert got == {1: 7, 2: 7, 3: 7, 4: 7, 9: None, 13: 7}
+    assert {r.conversation_id for r in errors.collect()} == {5, 6, 7, 8, 10, 11, 12}
 
 
 def test_prompt_encloses_the_conversation(spark):

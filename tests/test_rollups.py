@@ -145,3 +145,26 @@ def test_segments_add_up(spark, view):
     total = rollup.two_sided_conversations(m).count()
     assert rollup.totals_by_class_and_quarter(m).agg(F.sum("n_conversations")).first()[0] == total
     assert rollup.length_histogram(m).agg(F.sum("n_conversations")).first()[0] == total
+
+
+def test_messages_without_a_conversation_are_set_aside_everywhere(spark, make):
+    from convq.operators import quality
+
+    m = make({1: ["hello there friend", "fine thanks a lot"], 2: ["one more talk", "with an answer"]})
+    lost = m.limit(1).withColumn("conversation_id", F.lit(None).cast("bigint"))
+    both = m.unionByName(lost)
+    assert rollup.unassigned_messages(both).first().asDict() == {"n_messages": 5, "n_unassigned": 1}
+    for table in (
+        rollup.conversation_rollup(both), quality.conversation_flags(both), transcripts.transcript_plain(both),
+        sampling.random_conversations(both, 10), sampling.percent_sample(both, 1.0), transcripts.transcript_authored(both),
+    ):
+        assert sorted(r.conversation_id for r in table.collect()) == [1, 2]
+
+
+def test_jdbc_reads_are_split(spark):
+    import pytest
+
+    from convq.sources.messages import scan
+
+    with pytest.raises(ValueError, match="partitionColumn"):
+        scan(spark, format="jdbc", url="jdbc:none", dbtable="messages")

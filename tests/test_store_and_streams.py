@@ -66,7 +66,7 @@ def test_stored_run_equals_direct_flags(spark, talks, tmp_path):
     assert run.flags.exceptAll(quality.conversation_flags(talks)).isEmpty()
     run.save(str(tmp_path / "reports"))
     summary = spark.read.json(str(tmp_path / "reports/summary")).first()
-    assert summary.total_conversations == 30 and summary.sampling_method == "local_database_analysis"
+    assert summary.total_conversations == 30 and summary.sampling_method == "stored copy"
     ids = spark.read.text(str(tmp_path / "reports/usable_ids/ids"))
     assert ids.count() == summary.total_usable_conversations
 
@@ -116,15 +116,29 @@ def test_stream_pull_restarts_without_repeats(spark, talks, tmp_path):
     assert pull().exceptAll(talks).isEmpty() and pull().count() == talks.count()
 
 
-def test_stream_flags_equal_batch_on_closed_days(spark, make, tmp_path):
+@pytest.mark.parametrize("files", [1, 6])
+def test_stream_flags_equal_the_batch_however_files_fall(spark, make, tmp_path, files):
     m = make({i: ["go to hell now", "12345 678", "fine words"] for i in range(20)}, step=dt.timedelta(days=5))
-    m.write.parquet(str(tmp_path / "in"))
-    stream = streams.read_messages(spark, str(tmp_path / "in"), m.schema)
-    for _ in range(2):
-        streams.stream_message_flags(stream, str(tmp_path / "out"), str(tmp_path / "state"), "1 day").awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out"))
+    m.repartition(files).write.parquet(str(tmp_path / "in"))
+    stream = streams.read_messages(spark, str(tmp_path / "in"), m.schema, maxFilesPerTrigger=1)
+    for _ in range(2):  # a restart adds nothing
+        streams.stream_message_flags(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = streams.read_daily_flag_counts(spark, str(tmp_path / "out"))
     batch = streams.daily_flag_counts(m)
-    assert got.count() == 2 and got.exceptAll(batch).isEmpty()
+    assert got.count() == batch.count() == 3 and got.exceptAll(batch).isEmpty()
+
+
+def test_two_pulls_at_once_store_nothing_twice(spark, talks, tmp_path, monkeypatch):
+    store = MessageStore(spark, str(tmp_path))
+    store.save_metadata(rollup.conversation_metadata(talks))
+    nothing = store.stored_ids()
+    with monkeypatch.context() as patch:  # neither pull sees the other's ids
+        patch.setattr(store, "stored_ids", lambda: nothing)
+        store.pull(talks)
+        store.pull(talks)
+    assert store.messages().count() == talks.count() and store.messages().exceptAll(talks).isEmpty()
+    status = store.status().first()
+    assert (status.stored, status.total_messages, status.progress_pct) == (30, talks.count(), 100.0)
 
 
 def test_stream_dedup_keeps_one_of_each(spark, make, tmp_path):
