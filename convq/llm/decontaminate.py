@@ -84,7 +84,7 @@ def _places(texts: DataFrame, wanted: DataFrame, length: int, window: int, small
     start = 0
     if marks:
         numbers, start = F.concat(F.array(F.lit(0).cast("bigint")), numbers), 1
-        wanted = wanted.unionByName(texts.sparkSession.createDataFrame([(0,)], "shingle bigint")).distinct()
+        wanted = wanted.unionByName(texts.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("shingle"))).distinct()
     exploded = texts.withColumn("n_words", F.size("words")).select("*", F.posexplode(numbers).alias("i", "shingle"))
     exploded = exploded.withColumn("place", F.col("i") - start)
     columns = ["doc_id", "key", "n_words", F.lit(length).alias("length"), "place", "shingle"]

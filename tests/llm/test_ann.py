@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-import brute
+from . import brute
 from convq.llm import ann
 
 SCHEMA = "vec_id bigint, embedding array<float>"

@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-import brute
+from . import brute
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.join(ROOT, "tools"))

@@ -1,9 +1,9 @@
 """The pipeline against the plain versions of its stages."""
 
-import brute
+from . import brute
 import corpus_pipeline
 from convq.llm import pii, toxicity
-from test_decontaminate import plain
+from .test_decontaminate import plain
 
 SF_DIR = "/root/testdata/sf0.001"
 

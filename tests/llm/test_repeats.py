@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-import brute
+from . import brute
 from convq.llm import repeats, substring, suffix
 
 

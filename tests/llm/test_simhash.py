@@ -1,6 +1,6 @@
 import numpy as np
 
-import brute
+from . import brute
 from convq.llm import simhash
 from convq.llm.graph import components
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-import brute
+from . import brute
 from convq.llm import toxicity
 
 
