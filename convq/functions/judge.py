@@ -81,11 +81,15 @@ def parse_verdicts(responses: DataFrame) -> DataFrame:
 
 def judge_responses(
     transcripts: DataFrame,
-    scorer: Callable[[str], str],
+    scorer: Callable[[str], str] | Callable[[list[str]], list[str]],
     text: str = "full_conversation",
+    batched: bool = False,
 ) -> DataFrame:
     """Ask ``scorer(prompt)`` for every conversation; a failure becomes an error row.
 
+    A ``batched`` scorer gets the prompts of an Arrow batch as a list, to send them together,
+    and returns as many answers; if it fails, so does each of them.
+
     Scorer calls cost money and may run again when an executor is lost, so write
     the result before using it twice (``plans.filter_judge`` does).
     """
@@ -93,7 +97,15 @@ def judge_responses(
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             answers, errors = [], []
-            for question in batch["prompt"]:
+            if batched:
+                try:
+                    answers = list(scorer(batch["prompt"].tolist()))
+                    errors = [None] * len(answers)
+                    if len(answers) != len(batch):
+                        raise ValueError(f"{len(answers)} answers to {len(batch)} prompts")
+                except Exception as problem:
+                    answers, errors = [None] * len(batch), [str(problem)] * len(batch)
+            for question in [] if batched else batch["prompt"]:
                 try:
                     answers.append(scorer(question))
                     errors.append(None)

@@ -11,6 +11,7 @@ from convq.functions.rules import CLASSIC, OPTIMIZED, Profile
 from convq.operators import filters as f
 from convq.operators import joins, quality, reports, rollup, sampling
 from convq.sources import sinks
+from convq.sources.workspace import stored
 
 
 @dataclass
@@ -24,9 +25,10 @@ class QualityRun:
     end: str = s.END_DATE
 
     def reports(self) -> dict[str, DataFrame]:
-        metrics = reports.quality_metrics(self.flags)
-        segments = reports.stratified_metrics(self.flags)
-        usable = quality.usable_conversations(self.flags)
+        # written once each: the eleven tables below derive from them
+        metrics = stored(reports.quality_metrics(self.flags), "metrics")
+        segments = stored(reports.stratified_metrics(self.flags), "segments")
+        usable = stored(quality.usable_conversations(self.flags), "usable")
         tables = {
             "summary": reports.run_summary(
                 metrics, self.start, self.end, self.method, self.sample_rate
@@ -118,5 +120,5 @@ def stored_run(
     metadata: DataFrame, messages: DataFrame, path: str, profile: Profile = OPTIMIZED
 ) -> QualityRun:
     """The stratified reports over a stored copy."""
-    stored = joins.fetch_by_ids(messages, metadata)
-    return QualityRun(written_flags(stored, path, profile), "stored copy")
+    kept = joins.fetch_by_ids(messages, metadata)
+    return QualityRun(written_flags(kept, path, profile), "stored copy")

@@ -132,3 +132,11 @@ def test_csv_and_json_sinks(spark, tmp_path):
         sinks.append_verdicts(df, str(tmp_path / "v"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
     assert spark.read.json(str(tmp_path / "v")).count() == 4
+
+
+def test_batched_scorer(spark):
+    df = spark.createDataFrame([(i, "text") for i in range(6)], "conversation_id int, full_conversation string").coalesce(1)
+    asked = judge.judge_responses(df, lambda prompts: ["{}"] * len(prompts), batched=True)
+    assert [r.response for r in asked.collect()] == ["{}"] * 6
+    short = judge.judge_responses(df, lambda prompts: ["{}"], batched=True).collect()
+    assert len(short) == 6 and all("1 answers to 6" in r.error for r in short)
