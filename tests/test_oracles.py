@@ -39,6 +39,20 @@ NAMES = [
     "clean_verdict",
     "judge_summary",
     "stream_message_flags",
+    "materialize_messages",
+    "read_stored",
+    "random_conversations",
+    "approx_distinct_conversations",
+    "transcript_plain",
+    "usable_ids_read_back",
+    "usable_all_read_back",
+    "count_tokens",
+    "token_rows_read_back",
+    "prompt_column",
+    "judge_scores",
+    "judge_errors",
+    "stored_run",
+    "stream_dedup",
 ]
 
 
