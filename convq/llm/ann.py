@@ -163,8 +163,9 @@ def nearest(
     sizes = rows.agg(F.count("*"), F.count_if(is_query)).first()
     shards, blocks = max(1, -(-sizes[0] // shard_rows)), max(1, -(-sizes[1] // block_rows))
     dealt = F.xxhash64("id", "vector")
-    held = rows.withColumn("shard", F.pmod(dealt, F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    queries = asked.withColumn("block", F.pmod(dealt, F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
+    every_shard, every_block = (F.explode(F.expr(f"sequence(0L, {n - 1}L)")) for n in (shards, blocks))
+    held = rows.withColumn("shard", F.pmod(dealt, F.lit(shards))).withColumn("block", every_block)
+    queries = asked.withColumn("block", F.pmod(dealt, F.lit(blocks))).withColumn("shard", every_shard)
 
     def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -183,7 +184,9 @@ def nearest(
         )
 
     keys = ["shard", "block"]
-    local = held.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(answer, "query_id bigint, vec_id bigint, score double")
+    pairs = held.groupBy(*keys).cogroup(queries.groupBy(*keys))
+    local = pairs.applyInArrow(answer, "query_id bigint, vec_id bigint, score double").distinct()
     # At most shards * k rows per query.
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return local.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")

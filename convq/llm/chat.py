@@ -133,7 +133,8 @@ def _nodes(children: DataFrame) -> DataFrame:
             for parts in batch.column("parts").to_pylist():
                 matrices = [np.array(p["costs"], np.int64).reshape(4, 4) for p in parts]
                 costs.append(functools.reduce(product, matrices).reshape(-1).tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(costs, pa.list_(pa.int64()))], [*batch.schema.names, "costs"])
+            names = [*batch.schema.names, "costs"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(costs, pa.list_(pa.int64()))], names)
 
     schema = parents.withColumn("costs", F.lit(None).cast("array<bigint>")).schema
     return parents.mapInArrow(multiply, schema).withColumnRenamed("parent", "node")
@@ -145,15 +146,15 @@ def _hand_down(parents: DataFrame) -> DataFrame:
     def walk(batches):
         for batch in batches:
             out = []
-            for conv, parts, start, end in zip(batch.column("conv"), *(batch.column(n).to_pylist() for n in ("parts", "start", "end"))):
+            columns = [batch.column(n).to_pylist() for n in ("parts", "start", "end")]
+            for conv, parts, start, end in zip(batch.column("conv").to_pylist(), *columns):
                 states = path_through([np.array(p["costs"], np.int64).reshape(4, 4) for p in parts], start, end)
                 for part, before, after in zip(parts, [start, *states[:-1]], states):
                     out.append((conv, part["node"], before, after))
             conv, node, before, after = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([c.as_py() for c in conv], batch.schema.field("conv").type), pa.array(node, pa.int64()), pa.array(before, pa.int32()), pa.array(after, pa.int32())],
-                ["conv", "node", "start", "end"],
-            )
+            kinds = (batch.schema.field("conv").type, pa.int64(), pa.int32(), pa.int32())
+            arrays = [pa.array(values, kind) for values, kind in zip((conv, node, before, after), kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, ["conv", "node", "start", "end"])
 
     schema = parents.select("conv", F.lit(0).cast("bigint").alias("node"), "start", "end").schema
     return parents.select("conv", "parts", "start", "end").mapInArrow(walk, schema)
@@ -191,15 +192,21 @@ def repair(turns: list[tuple[int, str]], start: int, end: int, last: bool) -> di
         if state != START:
             out.append(CLOSE)
     return {
-        "n_turns": len(turns), "n_merged": counts[MERGE] + counts[MERGE_OTHER], "n_relabelled": counts[RELABEL] + counts[MERGE_OTHER],
-        "n_inserted": inserted_turns, "cost": cost, "rendered": "".join(out),
-    }
+        "n_turns": len(turns),
+        "n_merged": counts[MERGE] + counts[MERGE_OTHER],
+        "n_relabelled": counts[RELABEL] + counts[MERGE_OTHER],
+        "n_inserted": inserted_turns,
+        "cost": cost,
+        "rendered": "".join(out),
+    }
 
 
 REPAIRED = "n_turns bigint, n_merged bigint, n_relabelled bigint, n_inserted bigint, cost bigint, rendered string"
 
 
-def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def format_chats(
+    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
+) -> DataFrame:
     """The repaired conversations, one row per run of turns: ``conv, part``, the counts, ``rendered``.
 
     Joined in the order of ``part``, the texts of a conversation are its rendering; a
@@ -221,13 +228,14 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
     def measure(batches):
         for batch in batches:
-            symbols = [functools.reduce(product, [matrix(s) for s in run]).reshape(-1).tolist() for run in batch.column("symbols").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("conv"), batch.column("node"), pa.array(symbols, pa.list_(pa.int64()))], ["conv", "node", "costs"]
-            )
+            runs = batch.column("symbols").to_pylist()
+            costs = [functools.reduce(product, [matrix(s) for s in run]).reshape(-1).tolist() for run in runs]
+            arrays = [batch.column("conv"), batch.column("node"), pa.array(costs, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["conv", "node", "costs"])
 
     # Runs are written once; measuring reads only roles, rendering the rest.
-    runs = stored(runs.select("conv", "node", F.col("rows.symbol").alias("symbols"), F.col("rows.text").alias("texts")), "runs")
+    columns = F.col("rows.symbol").alias("symbols"), F.col("rows.text").alias("texts")
+    runs = stored(runs.select("conv", "node", *columns), "runs")
     schema = runs.select("conv", "node", F.lit(None).cast("array<bigint>").alias("costs")).schema
     level = stored(runs.select("conv", "node", "symbols").mapInArrow(measure, schema), "costs")
     levels = []
@@ -237,7 +245,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         wide = level.agg(F.min("node"), F.max("node")).first()
         if wide[0] is None or (wide[0] >= -1 and wide[1] <= 0):
             break
-    top = levels[-1].groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("node", "costs"))).alias("parts"))  # nodes -1 and 0
+    parts = F.array_sort(F.collect_list(F.struct("node", "costs")))
+    top = levels[-1].groupBy("conv").agg(parts.alias("parts"))  # nodes -1 and 0
     states = _hand_down(_choose_ends(top))
     for level in reversed(levels):
         states = _hand_down(level.join(states, ["conv", "node"]))
@@ -252,7 +261,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), *arrays], ["conv", "part", *names])
 
     names = [c.split()[0] for c in REPAIRED.split(", ")]
-    ready = ready.select(F.col("conv.id").alias("id"), "node", "symbols", "texts", "start", "end", (F.col("node") == F.col("last")).alias("is_last"))
+    is_last = (F.col("node") == F.col("last")).alias("is_last")
+    ready = ready.select(F.col("conv.id").alias("id"), "node", "symbols", "texts", "start", "end", is_last)
     kind = dict(turns.dtypes)[conv_col]
     return ready.mapInArrow(render, f"conv {kind}, part bigint, {REPAIRED}")
 
@@ -266,10 +276,8 @@ def _choose_ends(top: DataFrame) -> DataFrame:
             for parts in batch.column("parts").to_pylist():
                 costs = functools.reduce(product, [np.array(p["costs"], np.int64).reshape(4, 4) for p in parts])[START]
                 ends.append(int(np.argmin([c + price for c, (price, _) in zip(costs, finish())])))
-            n = len(ends)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([START] * n, pa.int32()), pa.array(ends, pa.int32())], [*batch.schema.names, "start", "end"]
-            )
+            added = [pa.array([START] * len(ends), pa.int32()), pa.array(ends, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "start", "end"])
 
     schema = top.withColumn("start", F.lit(0)).withColumn("end", F.lit(0)).schema
     return top.mapInArrow(choose, schema)
