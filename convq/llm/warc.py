@@ -33,7 +33,8 @@ READ_BYTES = 8 << 20
 
 
 def captures(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """``page_id, url, payload, bytes, digest, refers_to`` for every row of ``pages``.
+    """``page_id, url, payload, bytes, digest, refers_to`` for every row of ``pages``; the
+    payload of a row that refers to another is null.
 
     Of rows with equal payloads of at least ``min_revisit_bytes`` the one with the largest
     page_id is the response, also several rows that share this id; the others refer to it.  A
@@ -51,12 +52,49 @@ def captures(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> Da
         .drop("n")
     )
     refers = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
-    return (
-        rows.join(shared, "digest", "left")
+    joined = (
+        _packed(rows)
+        .join(shared, "digest", "left")
         .withColumn("refers_to", F.when(refers, F.col("original")))
         .withColumn("original_url", F.when(refers, F.col("original_url")))
+        .withColumn("payload", F.when(~refers, F.col("payload")))
         .drop("original")
     )
+    return _unpacked(joined)
+
+
+def _mapped(df: DataFrame, function) -> DataFrame:
+    """``df`` with the bytes of ``payload`` replaced by ``function()`` of them; null stays null."""
+    rows = df.withColumn("payload", F.col("payload").cast("binary"))
+
+    def work(batches):
+        change = function()
+        for batch in batches:
+            at = batch.schema.get_field_index("payload")
+            values = [None if v is None else change(v) for v in batch.column("payload").to_pylist()]
+            yield batch.set_column(at, "payload", pa.array(values, pa.binary()))
+
+    return rows.mapInArrow(work, rows.schema)
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """Payloads compressed, to be shuffled."""
+
+    def packer():
+        import zstandard
+
+        return zstandard.ZstdCompressor(level=3).compress
+
+    return _mapped(rows, packer)
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    def unpacker():
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompress
+
+    return _mapped(rows, unpacker).withColumn("payload", F.col("payload").cast("string"))
 
 
 def _safe(column: str) -> Column:
@@ -98,7 +136,7 @@ def write_archives(pages: DataFrame, path: str, date: str = DATE, records_per_fi
             F.when(revisit, "revisit").otherwise("response"),
             "response_id",
             "application/http;msgtype=response",
-            F.when(revisit, head).otherwise(F.concat(head, F.col("payload"))),
+            F.concat(head, F.coalesce("payload", F.lit(""))),
             *common,
             ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
             ("WARC-Profile", F.when(revisit, PROFILE)),
