@@ -28,7 +28,7 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 FULL, PARTIAL, REFERENCE = 0, 1, 2
 #: Anchors that a task holds before it settles and sends them.
-HELD = 4_000_000
+HELD = 1_500_000
 #: Rows of one anchor that are held before those that are settled are sent on.
 OPEN = 1_000_000
 _POWERS: list[np.ndarray] = []

@@ -22,7 +22,7 @@ from convq.llm.tables import stored
 LENGTH = 400
 SEED = 64
 #: Bytes that are sorted together; a group above it goes by numbers of its single windows.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 _BYTES = np.random.default_rng(400).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
