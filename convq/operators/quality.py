@@ -151,7 +151,9 @@ def flags_from_features(
 ) -> DataFrame:
     # stated here so that all branches below have the same plan, and Spark reuses it
     features = features.filter(F.col("conversation_id").isNotNull())
-    rows = stored(conversation_counters(features), "counters")
+    rows = conversation_counters(features)
+    if dedup_scope and not profile.classic:  # they also tell whose messages are looked at
+        rows = stored(rows, "counters")
     counters = rows
     if profile.classic:
         joined = dup.conversation_fingerprints(dup.instants(features))
