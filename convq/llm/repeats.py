@@ -12,18 +12,23 @@ are compared over all texts:
 
 A task first settles what it can see itself, so that at most one row per task and segment is
 sent for a passage, however often it occurs.
+
+Every row of the input is a text of its own and has a number of its own, ``row``, which the texts
+are written with before the scan.  Places and statuses find their text by it; ``doc``, the id, may
+be null or shared by any number of rows and serves for the rule of the smaller id and the output.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from convq.llm.tables import stored
+
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 FULL, PARTIAL, REFERENCE = 0, 1, 2
@@ -103,23 +108,19 @@ def segments(numbers: Numbers, n_tokens: int, length: int, seed: int):
     return seeds[anchor[first]], numbers.of(first, last + length), first, last
 
 
-# A place in one long: 22 bits of the text's checksum, 31 of the first window, 9 of the number of
-# windows less one, 2 of the weight.  The checksum tells texts apart that share a document id.
-
-
-def text_mark(text: bytes) -> int:
-    return zlib.crc32(text) & 0x3FFFFF
+# A place in one text as one long: the first window, 9 bits of the number of windows less one, 2 of
+# the weight.
 
 
-def pack(mark: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    return (np.uint64(mark) << np.uint64(42)) | (first.astype(np.uint64) << np.uint64(11)) | ((last - first).astype(np.uint64) << np.uint64(2))
+def pack(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return (first.astype(np.uint64) << np.uint64(11)) | ((last - first).astype(np.uint64) << np.uint64(2))
 
 
-def unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``mark, first window, last window``."""
+def unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``first window, last window``."""
     place = place.view(np.uint64)
-    first = ((place >> np.uint64(11)) & np.uint64(0x7FFFFFFF)).astype(np.int64)
-    return (place >> np.uint64(42)).astype(np.int64), first, first + ((place >> np.uint64(2)) & np.uint64(0x1FF)).astype(np.int64)
+    first = (place >> np.uint64(11)).astype(np.int64)
+    return first, first + ((place >> np.uint64(2)) & np.uint64(0x1FF)).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -133,9 +134,9 @@ class Kind:
     kept: object  # bytes, what is removed -> bytes that stay
 
 
-COLUMNS = "anchor bigint, segment bigint, place bigint, doc bigint"
-NAMES = ["anchor", "segment", "place", "doc"]
-ORDER = ["anchor", "segment", "doc", "place"]
+COLUMNS = "anchor bigint, segment bigint, place bigint, doc bigint, row bigint"
+NAMES = ["anchor", "segment", "place", "doc", "row"]
+ORDER = ["anchor", "segment", "doc", "row", "place"]
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -153,9 +154,9 @@ def _settle(rows: list[np.ndarray], kind: Kind) -> list[np.ndarray]:
     Of each segment the rows of the smallest document stay (``keep_first``), or one row of
     weight 2 that stands for all of them.
     """
-    anchor, segment, doc, place = rows
-    order = np.lexsort((place, doc, segment, anchor))
-    anchor, segment, doc, place = (c[order] for c in (anchor, segment, doc, place))
+    anchor, segment, place, doc, row = rows
+    order = np.lexsort((place, row, doc, segment, anchor))
+    anchor, segment, place, doc, row = (c[order] for c in rows)
     back = np.empty_like(order)
     back[order] = np.arange(len(order))  # rows of one text stay together, which packs better
     bounds = _runs(anchor, segment)
@@ -168,21 +169,24 @@ def _settle(rows: list[np.ndarray], kind: Kind) -> list[np.ndarray]:
         settled = several.copy()
         settled[bounds[:-1]] = False
         place = place.view(np.uint64) | np.where(settled, 0, np.where(several, 2, 1)).astype(np.uint64)
-    anchor = np.where(settled, _mixed(place ^ (doc.view(np.uint64) * np.uint64(BASE))), anchor)
-    return [c.view(np.int64)[back] for c in (anchor, segment, place, doc)]
+    anchor = np.where(settled, _mixed(place ^ (row.view(np.uint64) * np.uint64(BASE))), anchor)
+    return [c.view(np.int64)[back] for c in (anchor, segment, place, doc, row)]
 
 
 def _anchors(kind: Kind):
+    """Rows of ``COLUMNS`` for ``row, doc, text``; ids that are unique may stand for ``row``."""
+
     def scan(batches):
         held, n = [], 0
         for batch in batches:
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text")):
-                data = text.as_py()
-                tokens = kind.tokens(data)
+            docs = batch.column("doc").to_pylist()
+            numbers = batch.column("row").to_pylist() if "row" in batch.schema.names else docs
+            for row, doc, text in zip(numbers, docs, batch.column("text")):
+                tokens = kind.tokens(text.as_py())
                 anchor, segment, first, last = segments(Numbers(tokens), len(tokens), kind.length, kind.seed)
                 if len(anchor):
-                    place = pack(text_mark(data), first, last)
-                    held.append((anchor, segment, np.full(len(anchor), doc, np.int64), place))
+                    whose = (np.full(len(anchor), number, np.int64) for number in (doc, row))
+                    held.append((anchor, segment, pack(first, last), *whose))
                     n += len(anchor)
             if n >= HELD:
                 yield _batch(_settle([np.concatenate(c) for c in zip(*held)], kind))
@@ -199,7 +203,7 @@ def _batch(columns: list[np.ndarray], names: list[str] = NAMES) -> pa.RecordBatc
 
 def _decide(rows: list[np.ndarray], kind: Kind, many_anchor: int | None) -> pa.RecordBatch:
     """Statuses of whole segments; ``many_anchor`` has more segments than are here."""
-    anchor, segment, place, doc = rows
+    anchor, segment, place, doc, row = rows
     size = np.diff(bounds := _runs(anchor, segment))
     anchors = _runs(anchor)
     weight = (place & 3).astype(np.int64)
@@ -223,7 +227,7 @@ def _decide(rows: list[np.ndarray], kind: Kind, many_anchor: int | None) -> pa.R
     parts = [(full, FULL), (partial, PARTIAL), (reference, REFERENCE)]
     index = np.concatenate([np.flatnonzero(which) for which, _ in parts])
     status = np.concatenate([np.full(int(which.sum()), s, np.int32) for which, s in parts])
-    return _batch([anchor[index], doc[index], place[index], status], ["anchor", "doc", "place", "status"])
+    return _batch([anchor[index], doc[index], row[index], place[index], status], ["anchor", "doc", "row", "place", "status"])
 
 
 def _statuses(kind: Kind):
@@ -252,21 +256,28 @@ def _statuses(kind: Kind):
 
 
 def documents_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc, text``: the id, null as the largest number, and the UTF-8 bytes, null as empty."""
-    return docs.select(
+    """``row, doc, text``: a number of the row's own, the id, null as the largest number, and the
+    UTF-8 bytes, null as empty.
+
+    The numbers depend on how the rows are dealt, so the rows are written with them.
+    """
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"),
         F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1)).alias("doc"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
     )
+    return stored(rows, "texts")
 
 
 def statuses(texts: DataFrame, kind: Kind) -> DataFrame:
-    """``anchor, doc, place, status`` of the segments that are repeated or may be in part.
+    """``anchor, row, place, status`` of the segments that are repeated or may be in part.
 
-    ``texts`` has ``doc, text``.  A text that occurs in several rows gives its rows once each.
+    ``texts`` has ``row, doc, text``.
     """
     rows = texts.mapInArrow(_anchors(kind), COLUMNS)
     dealt = rows.repartition("anchor").sortWithinPartitions(*ORDER)
-    return dealt.mapInArrow(_statuses(kind), "anchor bigint, doc bigint, place bigint, status int")
+    decided = dealt.mapInArrow(_statuses(kind), "anchor bigint, doc bigint, row bigint, place bigint, status int")
+    return decided.drop("doc")
 
 
 def covered(n_tokens: int, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
@@ -291,13 +302,13 @@ def result(doc: int, data: bytes, kind: Kind, first: np.ndarray, last: np.ndarra
 
 
 #: A table with results, pieces to be compared (``a, b, place, piece``) and texts that wait for them.
-MIXED = f"step int, {RESULT}, a bigint, b bigint, place bigint, status int, piece binary, ready array<bigint>"
+MIXED = f"step int, row bigint, {RESULT}, a bigint, b bigint, place bigint, status int, piece binary, ready array<bigint>"
 DONE, PIECE, WAITING = 0, 1, 2
 BATCH_BYTES = 16 << 20
 
 
 def packed(texts: DataFrame) -> DataFrame:
-    """``doc, text`` with the text compressed, to be shuffled."""
+    """``row, doc, text`` with the text compressed, to be shuffled."""
 
     def pack_all(batches):
         import zstandard
@@ -305,9 +316,9 @@ def packed(texts: DataFrame) -> DataFrame:
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             texts = pa.array([packer.compress(t.as_py()) for t in batch.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), texts], ["doc", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc"), texts], ["row", "doc", "text"])
 
-    return texts.mapInArrow(pack_all, "doc bigint, text binary")
+    return texts.mapInArrow(pack_all, "row bigint, doc bigint, text binary")
 
 
 def _unpacker():
@@ -322,10 +333,10 @@ def look(texts: DataFrame, found: DataFrame, kind: Kind, pieces, with_kept: bool
     ``pieces(data, tokens, anchors, firsts, lasts)`` yields ``a, b, first, last, piece`` of what
     has to be compared for the segments that may be repeated in part.
     """
-    by_document = found.groupBy("doc").agg(F.collect_list(F.struct("place", "status", "anchor")).alias("found"))
+    by_row = found.groupBy("row").agg(F.collect_list(F.struct("place", "status", "anchor")).alias("found"))
     names = [c.split()[0] for c in MIXED.replace("array<bigint>", "array").split(", ")]
     schema = pa.schema(
-        [("step", pa.int32()), ("doc", pa.int64()), ("n_tokens", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
+        [("step", pa.int32()), ("row", pa.int64()), ("doc", pa.int64()), ("n_tokens", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
          ("kept_sha256", pa.string()), ("kept", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("place", pa.int64()),
          ("status", pa.int32()), ("piece", pa.binary()), ("ready", pa.list_(pa.int64()))]
     )
@@ -333,25 +344,26 @@ def look(texts: DataFrame, found: DataFrame, kind: Kind, pieces, with_kept: bool
     def work(batches):
         unpacked, rows, held = _unpacker(), [], 0
         for batch in batches:
-            for doc, text, own in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("found")):
+            whose = (batch.column(n).to_pylist() for n in ("row", "doc"))
+            for row, doc, text, own in zip(*whose, batch.column("text"), batch.column("found")):
                 data = unpacked(text.as_py())
-                place, status, anchor, first, last = _own(data, own)
-                full, mark = status == FULL, text_mark(data)
+                place, status, anchor, first, last = _own(own)
+                full = status == FULL
                 if full.all():
-                    rows.append((DONE, *result(doc, data, kind, first, last, with_kept), None, None, None, None, None, None))
+                    rows.append((DONE, row, *result(doc, data, kind, first, last, with_kept), None, None, None, None, None, None))
                     held += len(data) * with_kept + 100
                 else:
                     for s in (PARTIAL, REFERENCE):
                         which = status == s
                         for a, b, f, l, piece in pieces(data, kind.tokens(data), anchor[which], first[which], last[which]):
-                            at = int(pack(mark, np.array([f]), np.array([l])).view(np.int64)[0])
-                            rows.append((PIECE, doc, *[None] * 5, a, b, at, s, piece, None))
+                            at = int(pack(np.array([f]), np.array([l])).view(np.int64)[0])
+                            rows.append((PIECE, row, doc, *[None] * 5, a, b, at, s, piece, None))
                             held += len(piece or b"") + 100
                     if (status == PARTIAL).any():
-                        rows.append((WAITING, doc, *[None] * 9, text.as_py(), place[full].tolist()))
+                        rows.append((WAITING, row, doc, *[None] * 9, text.as_py(), place[full].tolist()))
                         held += len(data)
                     else:
-                        rows.append((DONE, *result(doc, data, kind, first[full], last[full], with_kept), None, None, None, None, None, None))
+                        rows.append((DONE, row, *result(doc, data, kind, first[full], last[full], with_kept), None, None, None, None, None, None))
                         held += len(data) * with_kept + 100
                 if held >= BATCH_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], names)
@@ -359,25 +371,23 @@ def look(texts: DataFrame, found: DataFrame, kind: Kind, pieces, with_kept: bool
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], names)
 
-    return packed(texts).join(by_document, "doc", "left").select("doc", "text", "found").mapInArrow(work, MIXED)
+    return packed(texts).join(by_row, "row", "left").select("row", "doc", "text", "found").mapInArrow(work, MIXED)
 
 
-def _own(data: bytes, found: pa.Scalar) -> tuple[np.ndarray, ...]:
-    """``place, status, anchor, first, last`` of the segments found in this very text."""
+def _own(found: pa.Scalar) -> tuple[np.ndarray, ...]:
+    """``place, status, anchor, first, last`` of the segments found in a text."""
     values = found.values
     if values is None or not len(values):
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, empty, empty
     place, status, anchor = (values.field(n).to_numpy(zero_copy_only=False) for n in ("place", "status", "anchor"))
-    mark, first, last = unpack(place)
-    mine = mark == text_mark(data)
-    return place[mine], status[mine], anchor[mine], first[mine], last[mine]
+    return place, status, anchor, *unpack(place)
 
 
 def finish(mixed: DataFrame, removed: DataFrame, kind: Kind, with_kept: bool) -> DataFrame:
-    """``RESULT`` for every text: those done, and those waiting with the places ``removed`` (``doc, place``)."""
-    waiting = mixed.filter(F.col("step") == WAITING).select("doc", F.col("piece").alias("text"), "ready")
-    by_document = removed.groupBy("doc").agg(F.collect_set("place").alias("removed"))
+    """``RESULT`` for every text: those done, and those waiting with the places ``removed`` (``row, place``)."""
+    waiting = mixed.filter(F.col("step") == WAITING).select("row", "doc", F.col("piece").alias("text"), "ready")
+    by_row = removed.groupBy("row").agg(F.collect_set("place").alias("removed"))
 
     def work(batches):
         unpacked = _unpacker()
@@ -386,13 +396,11 @@ def finish(mixed: DataFrame, removed: DataFrame, kind: Kind, with_kept: bool) ->
             for doc, text, ready, own in zip(*(batch.column(n).to_pylist() for n in ("doc", "text", "ready", "removed"))):
                 text = unpacked(text)
                 place = np.array([*(ready or []), *(own or [])], np.int64)
-                mark, first, last = unpack(place)
-                mine = mark == text_mark(text)
-                rows.append(result(doc, text, kind, first[mine], last[mine], with_kept))
+                rows.append(result(doc, text, kind, *unpack(place), with_kept))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], RESULT_NAMES)
 
-    late = waiting.join(by_document, "doc", "left").select("doc", "text", "ready", "removed").mapInArrow(work, RESULT)
+    late = waiting.join(by_row, "row", "left").select("doc", "text", "ready", "removed").mapInArrow(work, RESULT)
     done = mixed.filter(F.col("step") == DONE).select(*RESULT_NAMES)
     return done.unionByName(late).withColumn("doc", F.when(F.col("doc") < (1 << 63) - 1, F.col("doc")))

@@ -62,7 +62,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     texts = repeats.documents_of(docs, id_col, text_col)
     found = stored(repeats.statuses(texts, kind), "segments")
     mixed = stored(repeats.look(texts, found, kind, _windows(length), with_kept), "looked")
-    windows = mixed.filter(F.col("step") == repeats.PIECE).select("a", "b", "doc", "place")
+    windows = mixed.filter(F.col("step") == repeats.PIECE).select("a", "b", "row", "doc", "place")
     first = windows.groupBy("a", "b").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
-    removed = windows.join(first, ["a", "b"]).filter("doc > low").select("doc", "place")
+    removed = windows.join(first, ["a", "b"]).filter("doc > low").select("row", "place")
     return repeats.finish(mixed, removed, kind, with_kept)

@@ -129,19 +129,19 @@ def _pieces(length: int):
 def _search(length: int, group_bytes: int):
     def found(rows):
         out = []
-        for (doc, place, status), starts in zip([r[1:4] for r in rows], repeated_windows([r[4] for r in rows], length)):
+        for (row, place, status), starts in zip([r[1:4] for r in rows], repeated_windows([r[4] for r in rows], length)):
             if status == repeats.PARTIAL and len(starts):
-                mark, first, _ = repeats.unpack(np.array([place], np.int64))
+                first, _ = repeats.unpack(np.array([place], np.int64))
                 runs = np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1)
                 a, b = np.array([r[0] for r in runs]) + first[0], np.array([r[-1] for r in runs]) + first[0]
-                out += [(doc, p) for p in repeats.pack(int(mark[0]), a, b).view(np.int64).tolist()]
-        docs, places = zip(*out) if out else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int64())], ["doc", "place"])
+                out += [(row, p) for p in repeats.pack(a, b).view(np.int64).tolist()]
+        numbers, places = zip(*out) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(places, pa.int64())], ["row", "place"])
 
     def search(batches):
         rows, held = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(n).to_pylist() for n in ("a", "doc", "place", "status", "piece"))):
+            for row in zip(*(batch.column(n).to_pylist() for n in ("a", "row", "place", "status", "piece"))):
                 if held >= group_bytes and row[0] != rows[-1][0]:
                     yield found(rows)
                     rows, held = [], 0
@@ -158,15 +158,15 @@ def _single(length: int):
 
     def number(batches):
         for batch in batches:
-            for doc, place, status, piece in zip(*(batch.column(n).to_pylist() for n in ("doc", "place", "status", "piece"))):
+            for row, place, status, piece in zip(*(batch.column(n).to_pylist() for n in ("row", "place", "status", "piece"))):
                 tokens = byte_numbers(piece)
                 a = repeats.Numbers(tokens).all_of(length).view(np.int64)
                 b = repeats.Numbers(repeats._mixed(tokens)).all_of(length).view(np.int64)
-                mark, first, _ = repeats.unpack(np.array([place], np.int64))
+                first, _ = repeats.unpack(np.array([place], np.int64))
                 at = np.arange(len(a)) + first[0]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a), pa.array(b), pa.array(np.full(len(a), doc, np.int64)), pa.array(repeats.pack(int(mark[0]), at, at).view(np.int64)), pa.array(np.full(len(a), status, np.int32))],
-                    ["a", "b", "doc", "place", "status"],
+                    [pa.array(a), pa.array(b), pa.array(np.full(len(a), row, np.int64)), pa.array(repeats.pack(at, at).view(np.int64)), pa.array(np.full(len(a), status, np.int32))],
+                    ["a", "b", "row", "place", "status"],
                 )
 
     return number
@@ -187,12 +187,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     texts = repeats.documents_of(docs, id_col, text_col)
     found = stored(repeats.statuses(texts, kind), "segments")
     mixed = stored(repeats.look(texts, found, kind, _pieces(length), with_kept), "looked")
-    pieces = mixed.filter(F.col("step") == repeats.PIECE).select("a", "doc", "place", "status", "piece")
+    pieces = mixed.filter(F.col("step") == repeats.PIECE).select("a", "row", "place", "status", "piece")
     large = pieces.groupBy("a").agg(F.sum(F.octet_length("piece")).alias("bytes")).filter(F.col("bytes") > group_bytes).select("a")
     groups = pieces.join(large, "a", "left_anti").repartition("a").sortWithinPartitions("a")
-    by_transform = groups.mapInArrow(_search(length, group_bytes), "doc bigint, place bigint")
-    windows = pieces.join(large, "a", "left_semi").mapInArrow(_single(length), "a bigint, b bigint, doc bigint, place bigint, status int")
+    by_transform = groups.mapInArrow(_search(length, group_bytes), "row bigint, place bigint")
+    windows = pieces.join(large, "a", "left_semi").mapInArrow(_single(length), "a bigint, b bigint, row bigint, place bigint, status int")
     windows = stored(windows, "windows")
     several = windows.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
-    by_number = windows.filter(F.col("status") == repeats.PARTIAL).join(several, ["a", "b"], "left_semi").select("doc", "place")
+    by_number = windows.filter(F.col("status") == repeats.PARTIAL).join(several, ["a", "b"], "left_semi").select("row", "place")
     return repeats.finish(mixed, by_transform.unionByName(by_number), kind, with_kept)

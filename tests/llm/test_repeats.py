@@ -106,3 +106,23 @@ def test_sorted_suffixes():
 def test_empty_tables(table):
     empty = table([], "doc_id bigint, text string")
     assert substring.dedup(empty).count() == 0 and suffix.dedup(empty).count() == 0
+
+
+def test_rows_without_id_are_told_apart(table):
+    import zlib
+
+    rng = np.random.default_rng(22)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n))
+    passage, by_sum = words(30), {}
+    while True:  # two texts whose checksums agree in 22 bits, one with the passage, one without
+        number = len(by_sum)
+        text = f"{passage} {number}" if number % 2 else f"{words(25)} {number}"
+        other = by_sum.setdefault(zlib.crc32(text.encode()) & 0x3FFFFF, text)
+        if other != text and other.startswith(passage) != text.startswith(passage):
+            break
+        if other != text:
+            by_sum[len(by_sum) - (1 << 40)] = text
+    rows = [(1, passage), (None, text), (None, other), (None, text), (2, other), (2, text)]
+    df = table(rows, "doc_id bigint, text string")
+    assert words_result(df) == sorted(brute.substring_dedup(rows, 13), key=key)
+    assert bytes_result(df, length=80, seed=16) == sorted(brute.suffix_dedup(rows, 80), key=key)
