@@ -6,15 +6,18 @@ one table lookup per letter decides every word of a text at once.  Short terms m
 exactly, longer ones may differ by one or two edits.
 
 The lexicon is a fixed list and, beside it, words that the labelled sample shows to be typical
-of toxic texts, in whatever language.  A found term counts by its context window: quoted or
+of toxic texts, in whatever language and script.  Scripts that put no spaces between words have
+runs of two or four letters for words.  A found term counts by its context window: quoted or
 reported words speak against abuse, words that address somebody speak for it.  A logistic
 regression, fitted on another part of the sample than the words, turns the counts into a score.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter, deque
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +39,27 @@ WINDOW = 60
 #: At most so many labelled rows, those of the smallest hash of their id, fit the model.
 SAMPLE_ROWS = 12_000
 #: A word becomes a term if so many toxic texts of the sample have it, and their share is so
-#: many times that of the others; the best of them, at most.
-LEAST_TEXTS, LEAST_ODDS, LEARNED = 5, 20.0, 200
+#: many times that of the others.
+LEAST_TEXTS, LEAST_ODDS = 5, 20.0
+#: Terms of one table; more terms make more tables, which keeps each of them small.
+TERMS = 256
 #: Of the four folds that may be learned from, the last fits the regression.
 FIT_FOLD = 4
-#: A misspelling found in so many harmless texts of the sample is a word of its own.
+#: A misspelling found in so many harmless texts of the sample, and in no smaller share of them
+#: than of the toxic ones, is a word of its own.
 COMMON = 2
 #: Code points scanned at once.
 BLOCK = 1 << 21
 FEATURES = ("exact", "near", "learned", "near_learned", "quoted", "addressed", "density", "loud")
 FOLDS = 5
+#: Scripts without spaces between words, by the letters that stand for a word: Han and kana; Thai,
+#: Lao, Burmese and Khmer.
+UNSPACED = {
+    2: ((0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)),
+    4: ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF)),
+}
+#: Hangul puts a syllable into a letter, so that words of two count.
+HANGUL = r"\x{AC00}-\x{D7A3}"
 
 
 def allowed(term: str) -> int:
@@ -59,15 +73,13 @@ def allowed(term: str) -> int:
 
 
 @dataclass(frozen=True)
-class Automaton:
+class Table:
     """``step[state, letter]``; ``term[state]`` is the index of the term found, or -1.
 
-    ``classes`` has the letter of each code point below its length, -1 between words; the last
-    letter is any that no term has.
+    The last letter is any that is not in ``letters``.
     """
 
-    lexicon: list[str]
-    classes: np.ndarray
+    letters: str
     step: np.ndarray
     term: np.ndarray
     edits: np.ndarray
@@ -75,15 +87,45 @@ class Automaton:
     longest: int
 
 
-def _classes(letters: list[str]) -> np.ndarray:
-    """Letters of the code points up to U+05FF, whatever their case; digits count as letters."""
-    numbers = {letter: i for i, letter in enumerate(letters)}
-    points = [chr(i) for i in range(0x600)]
-    return np.array([numbers.get(c.lower(), len(letters)) if c.isalnum() else -1 for c in points], np.int16)
+@dataclass(frozen=True)
+class Automaton:
+    """The terms, and tables of at most ``TERMS`` of them each."""
+
+    lexicon: list[str]
+    tables: list[Table]
+
+
+@cache
+def _points() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: 0 between words, 1 in words, n where n letters are a word; its lower case."""
+    kinds, lower = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.int32)
+    for i in (*range(0x33480), *range(0xE0100, 0xE01F0)):  # all others are unassigned or private
+        c = chr(i)
+        kinds[i] = c.isalnum() or unicodedata.category(c)[0] == "M"
+        if len(l := c.lower()) == 1:
+            lower[i] = ord(l)
+    for width, ranges in UNSPACED.items():
+        for low, high in ranges:
+            kinds[low : high + 1] *= width
+    return kinds, lower
+
+
+@cache
+def _classes(letters: str) -> np.ndarray:
+    """The letter of each code point, whatever its case, kept for the next text."""
+    numbers = np.full(0x110000, len(letters), np.int16)
+    numbers[[ord(c) for c in letters]] = np.arange(len(letters))
+    return numbers[_points()[1]]
 
 
 def automaton(lexicon: list[str]) -> Automaton:
-    """The deterministic automaton of all words near a term."""
+    """The deterministic automata of all words near a term."""
+    starts = range(0, max(len(lexicon), 1), TERMS)
+    return Automaton(lexicon, [_table(lexicon[at : at + TERMS], at) for at in starts])
+
+
+def _table(lexicon: list[str], offset: int) -> Table:
+    """The table of some terms, which are numbered from ``offset``."""
     children, accepts, room = [{}], {}, [0]
     for number, term in enumerate(lexicon):
         node = 0
@@ -144,36 +186,45 @@ def automaton(lexicon: list[str]) -> Automaton:
         found = [(e, accepts[n]) for n, e in state if n in accepts and e <= allowed(lexicon[accepts[n]])]
         if found:
             edits[i], term[i] = min(found)
+    term[term >= 0] += offset
     lengths = [(len(t), allowed(t)) for t in lexicon]
     shortest, longest = min(n - k for n, k in lengths), max(n + k for n, k in lengths)
-    return Automaton(lexicon, _classes(known), np.array(rows, np.int32), term, edits, shortest, longest)
-
-
-def _letters(points: np.ndarray, machine: Automaton) -> np.ndarray:
-    """The letter of each code point, -1 between words; other scripts are letters no term has."""
-    low = points < len(machine.classes)
-    classes = np.full(len(points), machine.step.shape[1] - 1, np.int16)
-    classes[low] = machine.classes[points[low]]
-    classes[((points >= 0x2000) & (points <= 0x206F)) | ((points >= 0x3000) & (points <= 0x303F))] = -1
-    return classes
+    return Table("".join(known), np.array(rows, np.int32), term, edits, shortest, longest)
+
+
+def _words(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Starts and ends of the words, and their number; a run without spaces counts as one."""
+    kinds = np.concatenate((np.zeros(1, np.uint8), _points()[0][points], np.zeros(1, np.uint8)))
+    if kinds.max() == 1:  # spaces between all words
+        change = np.flatnonzero(kinds[1:] != kinds[:-1])
+        return change[::2], change[1::2], len(change) // 2
+    change = np.flatnonzero(np.diff(kinds))
+    run = kinds[change[:-1] + 1]
+    first, last, width = change[:-1][run > 0], change[1:][run > 0], run[run > 0].astype(np.int64)
+    size = last - first
+    whole = (width == 1) | (size < width)
+    n = np.where(whole, 1, size - width + 1)
+    owner = np.repeat(np.arange(len(n)), n)
+    starts = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    return starts, starts + np.where(whole, size, width)[owner], len(first)
 
 
 def find_terms(points: np.ndarray, machine: Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """``start, end, term, edits`` of the words that match, and the number of words."""
-    classes = _letters(points, machine)
-    inside = np.concatenate(([False], classes >= 0, [False]))
-    change = np.diff(inside.astype(np.int8))
-    starts, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
-    n_words, size = len(starts), ends - starts
-    fits = (size >= machine.shortest) & (size <= machine.longest)
-    starts, ends, size = starts[fits], ends[fits], size[fits]
-    state = np.zeros(len(starts), np.int32)
-    padded = np.concatenate((classes, np.zeros(machine.longest, np.int16)))
-    for i in range(machine.longest):
-        live = size > i
-        state = np.where(live, machine.step[state, padded[starts + i]], state)
-    found = machine.term[state] >= 0
-    return starts[found], ends[found], machine.term[state][found], machine.edits[state][found], n_words
+    starts, ends, n_words = _words(points)
+    best, edits = np.full(len(starts), -1, np.int32), np.full(len(starts), 1 << 20, np.int32)
+    for table in machine.tables:
+        size = ends - starts
+        fits = np.flatnonzero((size >= table.shortest) & (size <= table.longest))
+        begin, size = starts[fits], size[fits]
+        state = np.zeros(len(fits), np.int32)
+        padded = np.concatenate((_classes(table.letters)[points], np.zeros(table.longest, np.int16)))
+        for i in range(table.longest):
+            state = np.where(size > i, table.step[state, padded[begin + i]], state)
+        better = (table.term[state] >= 0) & (table.edits[state] < edits[fits])
+        best[fits[better]], edits[fits[better]] = table.term[state[better]], table.edits[state[better]]
+    found = best >= 0
+    return starts[found], ends[found], best[found], edits[found], n_words
 
 
 def _quoted(text: str, start: int, end: int) -> bool:
@@ -190,7 +241,7 @@ def hits(text: str, machine: Automaton) -> tuple[list[dict], int]:
     found, n_words, at = [], 0, 0
     while at < len(text):
         until = min(len(text), at + BLOCK)
-        while until < len(text) and text[until].isalnum():  # never cut a word
+        while until < len(text) and _points()[0][ord(text[until])]:  # never cut a word
             until += 1
         points = np.frombuffer(text[at:until].encode("utf-32-le", "replace"), np.uint32)
         starts, ends, terms, edits, n = find_terms(points, machine)
@@ -259,11 +310,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def learned_terms(sample: DataFrame, most: int = LEARNED) -> list[str]:
-    """Words of ``sample`` (``text, toxic``) that are typical of toxic texts, at most ``most``."""
+def _patterns() -> list[str]:
+    """Patterns of the words that may become terms, as ``_words`` cuts them, in their first group."""
+    ranges = {n: "".join(rf"\x{{{low:X}}}-\x{{{high:X}}}" for low, high in all_of) for n, all_of in UNSPACED.items()}
+    spaced = rf"[\p{{L}}\p{{M}}&&[^{''.join(ranges.values())}]]"
+    runs = [rf"(?=([\p{{L}}\p{{M}}&&[{own}]]{{{n}}}))" for n, own in ranges.items()]
+    return [rf"({spaced}{{4,24}}|[{HANGUL}]{{2,3}})", *runs]
+
+
+def learned_terms(sample: DataFrame) -> list[str]:
+    """Words of ``sample`` (``text, toxic``) that are typical of toxic texts."""
     sizes = {bool(r["toxic"]): r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,24}"), F.lit(0)))
+    words = F.array_distinct(F.concat(*(F.regexp_extract_all(F.lower("text"), F.lit(p), F.lit(1)) for p in _patterns())))
     odds = ((F.col("bad") + 0.5) / (toxic + 1)) / ((F.col("n") - F.col("bad") + 0.5) / (clean + 1))
     counts = (
         sample.select("toxic", F.explode(words).alias("word"))
@@ -273,8 +332,7 @@ def learned_terms(sample: DataFrame, most: int = LEARNED) -> list[str]:
         .withColumn("odds", odds)
         .filter(F.col("odds") >= LEAST_ODDS)
     )
-    best = counts.orderBy(F.desc(F.col("bad") * F.log("odds")), "word").limit(most).collect()
-    return sorted({r["word"] for r in best} - set(LEXICON))
+    return sorted({r["word"] for r in counts.select("word").collect()} - set(LEXICON))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -308,9 +366,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         "n_words bigint, toxic bigint"
     )
     sample = [(r["hits"], r["n_words"], r["toxic"]) for r in rows.mapInArrow(scan, schema).collect()]
-    seen = Counter(s for found, _, toxic in sample if not toxic for s in {h["surface"] for h in found if h["edits"]})
-    common = frozenset(s for s, n in seen.items() if n >= COMMON)
+    seen = [Counter(s for found, _, toxic in sample if toxic == y for s in {h["surface"] for h in found if h["edits"]}) for y in (0, 1)]
     y = np.array([toxic for *_, toxic in sample], float)
+    bad, clean = int(y.sum()), len(y) - int(y.sum())
+    common = frozenset(s for s, n in seen[0].items() if n >= COMMON and n * bad >= seen[1][s] * clean)
     if len(y) == 0 or y.min() == y.max():
         return Model(machine, np.array([6.0, 4.0, 3.0, 1.0, -2.0, 1.0, 1.0, 1.0, -2.0]), common)
     x = np.array([features(found, n, common) for found, n, _ in sample])

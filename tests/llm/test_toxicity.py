@@ -82,3 +82,38 @@ def test_without_labels(table):
     model = toxicity.fit(docs, table([], "doc_id bigint, toxic int"))
     assert toxicity.with_scores(docs, model).filter("score > 0.5").count() == 1
     assert toxicity.with_scores(docs.limit(0), model).count() == 0 and F
+
+
+def test_terms_of_other_scripts(table):
+    terms = ["غبيحقير", "मूर्खता", "იდიოტი", "바보", "笨蛋", "คนโง่เขลา", "đồngốc"]
+    rows, labels = labelled()
+    for i, (number, text, x) in enumerate(rows):
+        if number % 4 == 0:
+            term = terms[number // 4 % len(terms)]
+            joined = {"笨蛋": "你是个笨蛋吗", "คนโง่เขลา": "เธอคือคนโง่เขลานะ"}.get(term, term)
+            rows[i] = (number, f"tree {joined} river", x)
+        elif number % 4 == 1:
+            rows[i] = (number, f"{text} 你是个学生吗 เธอคือเพื่อนนะ", x)
+    model = toxicity.fit(table(rows, "doc_id bigint, text string, x double"), table(labels, "doc_id bigint, toxic int"))
+    for text in [*terms, "他是笨蛋", "นี่คนโง่เขลา"]:
+        assert toxicity.hits(text, model.machine)[0], text
+    assert model.score(*toxicity.hits("stone 他是笨蛋", model.machine)) > 0.5
+    assert not toxicity.hits("tree 你是个学生吗 เธอคือเพื่อนนะ", model.machine)[0]
+
+
+def test_no_number_of_terms_is_too_large(table):
+    words = ["".join(chr(97 + (i // 26**k * 7 + i) % 26) for k in range(3)) * 3 + chr(97 + i % 26) for i in range(600)]
+    words = sorted(set(words))
+    rows = [(i, " ".join(words) if i % 4 == 0 else "tree house", 0.0) for i in range(100)]
+    found = toxicity.learned_terms(table([(t, i % 4 == 0) for i, t, _ in rows], "text string, toxic boolean"))
+    assert found == words and len(words) > 256
+    machine = toxicity.automaton(words)
+    assert [machine.lexicon[h["term"]] for h in toxicity.hits(" ".join(words), machine)[0]] == words
+
+
+def test_a_misspelling_is_judged_by_its_share(table):
+    rows, labels = labelled()
+    added = lambda i: " morron" if i % 4 == 0 or i % 10 == 1 else " moran" if i % 3 == 0 else ""
+    rows = [(i, text + added(i), x) for i, text, x in rows]
+    model = toxicity.fit(table(rows, "doc_id bigint, text string, x double"), table(labels, "doc_id bigint, toxic int"))
+    assert "morron" not in model.machine.lexicon and "morron" not in model.common and "moran" in model.common
