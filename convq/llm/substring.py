@@ -1,10 +1,9 @@
-"""Substring dedup of words by level-wise doubling.
+"""Substring dedup of words by minimizers.
 
-Level one are windows of ``SEED`` words, one for each window of ``LENGTH``: its anchor.  Only
-where such a window occurs in more than one document are the windows of the next level looked
-at, which are twice as long (less one word, as the wanted length asks); nothing else survives.
-Runs of windows that agree as a whole are settled as one, the windows at the edges of a repeat
-one by one.
+Of each window of ``LENGTH`` words its anchor, the window of ``SEED`` words with the smallest
+number, is compared over all texts.  Only where an anchor occurs in more than one document are the
+windows looked at: runs of them that agree as a whole are settled as one, the others are compared
+one by one at the full length.  There are no levels in between.
 """
 
 from __future__ import annotations
