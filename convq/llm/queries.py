@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from convq.llm import ann, chat, decontaminate, mixing, pii, simhash, substring, suffix, toxicity, warc
+from convq.llm import (
+    ann,
+    chat,
+    decontaminate,
+    merkle,
+    mixing,
+    pii,
+    simhash,
+    substring,
+    suffix,
+    toxicity,
+    warc,
+)
 from convq.sources.workspace import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,3 +240,84 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("op10_toxicity", op10_toxicity)
+
+
+# ---- 11: Merkle manifest
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return merkle.manifest(docs, tampered=F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of the UTF-8 bytes of ``text``, four bits at a step."""
+    table = []
+    for i in range(16):
+        value = i
+        for _ in range(4):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    digits = f"hex(encode({text}))"
+    steps = (
+        f"list_transform(range(length({digits})), lambda i: "
+        f"strpos('0123456789ABCDEF', substr({digits}, i + 2 - 2 * (i % 2), 1)) - 1)"
+    )
+    return (
+        f"xor(list_reduce(list_prepend(4294967295, {steps}), "
+        f"lambda c, x: xor({table}[(xor(c, x) & 15) + 1], c >> 4)), 4294967295)"
+    )
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _leaf_sql(text: str) -> str:
+    field = "coalesce(octet_length(encode(cast({0} as varchar))) || ':' || cast({0} as varchar), '-')"
+    return f"sha256({' || '.join(field.format(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+def _levels_sql(name: str, base: str) -> str:
+    return f"""
+{name}(l, tree, i, h) as (
+    {base}
+    union all
+    select l + 1, tree, i // 16, sha256(string_agg(h, '' order by i))
+    from (select *, count(*) over (partition by tree) as c from {name}) where c > 1 group by l, tree, i // 16),
+{name}_top as (select tree, max(l) as top, arg_max(h, l) as root from {name} group by tree),
+{name}_runs as (
+    select l, tree, i // 16 as run, list(h order by i) as hs from {name} join {name}_top using (tree) where l < top
+    group by l, tree, i // 16)"""
+
+
+def _steps_sql(level: str) -> str:
+    place = f"({level}.i >> (4 * l)) % 16"
+    return f"array_to_string(hs[1:{place}], '') || '|' || array_to_string(hs[{place} + 2:], '')"
+
+
+MERKLE_SQL = f"""
+with recursive d as (
+    select doc_id, coalesce('=' || source, '') as tree, {_leaf_sql("text")} as leaf,
+        case when {crc32_sql("cast(doc_id as varchar)")} % 5 = 0 then {_leaf_sql(_LOWER.format("text"))}
+            else {_leaf_sql("text")} end as other
+    from documents),
+leaves as (
+    select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as i, row_number() over () as r from d),
+{_levels_sql("below", "select 0, tree, i, leaf from leaves")},
+sources as (select *, row_number() over (order by tree) - 1 as i from below_top),
+{_levels_sql("above", "select 0, '', i, root from sources")},
+steps as (
+    select r, l as k, {_steps_sql("leaves")} as step
+    from leaves join below_runs b on b.tree = leaves.tree and run = leaves.i >> (4 * (l + 1))
+    union all
+    select r, 1000 + l, {_steps_sql("sources")}
+    from leaves join sources on sources.tree = leaves.tree join above_runs on run = sources.i >> (4 * (l + 1))),
+proofs as (select r, list(step order by k) as steps from steps group by r)
+select doc_id, leaf, sources.root as subroot, above_top.root as root,
+    sha256(replace(array_to_string(coalesce(steps, []), ''), '|', '')) as proof_sha256,
+    list_reduce(list_prepend(other, coalesce(steps, [])),
+        lambda a, s: sha256(split_part(s, '|', 1) || a || split_part(s, '|', 2))) as folded_root,
+    folded_root = above_top.root as verified
+from leaves join sources on sources.tree = leaves.tree cross join above_top left join proofs on proofs.r = leaves.r
+"""
+add("op11_merkle_manifest", op11_merkle_manifest, MERKLE_SQL)
