@@ -14,9 +14,11 @@ from convq.llm import (
     mixing,
     pii,
     simhash,
+    spelling,
     substring,
     suffix,
     toxicity,
+    urls,
     warc,
 )
 from convq.sources.workspace import work_folder
@@ -321,3 +323,69 @@ select doc_id, leaf, sources.root as subroot, above_top.root as root,
 from leaves join sources on sources.tree = leaves.tree cross join above_top left join proofs on proofs.r = leaves.r
 """
 add("op11_merkle_manifest", op11_merkle_manifest, MERKLE_SQL)
+
+
+# ---- 12: URL filter
+
+# fixed values: the rules of the contract
+RULES = (
+    ("com/", urls.ALLOW),
+    ("example.com/en/", urls.BLOCK),
+    ("www.example.com/en/", urls.ALLOW),
+    ("net/es/", urls.BLOCK),
+    ("net/fr/", urls.BLOCK),
+)
+
+
+def op12_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    judged = urls.judge(pages, RULES, urls.fit(urls.labelled_by_rules(pages, RULES)))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+add("op12_filter_urls", op12_filter_urls)
+
+
+# ---- 13: spelling variants
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(read(spark, sf_dir, "documents").select("doc_id", "text"), damage=199)
+    return spelling.variants(words)
+
+
+_HASH = crc32_sql("coalesce(cast(doc_id as varchar), '') || ':' || run")
+SPELLING_SQL = f"""
+with recursive runs as (
+    select doc_id, {_LOWER.format("run")} as run, count(*) as n
+    from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) as run from documents)
+    group by all),
+hashed as (select run, n, {_HASH} as h from runs),
+counted as (
+    select case when h % 199 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word,
+        sum(n) as n
+    from hashed group by 1),
+words as (select word, cast(n as bigint) as n from counted where length(word) >= 6 and n >= 5),
+cut as (
+    select word, n, i, substr(word, 1, i) || substr(word, i + 2) as rest
+    from (select word, n, unnest(range(length(word))) as i from words)),
+near as (
+    select a.word, b.word as near, b.n as near_n from cut a join cut b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+    union
+    select cut.word, words.word, words.n from cut join words on words.word = cut.rest
+    union
+    select words.word, cut.word, cut.n from cut join words on words.word = cut.rest),
+best as (
+    select word, count(*) as n_near, max(near_n) as top, arg_min(near, (-near_n, near)) as near from near group by word),
+forms as (
+    select words.word, words.n, coalesce(n_near, 0) as n_near, case when top >= 5 * words.n then near end as form,
+        case when top >= 5 * words.n then top end as form_n
+    from words left join best on best.word = words.word),
+chain as (
+    select word, word as root, form as onward from forms
+    union all
+    select chain.word, forms.word, forms.form from chain join forms on forms.word = chain.onward)
+select forms.word, forms.form, chain.root, forms.n, forms.n_near, forms.form_n
+from forms join chain on chain.word = forms.word and chain.onward is null
+"""
+add("op13_spelling_variants", op13_spelling_variants, SPELLING_SQL)

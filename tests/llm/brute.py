@@ -127,3 +127,72 @@ def edit_distance(a, b):
         for j, y in enumerate(b, 1):
             row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
     return row[-1]
+
+
+def merkle_leaf(row, text):
+    """Digest of a row of documents, ``text`` in place of its text."""
+    field = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    return sha("".join(map(field, (row["doc_id"], row["source"], row["lang"], row["n_chars"], text))).encode())
+
+
+def merkle(rows, tampered):
+    """``(doc_id, leaf, subroot, root, proof, folded, verified)`` per row; ``tampered(row)`` says which are."""
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([sha("".join(out[-1][i : i + 16]).encode()) for i in range(0, len(out[-1]), 16)])
+        return out
+
+    def path(tree, i):
+        out = []
+        for level in tree[:-1]:
+            start = i - i % 16
+            out.append(("".join(level[start:i]), "".join(level[i + 1 : start + 16])))
+            i //= 16
+        return out
+
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r["source"]].append((r["doc_id"] is not None, r["doc_id"] or 0, merkle_leaf(r, r["text"]), r))
+    order = sorted(by_source, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {}
+    for s in order:
+        by_source[s].sort(key=lambda x: x[:3])
+        trees[s] = levels([x[2] for x in by_source[s]])
+    crown, out = levels([trees[s][-1][0] for s in order]), []
+    for j, s in enumerate(order):
+        for i, (_, _, leaf, r) in enumerate(by_source[s]):
+            steps, digest = path(trees[s], i) + path(crown, j), leaf
+            if tampered(r) and r["text"] is not None:
+                digest = merkle_leaf(r, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r["text"]))
+            for left, right in steps:
+                digest = sha((left + digest + right).encode())
+            proof, root = sha("".join(a + b for a, b in steps).encode()), crown[-1][0]
+            out.append((r["doc_id"], leaf, trees[s][-1][0], root, proof, digest, digest == root))
+    return out
+
+
+def one_edit(a, b):
+    """Whether two words differ by exactly one inserted, deleted or replaced code point."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def spelling(counts, ratio=5):
+    """``(word, form, root, n, n_near, form_n)`` for a dict of words and counts."""
+    form, near = {}, {}
+    for w, n in counts.items():
+        found = [v for v in counts if one_edit(w, v)]
+        near[w], best = len(found), min(found, key=lambda v: (-counts[v], v), default=None)
+        form[w] = best if best is not None and counts[best] >= ratio * n else None
+    out = []
+    for w, n in counts.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n, near[w], None if form[w] is None else counts[form[w]]))
+    return out
