@@ -34,6 +34,7 @@ Evaluate this conversation and return a JSON object with these fields:
 - language (string): The primary language used."""
 # ---- end of fixed values ----
 
+TOO_LONG = "the conversation is too long for a prompt"
 RESPONSE = "conversation_id {id_type}, response string, error string"
 
 
@@ -79,42 +80,51 @@ def parse_verdicts(responses: DataFrame) -> DataFrame:
     )
 
 
+Scorer = Callable[[str], str] | Callable[[list[str]], list[str]]
+
+
+def answers_to(questions: list[str], scorer: Scorer, batched: bool) -> Iterator[tuple[list[str | None], list[str | None]]]:
+    """Answers and errors, one of each per question, as they come in: one by one, or all of a batch together."""
+    if not batched:
+        for question in questions:
+            try:
+                yield [scorer(question)], [None]
+            except Exception as problem:
+                yield [None], [str(problem)]
+        return
+    try:
+        answers = list(scorer(questions))
+        if len(answers) != len(questions):
+            raise ValueError(f"{len(answers)} answers to {len(questions)} prompts")
+        yield answers, [None] * len(answers)
+    except Exception as problem:
+        yield [None] * len(questions), [str(problem)] * len(questions)
+
+
 def judge_responses(
-    transcripts: DataFrame,
-    scorer: Callable[[str], str] | Callable[[list[str]], list[str]],
-    text: str = "full_conversation",
-    batched: bool = False,
+    transcripts: DataFrame, scorer: Scorer, text: str = "full_conversation", batched: bool = False
 ) -> DataFrame:
     """Ask ``scorer(prompt)`` for every conversation; a failure becomes an error row.
 
     A ``batched`` scorer gets the prompts of an Arrow batch as a list, to send them together,
-    and returns as many answers; if it fails, so does each of them.
+    and returns as many answers; if it fails, so does each of them.  A conversation whose text
+    is null, being too long for a cell, is not asked about: it is an error row.
 
-    Scorer calls cost money and may run again when an executor is lost, so write
-    the result before using it twice (``plans.filter_judge`` does).
+    Scorer calls cost money and run again when an executor is lost; ``plans.judge_run`` keeps every
+    answer and asks once.
     """
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            answers, errors = [], []
-            if batched:
-                try:
-                    answers = list(scorer(batch["prompt"].tolist()))
-                    errors = [None] * len(answers)
-                    if len(answers) != len(batch):
-                        raise ValueError(f"{len(answers)} answers to {len(batch)} prompts")
-                except Exception as problem:
-                    answers, errors = [None] * len(batch), [str(problem)] * len(batch)
-            for question in [] if batched else batch["prompt"]:
-                try:
-                    answers.append(scorer(question))
-                    errors.append(None)
-                except Exception as problem:
-                    answers.append(None)
-                    errors.append(str(problem))
-            yield pd.DataFrame(
-                {"conversation_id": batch["conversation_id"], "response": answers, "error": errors}
-            )
+            unknown = batch["prompt"].isna()
+            if unknown.any():
+                ids = batch.loc[unknown, "conversation_id"]
+                yield pd.DataFrame({"conversation_id": ids, "response": None, "error": TOO_LONG})
+            known = batch[~unknown]
+            if len(known):
+                found = list(answers_to(known["prompt"].tolist(), scorer, batched))
+                answers, errors = [a for some, _ in found for a in some], [e for _, some in found for e in some]
+                yield pd.DataFrame({"conversation_id": known["conversation_id"], "response": answers, "error": errors})
 
     id_type = transcripts.schema["conversation_id"].dataType.simpleString()
     questions = transcripts.select("conversation_id", prompt(F.col(text)).alias("prompt"))

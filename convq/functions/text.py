@@ -25,7 +25,7 @@ WHITESPACE = "".join(
     ]
 )
 # The same inside a regex class under (?U); far faster than listing the characters.
-_WS = r"\s\x1c-\x1f"
+WS = r"\s\x1c-\x1f"
 
 
 def strip(text: Column) -> Column:
@@ -49,7 +49,7 @@ def letters(text: Column) -> Column:
 
 def has_more_words_than(text: Column, n: int) -> Column:
     """More than ``n`` whitespace-separated words; reads no further than it must."""
-    return text.rlike(rf"(?U)\A[{_WS}]*+(?:[^{_WS}]++[{_WS}]++){{{n}}}[^{_WS}]")
+    return text.rlike(rf"(?U)\A[{WS}]*+(?:[^{WS}]++[{WS}]++){{{n}}}[^{WS}]")
 
 
 def has_word_longer_than(text: Column, n: int) -> Column:
@@ -58,7 +58,7 @@ def has_word_longer_than(text: Column, n: int) -> Column:
     The first test knows only the common white space.  It is cheap, and where it
     finds no long run there is no long word.
     """
-    return text.rlike(rf"(?:\A|[ \t\n\r])[^ \t\n\r]{{{n + 1}}}") & text.rlike(f"(?U)[^{_WS}]{{{n + 1}}}")
+    return text.rlike(rf"(?:\A|[ \t\n\r])[^ \t\n\r]{{{n + 1}}}") & text.rlike(f"(?U)[^{WS}]{{{n + 1}}}")
 
 
 def with_char_counts(df: DataFrame, name: str = "text") -> DataFrame:
@@ -73,7 +73,7 @@ def with_char_counts(df: DataFrame, name: str = "text") -> DataFrame:
         "n_alpha": n - remaining(rest, r"\p{L}+"),
         "n_ascii": F.when(F.octet_length(text) == n, n).otherwise(n - remaining(rest, r"[\x00-\x7f]+")),
         "n_vowel": n - remaining(text, "[aeiouAEIOU]+"),
-        "n_text": n - remaining(rest, rf"(?U)[\p{{L}}{_WS}]+"),
+        "n_text": n - remaining(rest, rf"(?U)[\p{{L}}{WS}]+"),
     }
     return (
         df.withColumn("rest", F.regexp_replace(text, "[A-Za-z]+", "")).withColumns(counts).drop("rest")

@@ -3,8 +3,14 @@
 Order decides which copy is the first: conversations by id, and in each its whole
 text before its messages.  Instead of ranking all copies of a text in one task,
 every text key keeps its earliest place (a pre-aggregated minimum), and rows find
-out by their own unique id whether they hold that place.  A text that makes up a
+out by their own number whether they hold that place.  A text that makes up a
 third of the corpus is therefore no hot spot.
+
+A message is known by the hash of its text.  A whole conversation is cut into messages in
+any way, and two that read the same need not be cut alike.  So each message carries a
+signature of its words that adds up over messages in any order: equal texts have equal
+signatures.  Only conversations whose signature occurs twice, or among the messages, are
+suspects; their texts alone are read again, hashed and joined in order (``functions.fingerprint``).
 """
 
 from __future__ import annotations
@@ -14,15 +20,87 @@ from pyspark.sql import Column, DataFrame, functions as F
 from convq.functions import fingerprint as fp
 from convq.functions import text as tx
 from convq.functions.rules import OPTIMIZED, Profile
+from convq.operators import placing
 from convq.sources.workspace import stored
 
 WHOLE, MESSAGE = 0, 1
-PART = 65_536  # message ids per group of one conversation and instant
+
+# ---------------------------------------------------------------- signatures
+
+
+def signature(norm: str) -> Column:
+    """Of a normalised text: its words, and the sums of both halves of their hashes.
+
+    White space separates messages that are joined, so words stay as they are, and the sums
+    of a conversation are those of its messages.
+    """
+    words = f"filter(split({norm}, '(?U)[{tx.WS}]+'), w -> w <> '')".replace("\\", "\\\\")
+    step = (
+        "named_struct('n', a.n + 1, 'low', a.low + (xxhash64(w) & 4294967295), "
+        "'high', a.high + shiftrightunsigned(xxhash64(w), 32))"
+    )
+    return F.expr(f"aggregate({words}, named_struct('n', 0L, 'low', 0L, 'high', 0L), (a, w) -> {step})")
+
+
+EXACT = "decimal(38,0)"  # the sum of all words there can be fits
+
+
+def signature_sum() -> list[Column]:
+    """Aggregates that add signatures up."""
+    return [F.sum(F.col(f"signature.{part}").cast("decimal(20,0)")).alias(f"words_{part}") for part in ("n", "low", "high")]
+
+
+def summed_signature() -> list[Column]:
+    """The same over sums."""
+    return [F.sum(f"words_{part}").alias(f"words_{part}") for part in ("n", "low", "high")]
+
+
+def _key(name: str) -> Column:
+    return F.struct(*[F.col(name.format(part)).cast(EXACT).alias(part) for part in ("n", "low", "high")]).alias("signature")
+
+
+def _texts(wholes: DataFrame, messages: DataFrame | None) -> DataFrame:
+    """(conversation_id, kind, signature) of all visible texts that take part."""
+    rows = wholes.select("conversation_id", F.lit(WHOLE).alias("kind"), _key("words_{}"))
+    if messages is not None:
+        rows = rows.unionByName(messages.select("conversation_id", F.lit(MESSAGE).alias("kind"), _key("signature.{}")))
+    return rows.filter(F.col("signature.n") != 0)
+
+
+def suspects(wholes: DataFrame, messages: DataFrame | None, both_ways: bool = False) -> DataFrame:
+    """Ids of conversations with a text whose signature shows up again; a written table.
+
+    That is: a whole conversation, and an earlier text of the same signature.  With ``both_ways``
+    the whole may also be the earlier of the two.
+    """
+    texts = _texts(wholes, messages)
+    last_whole = F.max(F.when(F.col("kind") == WHOLE, F.col("conversation_id")))
+    groups = texts.groupBy("signature").agg(
+        F.min("conversation_id").alias("first"), last_whole.alias("last"), F.count("*").alias("n")
+    )
+    again = F.col("last").isNotNull() & (F.col("n") > 1) if both_ways else F.col("first") < F.col("last")
+    found = texts.join(groups.filter(again), "signature", "left_semi").select("conversation_id").distinct()
+    return stored(found, "suspects")
+
+
+def first_blank(wholes: DataFrame, messages: DataFrame | None) -> Column:
+    """The smallest id of a conversation that is blank or, if ``messages`` count, holds a blank one."""
+    rows = wholes.filter("words_n = 0").select("conversation_id")
+    if messages is not None:
+        rows = rows.unionByName(messages.filter("signature.n = 0").select("conversation_id"))
+    return rows.agg(F.min("conversation_id")).scalar()
+
+
+# -------------------------------------------------------------- fingerprints
+
+
+def _given() -> Column:
+    return F.coalesce(F.col("text"), F.lit(""))
 
 
 def _pieces(profile: Profile) -> tuple[Column, Column, Column]:
     """Separator and leading space, visible text, trailing space of one message."""
-    t = F.coalesce(F.col("text"), F.lit(""))
+    t = _given()
     core = tx.strip(t)
     if not profile.classic:
         return F.lit(" "), core, F.lit("")
@@ -48,125 +126,162 @@ def with_pieces(messages: DataFrame, profile: Profile = OPTIMIZED) -> DataFrame:
 
 
 def message_fingerprints(messages: DataFrame, profile: Profile = OPTIMIZED) -> DataFrame:
-    """(conversation_id, sent_at, message_id, pieces): fingerprints, no text."""
+    """(conversation_id, sent_at, message_id, mark, text_key, pieces): fingerprints, no text."""
     known = messages.filter(F.col("conversation_id").isNotNull())
-    return with_pieces(known, profile).select("conversation_id", "sent_at", "message_id", "pieces")
+    named = known.withColumns({"mark": placing.mark("text"), "text_key": text_key(tx.normalise(_given()))})
+    return with_pieces(named, profile).select("conversation_id", *placing.ORDER, "text_key", "pieces")
 
 
 def instants(fingerprints: DataFrame) -> DataFrame:
-    """Messages of one conversation and instant, as ordered arrays of bounded size.
+    """Messages of one conversation that stand together, as ordered arrays of bounded size.
 
-    Both users of this table, whole texts and single messages, share one shuffle.
+    They share the levels of ``placing`` that are needed to keep the arrays small: mostly an hour,
+    down to one instant, id and hash where a conversation holds very many messages.  Runs a count.
     """
-    return (
-        fingerprints.withColumn("minute", F.date_trunc("minute", "sent_at"))
-        .withColumn("part", F.floor(F.col("message_id") / PART))
-        .groupBy("conversation_id", "minute", "sent_at", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("message_id", "pieces"))).alias("messages"))
-    )
+    names = placing.levels_needed(fingerprints.select("conversation_id", *placing.ORDER))
+    messages = F.array_sort(F.collect_list(F.struct(*[F.col(f"own.{c}").alias(c) for c in placing.ORDER], "pieces")))
+    own = F.struct(*placing.ORDER).alias("own")
+    placed = placing.with_levels(fingerprints.select("conversation_id", *placing.ORDER, own, "pieces"), names)
+    return placed.groupBy("conversation_id", *names).agg(messages.alias("messages"))
 
 
-def _fold(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    in_order = f"array_sort(collect_list(struct({', '.join(order)}, pieces)))"
+def _fold(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    in_order = f"array_sort(collect_list(struct({order}, pieces)))"
     collected = rows.groupBy(*keys).agg(F.expr(f"flatten({in_order}.pieces)").alias("pieces"))
     return fp.compress(collected)
 
 
 def conversation_fingerprints(instants: DataFrame) -> DataFrame:
-    """One fingerprint per conversation, joined in time order in four steps.
+    """One fingerprint per conversation, joined in the order of its messages, level by level.
 
-    The steps bound what a task collects for a hot conversation: ``PART`` message
-    ids of one instant, then one minute, the 1,440 minutes of a day, and its days.
+    What a task collects at once is bounded by the children that a level can have.
     """
-    step = instants.withColumn("pieces", F.expr("flatten(messages.pieces)")).drop("messages")
-    step = fp.compress(step)
-    step = _fold(step, ["conversation_id", "minute"], ["sent_at", "part"])
-    step = step.withColumn("day", F.to_date("minute"))
-    step = _fold(step, ["conversation_id", "day"], ["minute"])
-    return _fold(step, ["conversation_id"], ["day"])
+    names = [name for name in placing.LEVELS if name in instants.columns]
+    step = fp.compress(instants.withColumn("pieces", F.expr("flatten(messages.pieces)")).drop("messages"))
+    for depth in reversed(range(len(names))):
+        step = _fold(step, ["conversation_id", *names[:depth]], names[depth])
+    return step
+
+
+def _exact(prints: DataFrame, checked_ids: DataFrame | None, scope: str) -> DataFrame:
+    """(conversation_id, kind, text_key, exact): whole texts and, if shared, the messages that are looked at."""
+    exact = F.struct(fp.core()["h"].alias("h"), fp.core()["w"].alias("w")).alias("exact")
+    no_key = F.lit(None).cast("binary").alias("text_key")
+    rows = conversation_fingerprints(instants(prints)).select("conversation_id", F.lit(WHOLE).alias("kind"), no_key, exact)
+    if scope == "shared":
+        messages = prints if checked_ids is None else prints.join(checked_ids, "conversation_id", "left_semi")
+        rows = rows.unionByName(messages.select("conversation_id", F.lit(MESSAGE).alias("kind"), "text_key", exact))
+    return rows
 
 
-def occurrences(
-    instants: DataFrame, checked_ids: DataFrame | None = None, scope: str = "shared"
-) -> DataFrame:
-    """Every text that takes part: whole conversations and, if shared, messages.
+def exact_keys(messages: DataFrame, profile: Profile = OPTIMIZED, checked_ids: DataFrame | None = None) -> DataFrame:
+    """(conversation_id, kind, key) of all whole texts and of the messages that are looked at.
 
-    ``checked_ids`` limits the messages to conversations whose messages are looked at.
+    Keys are equal where the normalised texts are, however they are cut into messages.  The optimized
+    profile leaves blank texts out.  Hashes every text; for an index that later texts are compared with.
     """
-    rows = conversation_fingerprints(instants).select(
-        "conversation_id",
-        F.lit(WHOLE).alias("kind"),
-        F.lit(None).cast("timestamp").alias("sent_at"),
-        F.lit(None).cast("bigint").alias("message_id"),
-        fp.core().alias("core"),
-    )
-    if scope == "shared":
-        groups = instants
-        if checked_ids is not None:
-            # ids are unique; a semi join would move below the grouping and undo the sharing
-            groups = groups.join(checked_ids, "conversation_id")
-        messages = groups.select("conversation_id", "sent_at", F.inline("messages"))
-        rows = rows.unionByName(
-            messages.select(
-                "conversation_id",
-                F.lit(MESSAGE).alias("kind"),
-                "sent_at",
-                "message_id",
-                fp.core().alias("core"),
-            )
-        )
-    return rows.select(
-        "conversation_id",
-        "kind",
-        "sent_at",
-        "message_id",
-        (F.col("core.n") == 0).alias("blank"),
-        F.struct("core.h", "core.w").alias("text_key"),
-    )
+    rows = _exact(stored(message_fingerprints(messages, profile), "fingerprints"), checked_ids, "shared")
+    if not profile.classic:
+        rows = rows.filter(F.exists("exact.h", lambda x: x != 0))
+    numbers = [F.col(f"exact.{part}").cast("array<string>") for part in ("h", "w")]
+    return rows.select("conversation_id", "kind", F.unhex(F.md5(F.concat_ws(",", *numbers))).alias("key"))
 
 
-def original_conversations(
-    fingerprints: DataFrame, checked_ids: DataFrame | None = None, scope: str = "shared"
-) -> DataFrame:
-    """Ids of conversations whose whole text occurs nowhere earlier.
+def _prints(messages: DataFrame, ids: DataFrame, profile: Profile) -> DataFrame:
+    """Written fingerprints of the messages of some conversations."""
+    chosen = messages.join(ids, "conversation_id", "left_semi")
+    return stored(message_fingerprints(chosen, profile), "fingerprints")
+
 
-    Inside a conversation the whole text comes before the messages, so the
-    smallest id per key is enough to tell.  Blank texts count as equal.
+# ------------------------------------------------------------------- repeats
+
+
+def repeated_conversations(
+    wholes: DataFrame,
+    features: DataFrame,
+    messages: DataFrame,
+    profile: Profile = OPTIMIZED,
+    checked_ids: DataFrame | None = None,
+    scope: str = "shared",
+) -> DataFrame | None:
+    """Ids of conversations whose visible whole text occurs in an earlier one, or None where no text is suspect.
+
+    ``wholes`` has ``conversation_id`` and the sums of its signatures, ``features`` the message
+    features; both are written tables.  ``checked_ids`` limits the messages to conversations whose messages are
+    looked at.  ``messages`` are read again for suspects only.  Runs jobs.
+
+    Inside a conversation the whole text comes before the messages, so the smallest id per text is enough to tell.
     """
-    texts = occurrences(instants(fingerprints), checked_ids, scope)
-    first = F.min("conversation_id")
+    texts = None
+    if scope == "shared":
+        texts = features if checked_ids is None else features.join(checked_ids, "conversation_id", "left_semi")
+    ids = suspects(wholes, texts)
+    if ids.isEmpty():
+        return None
     first_whole = F.min(F.when(F.col("kind") == WHOLE, F.col("conversation_id")))
-    return (
-        texts.groupBy("text_key")
-        .agg(first.alias("first_id"), first_whole.alias("conversation_id"))
+    originals = (
+        _exact(_prints(messages, ids, profile), checked_ids, scope)
+        .groupBy("exact")
+        .agg(F.min("conversation_id").alias("first_id"), first_whole.alias("conversation_id"))
         .filter(F.col("first_id") == F.col("conversation_id"))
         .select("conversation_id")
     )
+    return ids.join(originals, "conversation_id", "left_anti")
 
 
 def first_occurrence(
-    fingerprints: DataFrame, profile: Profile = OPTIMIZED, checked_ids: DataFrame | None = None
+    features: DataFrame, messages: DataFrame, profile: Profile = OPTIMIZED, checked_ids: DataFrame | None = None
 ) -> DataFrame:
     """Every conversation text and message text, and whether it was seen before.
 
-    The optimized profile leaves blank texts out.
+    ``features`` are the written features of ``messages``; the text is read again for suspects
+    only.  The optimized profile leaves blank texts out.  Runs jobs.
     """
-    texts = stored(occurrences(instants(fingerprints), checked_ids), "occurrences")
+    wholes = stored(features.groupBy("conversation_id").agg(*signature_sum()), "wholes")
+    texts = features if checked_ids is None else features.join(checked_ids, "conversation_id", "left_semi")
+    blank_whole = first_blank(wholes, None)
+    blank_text = first_blank(wholes, texts)
     if not profile.classic:
-        texts = texts.filter(~F.col("blank"))
-    texts = texts.drop("blank")
-    place = F.struct("conversation_id", "kind", "sent_at", "message_id")
-    firsts = texts.groupBy("text_key").agg(F.min(place).alias("first")).select("first.*")
-    return _mark_repeats(texts.drop("text_key"), firsts, ["conversation_id", "kind", "message_id"])
-
-
-def _mark_repeats(rows: DataFrame, firsts: DataFrame, ids: list[str]) -> DataFrame:
-    ids_of_firsts = firsts.select(
-        *[F.col(name).alias(f"first_{name}") for name in ids], F.lit(True).alias("is_first")
+        wholes, texts = wholes.filter("words_n <> 0"), texts.filter("signature.n <> 0")
+
+    # messages among themselves
+    place = F.struct("conversation_id", *placing.ORDER, "row")
+    firsts = texts.groupBy("text_key").agg(F.min(place).alias("first")).select(F.col("first.row").alias("row"))
+    rows = texts.select("conversation_id", "sent_at", "message_id", "row", "text_key", (F.col("signature.n") == 0).alias("blank"))
+    rows = rows.join(firsts.withColumn("is_first", F.lit(True)), "row", "left")
+
+    # whole texts, and messages that read like one
+    ids = suspects(wholes, texts, both_ways=True)
+    repeated_whole, repeats_whole = F.lit(False), F.lit(False)
+    if not ids.isEmpty():
+        first_whole = F.min(F.when(F.col("kind") == WHOLE, F.col("conversation_id")))
+        exact = stored(_exact(_prints(messages, ids, profile), checked_ids, "shared"), "exact")
+        known = exact.groupBy("exact").agg(F.min("conversation_id").alias("first_id"), first_whole.alias("first_whole"))
+        found = exact.join(known.filter("first_whole is not null"), "exact")
+        later = found.filter((F.col("kind") == WHOLE) & (F.col("first_id") < F.col("conversation_id")))
+        wholes = wholes.join(later.select("conversation_id", F.lit(True).alias("later")), "conversation_id", "left")
+        repeated_whole = F.col("later").isNotNull()
+        like_whole = found.filter(F.col("kind") == MESSAGE).groupBy("text_key").agg(F.min("first_whole").alias("first_whole"))
+        rows = rows.join(like_whole, "text_key", "left")
+        repeats_whole = F.coalesce(F.col("first_whole") <= F.col("conversation_id"), F.lit(False))
+
+    blank_later = (F.col("words_n") == 0) & (F.col("conversation_id") > blank_text)
+    whole_rows = wholes.select(
+        "conversation_id",
+        F.lit(WHOLE).alias("kind"),
+        F.lit(None).cast("timestamp").alias("sent_at"),
+        F.lit(None).cast("bigint").alias("message_id"),
+        (repeated_whole | F.coalesce(blank_later, F.lit(False))).alias("duplicate"),
     )
-    same = [F.col(name).eqNullSafe(F.col(f"first_{name}")) for name in ids]
-    return rows.join(ids_of_firsts, same, "left").select(
-        *rows.columns, F.col("is_first").isNull().alias("duplicate")
+    blank_again = F.coalesce(F.col("blank") & (F.col("conversation_id") >= blank_whole), F.lit(False))
+    return whole_rows.unionByName(
+        rows.select(
+            "conversation_id",
+            F.lit(MESSAGE).alias("kind"),
+            "sent_at",
+            "message_id",
+            (F.col("is_first").isNull() | repeats_whole | blank_again).alias("duplicate"),
+        )
     )
 
 
@@ -176,24 +291,31 @@ def message_duplicates(messages: DataFrame, profile: Profile = OPTIMIZED) -> Dat
     Earlier means a smaller (conversation_id, sent_at, message_id).  Blank texts
     never count as repeats in the optimized profile.
     """
-    normal = tx.normalise(F.coalesce(F.col("text"), F.lit("")))
-    rows = messages.withColumn("norm", normal).select(*PLACE, *keys_of("norm"))
+    rows = messages.withColumn("norm", tx.normalise(_given())).select(*PLACE, *keys_of("norm"))
     return mark_duplicates(stored(rows, "text-keys"), profile).select("conversation_id", "message_id", "duplicate")
 
 
 PLACE = ("conversation_id", "sent_at", "message_id")
 
 
+def text_key(norm: Column) -> Column:
+    return F.unhex(F.sha2(norm, 256))
+
+
 def keys_of(norm: str) -> list[Column]:
-    """``blank`` and ``text_key`` of a normalised text: all that its copies are found by."""
-    return [(F.col(norm) == "").alias("blank"), F.unhex(F.sha2(norm, 256)).alias("text_key")]
+    """``blank``, ``text_key`` and ``row`` of a normalised text: all that its copies are found by."""
+    return [
+        (F.col(norm) == "").alias("blank"),
+        text_key(F.col(norm)).alias("text_key"),
+        F.monotonically_increasing_id().alias("row"),
+    ]
 
 
 def mark_duplicates(rows: DataFrame, profile: Profile = OPTIMIZED) -> DataFrame:
-    """``rows`` (``PLACE``, ``blank``, ``text_key`` and others) with ``duplicate``; a written table."""
-    place = F.struct(*PLACE)
-    firsts = rows.groupBy("text_key").agg(F.min(place).alias("first")).select("first.*")
-    marked = _mark_repeats(rows.drop("text_key"), firsts, ["conversation_id", "message_id"])
+    """``rows`` (``PLACE``, ``keys_of`` and others) with ``duplicate``; a written table, so ``row`` is fixed."""
+    firsts = rows.groupBy("text_key").agg(F.min(F.struct(*PLACE, "row")).alias("first")).select(F.col("first.row").alias("row"))
+    marked = rows.drop("text_key").join(firsts.withColumn("is_first", F.lit(True)), "row", "left")
+    again = F.col("is_first").isNull()
     if not profile.classic:
-        marked = marked.withColumn("duplicate", F.col("duplicate") & ~F.col("blank"))
-    return marked.drop("blank")
+        again = again & ~F.col("blank")
+    return marked.withColumn("duplicate", again).drop("row", "is_first", "blank")

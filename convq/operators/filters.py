@@ -91,16 +91,28 @@ def length_range_filter(rollup: DataFrame, category: str, max_long: int | None =
     return rollup.filter(count >= low if high is None else count.between(low, high))
 
 
-def min_chars_filter(transcripts: DataFrame, text: str, min_chars: int = 50) -> DataFrame:
-    return transcripts.filter(F.length(text) >= min_chars)
+def _counts(transcripts: DataFrame, text: str) -> tuple[Column, Column]:
+    """Characters and letters: as counted before (``transcripts.authored_counts``), or of the column ``text``."""
+    if text in transcripts.columns:
+        return F.length(text), tx.letters(F.col(text))
+    return F.col("n_chars"), F.col("n_letters")
+
+
+def _enough_letters(n_chars: Column, n_letters: Column, min_ratio: float) -> Column:
+    return (n_chars > 0) & (tx.ratio(n_letters, n_chars) >= min_ratio)
+
+
+def min_chars_filter(transcripts: DataFrame, text: str = "full_conversation", min_chars: int = 50) -> DataFrame:
+    """Transcripts of at least ``min_chars`` characters; like all filters here it takes texts or their counts."""
+    return transcripts.filter(_counts(transcripts, text)[0] >= min_chars)
 
 
 def has_enough_letters(text: Column, min_ratio: float = 0.7) -> Column:
-    return (text != "") & (tx.ratio(tx.letters(text), F.length(text)) >= min_ratio)
+    return _enough_letters(F.length(text), tx.letters(text), min_ratio)
 
 
-def alpha_ratio_filter(transcripts: DataFrame, text: str, min_ratio: float = 0.7) -> DataFrame:
-    return transcripts.filter(has_enough_letters(F.col(text), min_ratio))
+def alpha_ratio_filter(transcripts: DataFrame, text: str = "full_conversation", min_ratio: float = 0.7) -> DataFrame:
+    return transcripts.filter(_enough_letters(*_counts(transcripts, text), min_ratio))
 
 
 def prefilter(transcripts: DataFrame, text: str = "full_conversation") -> DataFrame:
@@ -110,8 +122,9 @@ def prefilter(transcripts: DataFrame, text: str = "full_conversation") -> DataFr
 
 def prefilter_funnel(transcripts: DataFrame, text: str = "full_conversation") -> DataFrame:
     """How many transcripts each of the two filters takes away, in one pass."""
-    long_enough = F.length(text) >= 50
-    readable = has_enough_letters(F.col(text))
+    n_chars, n_letters = _counts(transcripts, text)
+    long_enough = n_chars >= 50
+    readable = _enough_letters(n_chars, n_letters, 0.7)
     return transcripts.agg(
         F.count("*").alias("initial"),
         F.count_if(~long_enough).alias("removed_short"),

@@ -11,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from convq import schema as s
-from convq.functions import fingerprint as fp
 from convq.functions import rules
+from convq.functions import text as tx
 from convq.functions.rules import OPTIMIZED, Profile
 from convq.operators import duplicates as dup
 from convq.operators import filters as f
+from convq.operators import placing
 from convq.sources.workspace import stored
 
 # ---- fixed values: thresholds of the conversation rules ----
@@ -68,34 +69,47 @@ def message_features(messages: DataFrame, profile: Profile = OPTIMIZED) -> DataF
     it, as ``plans.quality_run`` does, and the text is read once.
     """
     known = messages.filter(F.col("conversation_id").isNotNull())
+    given = F.coalesce(F.col("text"), F.lit(""))
     flagged = rules.with_message_flags(known, profile).withColumns(
         {
+            "mark": placing.mark("text"),
+            "row": F.monotonically_increasing_id(),
             "n_stripped": F.length("stripped"),
-            # short texts never count as repeats; they share one key
-            "text_key": F.when(F.length("norm") > REPEAT_MIN_CHARS, F.unhex(F.sha2("norm", 256))),
+            "n_norm": F.length("norm"),
+            "text_key": dup.text_key(F.col("norm")),
+            "signature": dup.signature("norm"),
         }
     )
-    return dup.with_pieces(flagged, profile).select(
+    outer = ["n_chars", "n_lead"] if profile.classic else []
+    if profile.classic:
+        after = F.ltrim(given, F.lit(tx.WHITESPACE))
+        flagged = flagged.withColumns({"n_chars": F.length(given), "n_lead": F.length(given) - F.length(after)})
+    return flagged.select(
         "conversation_id",
-        "message_id",
-        "sent_at",
+        *placing.ORDER,
+        "row",
         "n_stripped",
+        "n_norm",
+        *outer,
         "text_key",
+        "signature",
         *SHARES,
         *ANY,
-        "pieces",
     )
 
 
 def conversation_counters(features: DataFrame) -> DataFrame:
     """Per conversation: messages, lengths, first time, messages per rule, repeats."""
     counted = [*SHARES, *ANY]
-    per_text = features.groupBy("conversation_id", "text_key").agg(
+    # short texts never count as repeats; they share one key
+    repeated = F.when(F.col("n_norm") > REPEAT_MIN_CHARS, F.col("text_key")).alias("text_key")
+    per_text = features.groupBy("conversation_id", repeated).agg(
         F.count("*").alias("n_messages"),
         F.sum("n_stripped").alias("n_stripped"),
         F.count_if(F.col("n_stripped") >= MEANINGFUL).alias("n_meaningful"),
         F.min("sent_at").alias("first_sent_at"),
         *[_count(name) for name in counted],
+        *dup.signature_sum(),
     )
     return per_text.groupBy("conversation_id").agg(
         F.sum("n_messages").alias("n_messages"),
@@ -103,6 +117,7 @@ def conversation_counters(features: DataFrame) -> DataFrame:
         F.sum("n_meaningful").alias("n_meaningful"),
         F.min("first_sent_at").alias("first_sent_at"),
         *[F.sum(name).alias(f"n_{name}") for name in counted],
+        *dup.summed_signature(),
         F.max(
             F.when(F.col("text_key").isNotNull(), F.col("n_messages") >= REPEATS).otherwise(False)
         ).alias("repetitive_spam"),
@@ -140,39 +155,59 @@ def conversation_flags(
     and their messages, "conversation" only with conversations; ``None`` leaves
     duplicates unmarked and saves that work.
 
-    The features of the messages are written once, so the text is read once, whatever follows.
+    The features of the messages are written once, so the text is read once; only conversations
+    that may be duplicates are read again.  Runs jobs, but for ``dedup_scope=None``.
     """
-    features = stored(message_features(messages, profile), "features")
-    return flags_from_features(features, profile, dedup_scope)
+    features = message_features(messages, profile)
+    if dedup_scope or profile.classic:  # several branches read them
+        features = stored(features, "features")
+    return flags_from_features(features, messages, profile, dedup_scope)
 
 
 def flags_from_features(
-    features: DataFrame, profile: Profile = OPTIMIZED, dedup_scope: str | None = "shared"
+    features: DataFrame, messages: DataFrame, profile: Profile = OPTIMIZED, dedup_scope: str | None = "shared"
 ) -> DataFrame:
-    # stated here so that all branches below have the same plan, and Spark reuses it
-    features = features.filter(F.col("conversation_id").isNotNull())
+    """The flags from the features of ``messages``, a written table if duplicates are looked for."""
     rows = conversation_counters(features)
-    if dedup_scope and not profile.classic:  # they also tell whose messages are looked at
+    if dedup_scope or profile.classic:
         rows = stored(rows, "counters")
     counters = rows
     if profile.classic:
-        joined = dup.conversation_fingerprints(dup.instants(features))
-        rows = rows.join(
-            joined.select("conversation_id", fp.core()["n"].alias("joined_chars")),
-            "conversation_id",
-        )
+        rows = rows.join(_joined_chars(features, counters), "conversation_id", "left")
+        rows = rows.withColumn("joined_chars", F.coalesce("joined_chars", "n_stripped"))
     if dedup_scope is None:
-        rows = rows.withColumn("duplicate", F.lit(False))
-    else:
-        checked = None if profile.classic else checked_conversations(counters)
-        originals = dup.original_conversations(features, checked, dedup_scope)
-        rows = rows.join(
-            originals.withColumn("is_original", F.lit(True)), "conversation_id", "left"
-        )
-        unseen = F.col("is_original").isNotNull()
-        blank = F.lit(False) if profile.classic else F.col("n_stripped") == 0
-        rows = rows.withColumn("duplicate", ~(unseen | blank))
-    return _flags_from_counters(rows, profile)
+        return _flags_from_counters(rows.withColumn("duplicate", F.lit(False)), profile)
+    checked = None if profile.classic else checked_conversations(counters)
+    repeated = dup.repeated_conversations(counters, features, messages, profile, checked, dedup_scope)
+    duplicate = F.lit(False)
+    if repeated is not None:
+        rows = rows.join(repeated.withColumn("is_repeat", F.lit(True)), "conversation_id", "left")
+        duplicate = F.col("is_repeat").isNotNull()
+    if profile.classic:  # here blank texts count as equal
+        first = dup.first_blank(counters, features if dedup_scope == "shared" else None)
+        later = (F.col("words_n") == 0) & (F.col("conversation_id") > first)
+        duplicate = duplicate | F.coalesce(later, F.lit(False))
+    return _flags_from_counters(rows.withColumn("duplicate", duplicate), profile)
+
+
+def _joined_chars(features: DataFrame, counters: DataFrame) -> DataFrame:
+    """``joined_chars`` of conversations that may be too short: from the first visible character to the last.
+
+    The separators and white space between count, and only these few conversations need them: for all others
+    the visible texts alone are long enough.
+    """
+    few = counters.filter((F.col("n_stripped") < MIN_TEXT) & (F.col("n_meaningful") > 0)).select("conversation_id")
+    rows = features.join(few, "conversation_id", "left_semi").withColumn("place", F.struct(*placing.ORDER))
+    visible = F.col("signature.n") > 0
+    trail = F.col("n_chars") - F.col("n_lead") - F.col("n_stripped")
+    ends = rows.filter(visible).groupBy("conversation_id").agg(
+        F.min(F.struct("place", F.col("n_lead").alias("outside"))).alias("first"),
+        F.max(F.struct("place", trail.alias("outside"))).alias("last"),
+    )
+    between = rows.join(ends, "conversation_id").filter(F.col("place").between(F.col("first.place"), F.col("last.place")))
+    return between.groupBy("conversation_id").agg(
+        (F.sum(F.col("n_chars") + 1) - 1 - F.first("first.outside") - F.first("last.outside")).alias("joined_chars")
+    )
 
 
 def _flags_from_counters(rows: DataFrame, profile: Profile) -> DataFrame:

@@ -131,8 +131,7 @@ def run_summary(
 
 def stratified_metrics(flags: DataFrame) -> DataFrame:
     """Per length class and bucket: size, issue counts and shares, usable share."""
-    total = F.col("total_conversations")
-    grouped = (
+    return with_shares(
         q.with_segment(flags)
         .groupBy("length_category", "time_bucket")
         .agg(
@@ -141,7 +140,12 @@ def stratified_metrics(flags: DataFrame) -> DataFrame:
             *_issue_counts(),
         )
     )
-    return grouped.select(
+
+
+def with_shares(counts: DataFrame) -> DataFrame:
+    """Counts per segment with their shares in percent."""
+    total = F.col("total_conversations")
+    return counts.select(
         "*",
         _percent(F.col("usable"), total, 1).alias("usable_percentage"),
         *[_percent(F.col(name), total, 1).alias(f"{name}_pct") for name in s.ISSUES],

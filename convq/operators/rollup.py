@@ -12,6 +12,15 @@ from convq import schema as s
 from convq.operators import filters as f
 
 
+RSD = 0.01  # relative standard deviation of the approximate count
+LOG_K = 14  # of a day's sketch: 2**LOG_K registers
+
+
+def sketch_error(log_k: int = LOG_K) -> float:
+    """Relative standard deviation of counts from sketches that were merged."""
+    return 1.04 / 2 ** (log_k / 2)
+
+
 def conversation_rollup(messages: DataFrame, *keys: str) -> DataFrame:
     """Counts per conversation; messages without a conversation id are set aside, here as in
     flags, samples and transcripts (see ``unassigned_messages``)."""
@@ -42,18 +51,45 @@ def conversation_metadata(messages: DataFrame, **date_range) -> DataFrame:
     )
 
 
-def distinct_conversations(messages: DataFrame, approximate: bool = False) -> DataFrame:
+def distinct_conversations(messages: DataFrame, approximate: bool = False, rsd: float = RSD) -> DataFrame:
     """Number of conversations in range.
 
-    The exact count groups by id first: no task ever holds the whole set of ids.
+    The exact count groups by id first: no task ever holds the whole set of ids.  The approximate one
+    has a relative error of ``rsd`` as one standard deviation.
     """
     in_range = f.date_range_filter(messages)
     if approximate:
-        return in_range.agg(F.approx_count_distinct("conversation_id").alias("n_conversations"))
+        return in_range.agg(F.approx_count_distinct("conversation_id", rsd).alias("n_conversations"))
     ids = in_range.select("conversation_id").distinct()
     return ids.agg(F.count("*").alias("n_conversations"))
 
 
+def daily_sketches(messages: DataFrame, log_k: int = LOG_K) -> DataFrame:
+    """``day, sketch``: a mergeable sketch of the conversations of each day, a few kilobytes at most.
+
+    Write them once: the conversations of any range of days follow without reading a message again,
+    and a new day, or more messages of an old one, only add rows.  Messages without a time are left out.
+    """
+    known = messages.filter("sent_at is not null and conversation_id is not null")
+    return known.groupBy(F.to_date("sent_at").alias("day")).agg(
+        F.hll_sketch_agg(F.col("conversation_id"), F.lit(log_k)).alias("sketch")
+    )
+
+
+def sketched_conversations(sketches: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``ranges`` (``first_day, last_day``, both included) with ``n_conversations``, an estimate.
+
+    One standard deviation is ``1.04 / sqrt(2**log_k)`` of the count, 0.8 % for the default, whatever the
+    range.  The sketches are read once for all ranges; one without a day in it has 0.
+    """
+    # a range becomes its days, so that the join has a key
+    days = ranges.withColumn("day", F.explode(F.sequence("first_day", "last_day")))
+    merged = days.join(sketches, "day").groupBy("first_day", "last_day").agg(F.hll_union_agg("sketch").alias("sketch"))
+    found = ranges.join(merged, ["first_day", "last_day"], "left")
+    estimate = F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0))
+    return found.select("first_day", "last_day", estimate.alias("n_conversations"))
+
+
 def _two_sided_lengths(messages: DataFrame) -> DataFrame:
     """One row per distinct message count: at most sqrt(2 x messages) rows."""
     return two_sided_conversations(messages).groupBy("message_count").agg(F.count("*").alias("n"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 
 from convq.functions import judge
 from convq.operators import filters as f
 from convq.operators import joins, reports, sampling, transcripts
+from convq.plans.judge_run import JudgeRun
 from convq.sources import sinks
 
 
@@ -22,18 +21,18 @@ def sampled_transcripts(
 
 def filter_and_judge(
     messages: DataFrame,
-    scorer: Callable[[str], str],
+    scorer: judge.Scorer,
     path: str,
     n: int = 10,
     seed: int = sampling.SEED,
     first: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Run the whole job; answers are written once and everything reads them back."""
+    """Run the whole job; every answer is kept, and a run over the same ``path`` goes on where one stopped."""
     spark = messages.sparkSession
     sampled = sampled_transcripts(messages, n, seed, first)
     sinks.write_json_report(sampled, f"{path}/sampled_conversations")  # for inspection
     stored = spark.read.schema(sampled.schema).json(f"{path}/sampled_conversations")
-    answers = judge.judge_responses(f.prefilter(stored), scorer)
+    answers = JudgeRun(f"{path}/judge").responses(f.prefilter(stored), scorer)
     answers.write.mode("overwrite").parquet(f"{path}/responses")
     verdicts, errors = judge.split_verdicts(spark.read.parquet(f"{path}/responses"))
     sinks.append_verdicts(verdicts, f"{path}/verdicts")

@@ -57,13 +57,13 @@ class QualityRun:
 def written_flags(messages: DataFrame, path: str, profile: Profile) -> DataFrame:
     """Flags as a table, by way of a table of message features.
 
-    The text is read and hashed once, the rest works on narrow rows, and a lost
-    executor costs one step, not the whole run.
+    The text is read once, and again only for conversations that may be duplicates; the rest
+    works on narrow rows, and a lost executor costs one step, not the whole run.
     """
     spark = messages.sparkSession
     features = quality.message_features(messages, profile)
     features.write.mode("overwrite").parquet(f"{path}/features")
-    flags = quality.flags_from_features(spark.read.parquet(f"{path}/features"), profile)
+    flags = quality.flags_from_features(spark.read.parquet(f"{path}/features"), messages, profile)
     flags.write.mode("overwrite").parquet(f"{path}/flags")
     return spark.read.parquet(f"{path}/flags")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from convq.functions import judge, rules
 from convq.functions import text as tx
@@ -14,12 +15,14 @@ from convq.operators import costs, joins, quality, reports, rollup, sampling, tr
 from convq.operators import duplicates as dup
 from convq.operators import filters as f
 from convq.plans.filter_judge import filter_and_judge
+from convq.plans.incremental import MetricsStore
+from convq.plans.judge_run import JudgeRun
 from convq.plans.quality_run import classic_run, stored_run, stratified_run
 from convq.plans.token_cost import token_cost_run
 from convq.sources import messages as msg
 from convq.sources import sinks, store, views
 from convq.sources.store import MessageStore
-from convq.sources.workspace import work_folder
+from convq.sources.workspace import stored, work_folder
 from convq.streaming import streams
 from registry import duck
 
@@ -331,20 +334,32 @@ def _transcripts_sql(view: str, n: int | None = None) -> str:
 
 
 AUTHORED = on("doc", transcripts.transcript_authored)
+
+
+def _kept_parts(view: str, keep: Callable[[DataFrame], DataFrame]):
+    """Decided on counts; texts of the kept conversations come in parts, one each at these sizes."""
+
+    def run(spark, sf):
+        m = VIEW[view](spark, sf)
+        return transcripts.parts_of(m, keep(transcripts.authored_counts(m))).drop("part")
+
+    return run
+
+
 add(
     "min_chars_filter",
-    then(on("pairs", transcripts.transcript_authored), lambda t: f.min_chars_filter(t, "full_conversation")),
+    _kept_parts("pairs", f.min_chars_filter),
     with_sql(_transcripts_sql("pairs"), "select conversation_id, full_conversation from a where n >= 50"),
 )
 add(
     "alpha_ratio_filter",
-    then(on("pairs", transcripts.transcript_authored), lambda t: f.alpha_ratio_filter(t, "full_conversation")),
+    _kept_parts("pairs", f.alpha_ratio_filter),
     with_sql(_transcripts_sql("pairs"), "select conversation_id, full_conversation from a where alpha >= 0.7"),
 )
 for name in ("conv", "pairs"):
     add(
         f"prefilter_funnel_{name}",
-        then(on(name, transcripts.transcript_authored), f.prefilter_funnel),
+        then(on(name, transcripts.authored_counts), f.prefilter_funnel),
         with_sql(
             _transcripts_sql(name),
             """select count(*) as initial, count(*) filter (where n < 50) as removed_short,
@@ -482,12 +497,12 @@ for name in ("conv", "doc"):
 
 
 def _approx_distinct(spark, sf):
-    """Whether the estimate is within five percent of the exact count."""
+    """Whether the estimate is within three standard deviations of the exact count."""
     m = VIEW["pairs"](spark, sf)
     both = [rollup.distinct_conversations(m, approximate=how).select(F.lit(how).alias("how"), "n_conversations") for how in (True, False)]
     counts = both[0].unionByName(both[1])
     n = lambda how: F.max(F.when(F.col("how") == how, F.col("n_conversations")))
-    return counts.agg((F.abs(n(True) - n(False)) / n(False) < 0.05).alias("close"), n(False).alias("n_conversations"))
+    return counts.agg((F.abs(n(True) - n(False)) / n(False) < 3 * rollup.RSD).alias("close"), n(False).alias("n_conversations"))
 
 
 add(
@@ -497,6 +512,34 @@ add(
         from ({duck.VIEWS['pairs']}) where {duck.in_range()}""",
 )
 
+RANGES = [("2023-07-01", "2025-01-31"), ("2024-01-01", "2024-03-31"), ("2024-02-10", "2024-02-10"), ("2019-01-01", "2019-12-31")]
+
+
+def _approx_by_range(spark, sf):
+    """Estimates of several ranges out of one table of daily sketches, and whether each is close enough."""
+    m = VIEW["pairs"](spark, sf)
+    sketches = stored(rollup.daily_sketches(m), "sketches")
+    ranges = spark.createDataFrame(RANGES, "first_day string, last_day string")
+    ranges = ranges.select(*[F.col(c).cast("date").alias(c) for c in ranges.columns])
+    days = ranges.withColumn("day", F.explode(F.sequence("first_day", "last_day")))
+    seen = m.select("conversation_id", F.to_date("sent_at").alias("day")).distinct()
+    exact = days.join(seen, "day").groupBy("first_day", "last_day").agg(F.countDistinct("conversation_id").alias("exact"))
+    both = rollup.sketched_conversations(sketches, ranges).join(exact, ["first_day", "last_day"], "left")
+    n = F.coalesce("exact", F.lit(0))
+    close = F.abs(F.col("n_conversations") - n) <= 3 * rollup.sketch_error() * n
+    return both.select(*[F.col(c).cast("string").alias(c) for c in ranges.columns], close.alias("close"), n.alias("n_conversations"))
+
+
+add(
+    "approx_distinct_by_range",
+    _approx_by_range,
+    f"""with r(first_day, last_day) as (values {", ".join(f"('{a}', '{b}')" for a, b in RANGES)})
+        select first_day, last_day, true as close,
+               (select count(distinct conversation_id) from ({duck.VIEWS['pairs']}) m
+                where cast(m.sent_at as date) between cast(r.first_day as date) and cast(r.last_day as date)) as n_conversations
+        from r""",
+)
+
 # -------------------------------------------------------------- transcripts
 
 for name in ("conv", "doc"):
@@ -605,8 +648,9 @@ add(
 
 def _first_occurrence(spark, sf):
     m = VIEW["pairs"](spark, sf)
-    checked = quality.checked_conversations(quality.conversation_counters(quality.message_features(m)))
-    return dup.first_occurrence(dup.message_fingerprints(m), checked_ids=checked).drop("sent_at")
+    features = stored(quality.message_features(m), "features")
+    checked = quality.checked_conversations(quality.conversation_counters(features))
+    return dup.first_occurrence(features, m, checked_ids=checked).drop("sent_at")
 
 
 add(
@@ -650,6 +694,22 @@ for name in ("conv", "doc", "pairs"):
             "select conversation_id, length_category, time_bucket from c where usable",
         ),
     )
+
+
+def _in_pulls(spark, sf) -> MetricsStore:
+    """Two pulls of whole conversations, so that copies lie on both sides; the second is added twice."""
+    m = VIEW["pairs"](spark, sf)
+    kept = MetricsStore(spark, work_folder(spark, "metrics"))
+    half = F.pmod(F.xxhash64("conversation_id"), F.lit(2))
+    kept.add(m.filter(half == 0), "first")
+    for _ in range(2):
+        kept.add(m.filter(F.coalesce(half, F.lit(1)) == 1), "second")
+    return kept
+
+
+add("incremental_metrics", lambda spark, sf: _in_pulls(spark, sf).quality_metrics(), ORACLES["quality_metrics_pairs"])
+add("incremental_segments", lambda spark, sf: _in_pulls(spark, sf).stratified_metrics(), ORACLES["stratified_metrics_pairs"])
+add("incremental_flags", lambda spark, sf: _in_pulls(spark, sf).conversation_flags(), ORACLES["conversation_flags_pairs"])
 UNPIVOT = " union all ".join(f"select '{k}' as issue, {k} as flag from c" for k in duck.ISSUES)
 add(
     "issue_flag_counts",
@@ -1024,8 +1084,14 @@ def _stub_scorer():
     return score
 
 
+def _readable(spark, sf):
+    """Whole transcripts of the conversations that pass the prefilter."""
+    m = VIEW["pairs"](spark, sf)
+    return transcripts.whole(transcripts.parts_of(m, f.prefilter(transcripts.authored_counts(m))))
+
+
 def _judge_scores(spark, sf):
-    readable = f.prefilter(transcripts.transcript_authored(VIEW["pairs"](spark, sf)))
+    readable = _readable(spark, sf)
     verdicts, _ = judge.split_verdicts(judge.judge_responses(readable, _stub_scorer()))
     return verdicts.select("conversation_id", "quality", "is_safe", "language")
 
@@ -1042,9 +1108,20 @@ add(
 )
 
 
+def _judge_resumed(spark, sf):
+    """A run over a third of the conversations, and one over all that asks only what is open."""
+    readable, path = stored(_readable(spark, sf), "readable"), work_folder(spark, "judge")
+    JudgeRun(path, 3).responses(readable.filter(F.pmod(F.xxhash64("conversation_id"), F.lit(3)) == 0), _stub_scorer())
+    verdicts, _ = judge.split_verdicts(JudgeRun(path, 3).responses(readable, _stub_scorer()))
+    return verdicts.select("conversation_id", "quality", "is_safe", "language")
+
+
+add("judge_resumed", _judge_resumed, ORACLES["judge_scores"])
+
+
 def _judge_errors(spark, sf):
     """Errors of the whole run, each with the number of verdicts and of conversations asked."""
-    readable = f.prefilter(transcripts.transcript_authored(VIEW["pairs"](spark, sf)))
+    readable = _readable(spark, sf)
     answers = judge.judge_responses(readable, _stub_scorer())
     path = work_folder(spark, "answers")
     answers.write.parquet(path)
@@ -1218,20 +1295,24 @@ DEDUP_DAYS, SPAN = 30, 120
 
 
 def _stream_dedup(spark, sf):
-    """What the watermark promises, over files in the order of time, one per batch.
+    """What the watermark promises, over spans of days that arrive one after the other.
 
-    Every text is kept; it may come again only after the watermark's time.
+    Every text is kept; it may come again only after the watermark's time.  One pass deals the messages
+    over folders, and each folder is a batch; messages without a time come first, as the oldest.
     """
     path, source = work_folder(spark, "stream"), work_folder(spark, "stream-source")
     m = VIEW["doc"](spark, sf)
-    span = F.floor(F.datediff("sent_at", F.lit(views.EPOCH)) / SPAN)
-    for k in range(640 // SPAN + 1):  # the view's times lie within 640 days and the hours of a day
-        m.filter(span == k).coalesce(1).write.mode("append").parquet(source)
-    m.filter(span > 640 // SPAN).coalesce(1).write.mode("append").parquet(source)
-    stream = streams.read_messages(spark, source, m.schema, maxFilesPerTrigger=1)
-    kept = streams.stream_dedup(stream, f"{DEDUP_DAYS} days").select("text", "sent_at")
-    writer = kept.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-    writer.option("path", f"{path}/table").option("checkpointLocation", f"{path}/state").start().awaitTermination()
+    m = m.withColumn("sent_at", F.coalesce("sent_at", F.lit(views.EPOCH).cast("timestamp")))
+    last = 640 // SPAN + 1  # the view's times lie within 640 days and the hours of a day
+    span = F.least(F.floor(F.datediff("sent_at", F.lit(views.EPOCH)) / SPAN), F.lit(last)).cast("int")
+    m.withColumn("span", span).write.partitionBy("span").parquet(f"{path}/spans")
+    spans = spark.read.schema(StructType([*m.schema.fields, StructField("span", IntegerType())])).parquet(f"{path}/spans")
+    for k in range(last + 1):
+        spans.filter(F.col("span") == k).drop("span").write.mode("append").parquet(source)
+        stream = streams.read_messages(spark, source, m.schema)
+        kept = streams.stream_dedup(stream, f"{DEDUP_DAYS} days").select("text", "sent_at")
+        writer = kept.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+        writer.option("path", f"{path}/table").option("checkpointLocation", f"{path}/state").start().awaitTermination()
     texts = spark.read.parquet(f"{path}/table").withColumn("norm", tx.normalise(F.col("text")))
     seconds = F.col("sent_at").cast("long")
     gap = seconds - F.lag(seconds).over(W.partitionBy("norm").orderBy("sent_at"))
@@ -1248,6 +1329,23 @@ add(
 )
 
 
+def _stream_first_texts(spark, sf):
+    """Six files, one per batch, snapshots in between, and a restart that finds nothing new."""
+    path, source = work_folder(spark, "stream"), _six_files(spark, sf)
+    for _ in range(2):
+        stream = _document_stream(spark, sf, source, maxFilesPerTrigger=1)
+        streams.stream_first_texts(stream, f"{path}/table", f"{path}/state", compact_every=2).awaitTermination()
+    kept = streams.read_first_texts(spark, f"{path}/table", stream.schema)
+    return kept.select(tx.normalise(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
+
+
+add(
+    "stream_first_texts",
+    _stream_first_texts,
+    f"select distinct lower({duck.strip("coalesce(text, '')")}) as text from ({duck.VIEWS['doc']})",
+)
+
+
 def _plain_names(table: dict) -> dict:
     """An operator checked on several views keeps its plain name for one of them."""
     plain = {}

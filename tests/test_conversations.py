@@ -9,6 +9,7 @@ from convq.functions import fingerprint as fp
 from convq.functions.rules import CLASSIC, OPTIMIZED
 from convq.operators import duplicates as dup
 from convq.operators import quality, reports
+from convq.sources.workspace import stored
 from spec import corpus
 
 CASES = {
@@ -113,9 +114,10 @@ def test_different_texts_have_different_fingerprints():
 
 def test_first_occurrence_equals_a_running_set(make):
     conversations = random_corpus(5, 60)
+    m = make(conversations)
     got = {
         (r.conversation_id, r.kind, r.message_id): r.duplicate
-        for r in dup.first_occurrence(dup.message_fingerprints(make(conversations), CLASSIC), CLASSIC).collect()
+        for r in dup.first_occurrence(stored(quality.message_features(m, CLASSIC), "features"), m, CLASSIC).collect()
     }
     seen, want = set(), {}
     for cid in sorted(conversations):

@@ -85,9 +85,11 @@ def test_text_is_read_once_and_then_narrow_rows(spark, large_input, name):
 
 
 def test_dedup_branches_share_the_fingerprints(spark, large_input):
+    """Whole texts and single messages come from one written table of the suspects' fingerprints."""
     df = QUERIES["conversation_flags"](spark, large_input)
     df.collect()
-    assert "ReusedExchange" in plan(df)
+    scans = [line for line in plan(df).split("== Initial Plan ==")[0].splitlines() if "FileScan" in line and "fingerprints-" in line]
+    assert len(scans) >= 2 and len({line.split("fingerprints-")[1][:32] for line in scans}) == 1
 
 
 def test_entry_has_rows_and_every_check_belongs_to_a_query(spark):

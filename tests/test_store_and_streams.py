@@ -157,3 +157,70 @@ def test_work_folder_is_in_the_shared_folder(spark):
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert work_folder(spark, "x").startswith(shared)
     assert work_folder(spark, "x") != work_folder(spark, "x")
+
+
+@pytest.mark.parametrize("every", [2, 50])
+def test_a_text_comes_once_however_much_later(spark, make, tmp_path, every):
+    """Seven files over years, the same texts in most of them, and a restart after each."""
+    source, table, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    seen = set()
+    for k in range(7):
+        texts = [f"Text {i}" for i in range(k, k + 4)] + [" text 0 ", "TEXT 1", f"text {k + 3}"]
+        m = make({k: texts}, step=dt.timedelta(days=100 * k))
+        m.coalesce(1).write.mode("append").parquet(source)
+        stream = streams.read_messages(spark, source, m.schema)
+        streams.stream_first_texts(stream, table, state, compact_every=every).awaitTermination()
+        seen |= {t.strip().lower() for t in texts}
+        kept = streams.read_first_texts(spark, table, m.schema).collect()
+        assert sorted(r.text.strip().lower() for r in kept) == sorted(seen)
+    assert {r.conversation_id for r in kept if r.text.strip().lower() in ("text 0", "text 1")} == {0}
+
+
+def test_a_batch_that_runs_again_replaces_itself(spark, make, tmp_path):
+    source, table, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for k in range(3):
+        make({k: ["same text", f"own {k}"]}).coalesce(1).write.mode("append").parquet(source)
+        schema = make({0: ["x"]}).schema
+        streams.stream_first_texts(streams.read_messages(spark, source, schema), table, state, 2).awaitTermination()
+    (tmp_path / "state" / "commits" / "2").unlink()  # the stream died before it noted the last batch
+    for crc in (tmp_path / "state" / "commits").glob(".2.crc"):
+        crc.unlink()
+    streams.stream_first_texts(streams.read_messages(spark, source, schema), table, state, 2).awaitTermination()
+    kept = streams.read_first_texts(spark, table, schema).collect()
+    assert sorted(r.text for r in kept) == ["own 0", "own 1", "own 2", "same text"]
+
+
+def test_snapshots_bound_what_is_read(spark, make, tmp_path):
+    source, table, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    rows = [make({k: ["hello there", "x"]}, step=dt.timedelta(days=1)) for k in range(12)]
+    for m in rows:
+        m.coalesce(1).write.mode("append").parquet(source)
+    stream = streams.read_messages(spark, source, rows[0].schema, maxFilesPerTrigger=1)
+    streams.stream_message_flags(stream, table, state, compact_every=5).awaitTermination()
+    counts = streams._daily_table(spark, table)
+    assert counts.snapshot() == 9
+    files = counts.read().select(F.regexp_extract(F.input_file_name(), "(upto|batch)=[0-9]+", 0).alias("f")).distinct()
+    assert sorted(r.f for r in files.collect()) == ["batch=10", "batch=11", "upto=9"]
+    everything = rows[0]
+    for m in rows[1:]:
+        everything = everything.unionByName(m)
+    got, want = streams.read_daily_flag_counts(spark, table), streams.daily_flag_counts(everything)
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+def test_a_snapshot_counts_only_once_it_is_marked(spark, tmp_path):
+    from convq.streaming.batches import BatchTable
+    from pyspark.sql.types import StructType
+
+    table = BatchTable(spark, str(tmp_path), StructType().add("n", "long"))
+    assert table.read().count() == 0
+    for k in range(4):
+        table.write(spark.range(k, k + 1).toDF("n"), k)
+    table.write(spark.range(3, 5).toDF("n"), 3)  # again
+    spark.range(99).toDF("n").write.parquet(str(tmp_path / "upto=2"))  # died before its mark
+    values = lambda df: sorted(r.n for r in df.collect())
+    assert values(table.read()) == [0, 1, 2, 3, 4] and values(table.read(before=2)) == [0, 1]
+    table.compact(2)
+    assert table.snapshot() == 2 and values(table.read()) == [0, 1, 2, 3, 4]
+    table.compact(1)
+    assert table.snapshot() == 2
