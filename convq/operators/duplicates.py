@@ -24,6 +24,7 @@ from convq.operators import placing
 from convq.sources.workspace import stored
 
 WHOLE, MESSAGE = 0, 1
+BROADCAST_SIGNATURES = 100_000  # of some 60 bytes each; more are joined by a shuffle
 
 # ---------------------------------------------------------------- signatures
 
@@ -67,11 +68,11 @@ def _texts(wholes: DataFrame, messages: DataFrame | None) -> DataFrame:
     return rows.filter(F.col("signature.n") != 0)
 
 
-def suspects(wholes: DataFrame, messages: DataFrame | None, both_ways: bool = False) -> DataFrame:
-    """Ids of conversations with a text whose signature shows up again; a written table.
+def suspects(wholes: DataFrame, messages: DataFrame | None, both_ways: bool = False) -> DataFrame | None:
+    """Ids of conversations with a text whose signature shows up again, or None where there is no such text.
 
     That is: a whole conversation, and an earlier text of the same signature.  With ``both_ways``
-    the whole may also be the earlier of the two.
+    the whole may also be the earlier of the two.  The signatures are a written table.
     """
     texts = _texts(wholes, messages)
     last_whole = F.max(F.when(F.col("kind") == WHOLE, F.col("conversation_id")))
@@ -79,8 +80,12 @@ def suspects(wholes: DataFrame, messages: DataFrame | None, both_ways: bool = Fa
         F.min("conversation_id").alias("first"), last_whole.alias("last"), F.count("*").alias("n")
     )
     again = F.col("last").isNotNull() & (F.col("n") > 1) if both_ways else F.col("first") < F.col("last")
-    found = texts.join(groups.filter(again), "signature", "left_semi").select("conversation_id").distinct()
-    return stored(found, "suspects")
+    found = stored(groups.filter(again).select("signature"), "signatures")
+    n = found.count()
+    if n == 0:
+        return None
+    found = F.broadcast(found) if n <= BROADCAST_SIGNATURES else found
+    return texts.join(found, "signature", "left_semi").select("conversation_id").distinct()
 
 
 def first_blank(wholes: DataFrame, messages: DataFrame | None) -> Column:
@@ -135,8 +140,8 @@ def message_fingerprints(messages: DataFrame, profile: Profile = OPTIMIZED) -> D
 def instants(fingerprints: DataFrame) -> DataFrame:
     """Messages of one conversation that stand together, as ordered arrays of bounded size.
 
-    They share the levels of ``placing`` that are needed to keep the arrays small: mostly an hour,
-    down to one instant, id and hash where a conversation holds very many messages.  Runs a count.
+    They share the levels of ``placing`` that are needed to keep the arrays small: mostly just the
+    conversation, down to one instant, id and hash where one holds very many messages.  Runs a count.
     """
     names = placing.levels_needed(fingerprints.select("conversation_id", *placing.ORDER))
     messages = F.array_sort(F.collect_list(F.struct(*[F.col(f"own.{c}").alias(c) for c in placing.ORDER], "pieces")))
@@ -216,28 +221,33 @@ def repeated_conversations(
     if scope == "shared":
         texts = features if checked_ids is None else features.join(checked_ids, "conversation_id", "left_semi")
     ids = suspects(wholes, texts)
-    if ids.isEmpty():
+    if ids is None:
         return None
+    prints = _prints(messages, ids, profile)
     first_whole = F.min(F.when(F.col("kind") == WHOLE, F.col("conversation_id")))
     originals = (
-        _exact(_prints(messages, ids, profile), checked_ids, scope)
+        _exact(prints, checked_ids, scope)
         .groupBy("exact")
         .agg(F.min("conversation_id").alias("first_id"), first_whole.alias("conversation_id"))
         .filter(F.col("first_id") == F.col("conversation_id"))
         .select("conversation_id")
     )
-    return ids.join(originals, "conversation_id", "left_anti")
+    return prints.select("conversation_id").distinct().join(originals, "conversation_id", "left_anti")
 
 
 def first_occurrence(
-    features: DataFrame, messages: DataFrame, profile: Profile = OPTIMIZED, checked_ids: DataFrame | None = None
+    features: DataFrame,
+    wholes: DataFrame,
+    messages: DataFrame,
+    profile: Profile = OPTIMIZED,
+    checked_ids: DataFrame | None = None,
 ) -> DataFrame:
     """Every conversation text and message text, and whether it was seen before.
 
-    ``features`` are the written features of ``messages``; the text is read again for suspects
-    only.  The optimized profile leaves blank texts out.  Runs jobs.
+    ``features`` are the features of ``messages`` and ``wholes`` the sums of their signatures per
+    conversation, both written tables; the text is read again for suspects only.  The optimized profile leaves
+    blank texts out.  Runs jobs.
     """
-    wholes = stored(features.groupBy("conversation_id").agg(*signature_sum()), "wholes")
     texts = features if checked_ids is None else features.join(checked_ids, "conversation_id", "left_semi")
     blank_whole = first_blank(wholes, None)
     blank_text = first_blank(wholes, texts)
@@ -253,7 +263,7 @@ def first_occurrence(
     # whole texts, and messages that read like one
     ids = suspects(wholes, texts, both_ways=True)
     repeated_whole, repeats_whole = F.lit(False), F.lit(False)
-    if not ids.isEmpty():
+    if ids is not None:
         first_whole = F.min(F.when(F.col("kind") == WHOLE, F.col("conversation_id")))
         exact = stored(_exact(_prints(messages, ids, profile), checked_ids, "shared"), "exact")
         known = exact.groupBy("exact").agg(F.min("conversation_id").alias("first_id"), first_whole.alias("first_whole"))

@@ -6,9 +6,10 @@ message ids, the id, and a hash for messages that agree in all of these.  A smal
 holds the sums of its groups, and running sums go down the levels: inside a group only as many
 children are ordered as a level can have.  Messages themselves are ordered inside the groups of the last level only.
 
-How many levels are needed is measured: the hour alone, where no conversation has more than
-``BUCKET`` messages in one, and so on.  With all of them, messages share a group only if they agree in time,
-id and hash.  So no task orders a whole hot conversation, nor one that says it all in one instant or without times.
+How many levels are needed is measured: none where no conversation has more than ``BUCKET``
+messages, the hour where none has more in an hour, and so on.  With all of them, messages share a group only if
+they agree in time, id and hash.  So no task orders a whole hot conversation, nor one that says it all in one
+instant or without times.
 """
 
 from __future__ import annotations
@@ -50,9 +51,9 @@ def with_levels(rows: DataFrame, names: list[str]) -> DataFrame:
 def levels_needed(rows: DataFrame, bucket: int = BUCKET) -> list[str]:
     """The first levels whose groups hold at most ``bucket`` messages each, all levels if need be.
 
-    Counts messages, with pre-aggregation, once per level tried; the hour is enough for most tables.
+    Counts messages, with pre-aggregation, once per level tried; most tables need none.
     """
-    for depth in range(1, len(LEVELS)):
+    for depth in range(len(LEVELS)):
         counts = with_levels(rows, list(LEVELS[:depth])).groupBy(KEY, *LEVELS[:depth]).count()
         if (counts.agg(F.max("count")).first()[0] or 0) <= bucket:
             return list(LEVELS[:depth])
@@ -76,16 +77,20 @@ def _offsets(sized: DataFrame, names: list[str]) -> DataFrame:
     return found
 
 
-def with_before(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def with_before(rows: DataFrame, bucket: int = BUCKET, most: int | None = None) -> DataFrame:
     """``rows`` (``conversation_id``, ``ORDER``, ``piece``, ``size``) with ``before``, the sum of ``size`` of the messages before.
 
     Messages come in the order of time, id, mark and piece; those equal in all four may stand in
-    any order.  Rows without a conversation are left out.
+    any order.  Rows without a conversation are left out.  ``most`` messages in a conversation, where
+    that is known, can save the count.
     """
     known = rows.filter(F.col(KEY).isNotNull())
-    names = levels_needed(known.select(KEY, *ORDER), bucket)
+    few = most is not None and most <= bucket
+    names = [] if few else levels_needed(known.select(KEY, *ORDER), bucket)
     placed = with_levels(known, names)
     within = W.partitionBy(KEY, *names).orderBy(*ORDER, "piece").rowsBetween(W.unboundedPreceding, -1)
     inside = placed.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    if not names:
+        return inside.withColumnRenamed("inside", "before")
     joined = inside.join(_offsets(placed, names), [KEY, *names])
     return joined.select(*rows.columns, (F.col("before") + F.col("inside")).alias("before"))

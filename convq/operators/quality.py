@@ -144,6 +144,16 @@ def checked_conversations(counters: DataFrame) -> DataFrame:
     return counters.filter(~(gate["empty"] | gate["too_short"] | gate["single_turn"])).select("conversation_id")
 
 
+def gate_counters(features: DataFrame) -> DataFrame:
+    """The part of ``conversation_counters`` that tells whether messages are looked at, and the signatures."""
+    return features.groupBy("conversation_id").agg(
+        F.count("*").alias("n_messages"),
+        F.sum("n_stripped").alias("n_stripped"),
+        F.count_if(F.col("n_stripped") >= MEANINGFUL).alias("n_meaningful"),
+        *dup.signature_sum(),
+    )
+
+
 def conversation_flags(
     messages: DataFrame,
     profile: Profile = OPTIMIZED,

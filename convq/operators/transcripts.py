@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from convq.functions import text as tx
 from convq.operators import placing
+from convq.sources.workspace import stored
 
 PART_CHARS = 1 << 20
 CELL_PARTS = 128  # parts that may be joined into one cell
@@ -38,11 +39,17 @@ def oversize_messages(messages: DataFrame, max_chars: int) -> DataFrame:
 
 
 def _parts(
-    messages: DataFrame, piece: Column, separator: str, name: str, part_chars: int, bucket: int = placing.BUCKET
+    messages: DataFrame,
+    piece: Column,
+    separator: str,
+    name: str,
+    part_chars: int,
+    bucket: int = placing.BUCKET,
+    most: int | None = None,
 ) -> DataFrame:
     pieces = messages.select("conversation_id", *ORDER, piece.alias("piece"))
     pieces = pieces.withColumns({"mark": placing.mark("piece"), "size": F.length("piece") + len(separator)})
-    placed = placing.with_before(pieces, bucket).withColumn("part", F.floor(F.col("before") / part_chars))
+    placed = placing.with_before(pieces, bucket, most).withColumn("part", F.floor(F.col("before") / part_chars))
     in_order = F.array_sort(F.collect_list(F.struct(*placing.ORDER, "piece")))["piece"]
     lead = F.when(F.col("part") > 0, separator).otherwise("")
     return placed.groupBy("conversation_id", "part").agg(F.array_join(in_order, separator).alias(name)).withColumn(
@@ -87,15 +94,15 @@ def _text() -> Column:
 
 
 def authored_parts(
-    messages: DataFrame, part_chars: int = PART_CHARS, bucket: int = placing.BUCKET
+    messages: DataFrame, part_chars: int = PART_CHARS, bucket: int = placing.BUCKET, most: int | None = None
 ) -> DataFrame:
     """``author: text`` lines of all messages, in parts; a null text reads as empty."""
     line = F.concat(_author(), F.lit(": "), _text())
-    return _parts(messages, line, "\n", "full_conversation", part_chars, bucket)
+    return _parts(messages, line, "\n", "full_conversation", part_chars, bucket, most)
 
 
 def authored_counts(messages: DataFrame, n: int | None = None) -> DataFrame:
-    """``conversation_id, n_chars, n_letters`` of the authored transcript, without putting it together.
+    """``conversation_id, n_messages, n_chars, n_letters`` of the authored transcript, without putting it together.
 
     Both are sums over messages, added up where the messages are read; the characters include
     ``": "`` after each author and the line breaks between messages.
@@ -106,6 +113,7 @@ def authored_counts(messages: DataFrame, n: int | None = None) -> DataFrame:
         chosen.filter(F.col("conversation_id").isNotNull())
         .groupBy("conversation_id")
         .agg(
+            F.count("*").alias("n_messages"),
             (F.sum(line_chars) - F.lit(len("\n"))).alias("n_chars"),
             F.sum(tx.letters(_author()) + tx.letters(_text())).alias("n_letters"),
         )
@@ -113,9 +121,14 @@ def authored_counts(messages: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def parts_of(messages: DataFrame, kept: DataFrame, n: int | None = None, part_chars: int = PART_CHARS) -> DataFrame:
-    """The authored parts of the conversations in ``kept``; only their text is read again."""
+    """The authored parts of the conversations in ``kept``, rows of ``authored_counts``; only their text is read again.
+
+    Runs jobs: what is kept is a written table.
+    """
+    kept = stored(kept.select("conversation_id", "n_messages"), "kept")
+    most = kept.agg(F.max("n_messages")).first()[0] or 0
     chosen = messages.join(kept.select("conversation_id"), "conversation_id", "left_semi")
-    return authored_parts(chosen if n is None else first_messages(chosen, n), part_chars)
+    return authored_parts(chosen if n is None else first_messages(chosen, n), part_chars, most=most)
 
 
 def whole(parts: DataFrame, cell_parts: int = CELL_PARTS) -> DataFrame:

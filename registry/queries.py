@@ -648,9 +648,10 @@ add(
 
 def _first_occurrence(spark, sf):
     m = VIEW["pairs"](spark, sf)
-    features = stored(quality.message_features(m), "features")
-    checked = quality.checked_conversations(quality.conversation_counters(features))
-    return dup.first_occurrence(features, m, checked_ids=checked).drop("sent_at")
+    features = stored(quality.message_features(m).drop(*quality.SHARES, *quality.ANY), "features")
+    wholes = stored(quality.gate_counters(features), "wholes")
+    checked = quality.checked_conversations(wholes)
+    return dup.first_occurrence(features, wholes, m, checked_ids=checked).drop("sent_at")
 
 
 add(
@@ -663,7 +664,7 @@ add(
 )
 add(
     "checked_conversations",
-    on("doc", lambda m: quality.checked_conversations(quality.conversation_counters(quality.message_features(m)))),
+    on("doc", lambda m: quality.checked_conversations(quality.gate_counters(quality.message_features(m)))),
     with_sql(
         duck.conversation_ctes("doc"),
         "select conversation_id from g where not (empty or too_short or single_turn)",

@@ -115,9 +115,11 @@ def test_different_texts_have_different_fingerprints():
 def test_first_occurrence_equals_a_running_set(make):
     conversations = random_corpus(5, 60)
     m = make(conversations)
+    features = stored(quality.message_features(m, CLASSIC), "features")
+    wholes = stored(quality.gate_counters(features), "wholes")
     got = {
         (r.conversation_id, r.kind, r.message_id): r.duplicate
-        for r in dup.first_occurrence(stored(quality.message_features(m, CLASSIC), "features"), m, CLASSIC).collect()
+        for r in dup.first_occurrence(features, wholes, m, CLASSIC).collect()
     }
     seen, want = set(), {}
     for cid in sorted(conversations):
