@@ -24,48 +24,36 @@ from convq.operators import placing
 from convq.sources.workspace import stored
 
 WHOLE, MESSAGE = 0, 1
-BROADCAST_SIGNATURES = 100_000  # of some 60 bytes each; more are joined by a shuffle
+BROADCAST_SIGNATURES = 100_000  # of some 40 bytes each; more are joined by a shuffle
 
 # ---------------------------------------------------------------- signatures
 
 
-def signature(norm: str) -> Column:
-    """Of a normalised text: its words, and the sums of both halves of their hashes.
+def signature(norm: str, profile: Profile = OPTIMIZED) -> Column:
+    """Of a normalised text: the sum of a number from each word's hash, 0 for a blank text only.
 
-    White space separates messages that are joined, so words stay as they are, and the sums
-    of a conversation are those of its messages.
+    Messages are joined by spaces, so words stay as they are, and the number of a conversation is the
+    sum of those of its messages.  In the classic profile other white space may stand between messages too.
     """
-    words = f"filter(split({norm}, '(?U)[{tx.WS}]+'), w -> w <> '')".replace("\\", "\\\\")
-    step = (
-        "named_struct('n', a.n + 1, 'low', a.low + (xxhash64(w) & 4294967295), "
-        "'high', a.high + shiftrightunsigned(xxhash64(w), 32))"
-    )
-    return F.expr(f"aggregate({words}, named_struct('n', 0L, 'low', 0L, 'high', 0L), (a, w) -> {step})")
-
-
-EXACT = "decimal(38,0)"  # the sum of all words there can be fits
-
-
-def signature_sum() -> list[Column]:
-    """Aggregates that add signatures up."""
-    return [F.sum(F.col(f"signature.{part}").cast("decimal(20,0)")).alias(f"words_{part}") for part in ("n", "low", "high")]
+    between = f"(?U)[{tx.WS}]+" if profile.classic else " "
+    words = f"array_remove(split({norm}, '{between}'), '')".replace("\\", "\\\\")
+    return F.expr(f"aggregate({words}, 0L, (a, w) -> a + (xxhash64(w) & 4294967295L | 1L))")
 
 
-def summed_signature() -> list[Column]:
-    """The same over sums."""
-    return [F.sum(f"words_{part}").alias(f"words_{part}") for part in ("n", "low", "high")]
+EXACT = "decimal(38,0)"  # the sum over all words there can be fits
 
 
-def _key(name: str) -> Column:
-    return F.struct(*[F.col(name.format(part)).cast(EXACT).alias(part) for part in ("n", "low", "high")]).alias("signature")
+def signature_sum() -> Column:
+    """Aggregate that adds signatures up."""
+    return F.sum(F.col("signature").cast("decimal(20,0)")).alias("words")
 
 
 def _texts(wholes: DataFrame, messages: DataFrame | None) -> DataFrame:
     """(conversation_id, kind, signature) of all visible texts that take part."""
-    rows = wholes.select("conversation_id", F.lit(WHOLE).alias("kind"), _key("words_{}"))
+    rows = wholes.select("conversation_id", F.lit(WHOLE).alias("kind"), F.col("words").cast(EXACT).alias("signature"))
     if messages is not None:
-        rows = rows.unionByName(messages.select("conversation_id", F.lit(MESSAGE).alias("kind"), _key("signature.{}")))
-    return rows.filter(F.col("signature.n") != 0)
+        rows = rows.unionByName(messages.select("conversation_id", F.lit(MESSAGE).alias("kind"), F.col("signature").cast(EXACT)))
+    return rows.filter("signature <> 0")
 
 
 def suspects(wholes: DataFrame, messages: DataFrame | None, both_ways: bool = False) -> DataFrame | None:
@@ -90,9 +78,9 @@ def suspects(wholes: DataFrame, messages: DataFrame | None, both_ways: bool = Fa
 
 def first_blank(wholes: DataFrame, messages: DataFrame | None) -> Column:
     """The smallest id of a conversation that is blank or, if ``messages`` count, holds a blank one."""
-    rows = wholes.filter("words_n = 0").select("conversation_id")
+    rows = wholes.filter("words = 0").select("conversation_id")
     if messages is not None:
-        rows = rows.unionByName(messages.filter("signature.n = 0").select("conversation_id"))
+        rows = rows.unionByName(messages.filter("signature = 0").select("conversation_id"))
     return rows.agg(F.min("conversation_id")).scalar()
 
 
@@ -252,12 +240,12 @@ def first_occurrence(
     blank_whole = first_blank(wholes, None)
     blank_text = first_blank(wholes, texts)
     if not profile.classic:
-        wholes, texts = wholes.filter("words_n <> 0"), texts.filter("signature.n <> 0")
+        wholes, texts = wholes.filter("words <> 0"), texts.filter("signature <> 0")
 
     # messages among themselves
     place = F.struct("conversation_id", *placing.ORDER, "row")
     firsts = texts.groupBy("text_key").agg(F.min(place).alias("first")).select(F.col("first.row").alias("row"))
-    rows = texts.select("conversation_id", "sent_at", "message_id", "row", "text_key", (F.col("signature.n") == 0).alias("blank"))
+    rows = texts.select("conversation_id", "sent_at", "message_id", "row", "text_key", (F.col("signature") == 0).alias("blank"))
     rows = rows.join(firsts.withColumn("is_first", F.lit(True)), "row", "left")
 
     # whole texts, and messages that read like one
@@ -275,7 +263,7 @@ def first_occurrence(
         rows = rows.join(like_whole, "text_key", "left")
         repeats_whole = F.coalesce(F.col("first_whole") <= F.col("conversation_id"), F.lit(False))
 
-    blank_later = (F.col("words_n") == 0) & (F.col("conversation_id") > blank_text)
+    blank_later = (F.col("words") == 0) & (F.col("conversation_id") > blank_text)
     whole_rows = wholes.select(
         "conversation_id",
         F.lit(WHOLE).alias("kind"),

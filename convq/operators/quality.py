@@ -77,7 +77,7 @@ def message_features(messages: DataFrame, profile: Profile = OPTIMIZED) -> DataF
             "n_stripped": F.length("stripped"),
             "n_norm": F.length("norm"),
             "text_key": dup.text_key(F.col("norm")),
-            "signature": dup.signature("norm"),
+            "signature": dup.signature("norm", profile),
         }
     )
     outer = ["n_chars", "n_lead"] if profile.classic else []
@@ -109,7 +109,7 @@ def conversation_counters(features: DataFrame) -> DataFrame:
         F.count_if(F.col("n_stripped") >= MEANINGFUL).alias("n_meaningful"),
         F.min("sent_at").alias("first_sent_at"),
         *[_count(name) for name in counted],
-        *dup.signature_sum(),
+        dup.signature_sum(),
     )
     return per_text.groupBy("conversation_id").agg(
         F.sum("n_messages").alias("n_messages"),
@@ -117,7 +117,7 @@ def conversation_counters(features: DataFrame) -> DataFrame:
         F.sum("n_meaningful").alias("n_meaningful"),
         F.min("first_sent_at").alias("first_sent_at"),
         *[F.sum(name).alias(f"n_{name}") for name in counted],
-        *dup.summed_signature(),
+        F.sum("words").alias("words"),
         F.max(
             F.when(F.col("text_key").isNotNull(), F.col("n_messages") >= REPEATS).otherwise(False)
         ).alias("repetitive_spam"),
@@ -150,7 +150,7 @@ def gate_counters(features: DataFrame) -> DataFrame:
         F.count("*").alias("n_messages"),
         F.sum("n_stripped").alias("n_stripped"),
         F.count_if(F.col("n_stripped") >= MEANINGFUL).alias("n_meaningful"),
-        *dup.signature_sum(),
+        dup.signature_sum(),
     )
 
 
@@ -195,7 +195,7 @@ def flags_from_features(
         duplicate = F.col("is_repeat").isNotNull()
     if profile.classic:  # here blank texts count as equal
         first = dup.first_blank(counters, features if dedup_scope == "shared" else None)
-        later = (F.col("words_n") == 0) & (F.col("conversation_id") > first)
+        later = (F.col("words") == 0) & (F.col("conversation_id") > first)
         duplicate = duplicate | F.coalesce(later, F.lit(False))
     return _flags_from_counters(rows.withColumn("duplicate", duplicate), profile)
 
@@ -208,7 +208,7 @@ def _joined_chars(features: DataFrame, counters: DataFrame) -> DataFrame:
     """
     few = counters.filter((F.col("n_stripped") < MIN_TEXT) & (F.col("n_meaningful") > 0)).select("conversation_id")
     rows = features.join(few, "conversation_id", "left_semi").withColumn("place", F.struct(*placing.ORDER))
-    visible = F.col("signature.n") > 0
+    visible = F.col("signature") > 0
     trail = F.col("n_chars") - F.col("n_lead") - F.col("n_stripped")
     ends = rows.filter(visible).groupBy("conversation_id").agg(
         F.min(F.struct("place", F.col("n_lead").alias("outside"))).alias("first"),
