@@ -211,6 +211,30 @@ add(
     ),
 )
 
+
+
+def _pulled_by_id(spark, sf):
+    """The copy in buckets, made anew after a second pull."""
+    kept = _earlier_store(spark, sf)
+    kept.compact(buckets=4)
+    kept.refresh(VIEW["conv"](spark, sf))
+    kept.compact(buckets=8)
+    return kept
+
+
+add("incremental_pull_by_id", lambda spark, sf: _pulled_by_id(spark, sf).by_id()[1], ORACLES["incremental_pull"])
+add(
+    "metadata_messages_by_id",
+    lambda spark, sf: joins.metadata_messages(*_pulled_by_id(spark, sf).by_id()),
+    with_sql(
+        duck.rollup_ctes("conv") + "," + EARLIER,
+        f"""select conversation_id, message_count, first_sent_at as first_message_date, message_id, text, type, sent_at
+            from two join (select * exclude (upto) from kept union all
+                select * from m where {duck.in_range()} and conversation_id not in (select conversation_id from early))
+            using (conversation_id)""",
+    ),
+)
+
 # ------------------------------------------- filters, labels and sampling
 
 for name in ("conv", "doc"):
@@ -399,6 +423,31 @@ add(
     _fetched,
     f"with m as ({duck.VIEWS['doc']}) select * from m where {duck.below_rate(SEED, 0.5, 'conversation_id')}",
 )
+
+
+def _fetched_heavy(spark, sf):
+    """The same with the conversations of a hundred messages or more left in place."""
+    m = VIEW["doc"](spark, sf)
+    return joins.fetch_by_ids(m, sampling.percent_sample(m, 0.5), joins.heavy_ids(m, 100))
+
+
+def _sampled_heavy(spark, sf):
+    m = VIEW["doc"](spark, sf)
+    metadata = rollup.conversation_metadata(m)
+    return joins.metadata_messages(metadata, f.date_range_filter(m), joins.heavy_ids(m, 20))
+
+
+add("fetch_by_ids_heavy", _fetched_heavy, ORACLES["fetch_by_ids"])
+add(
+    "metadata_messages_heavy",
+    _sampled_heavy,
+    with_sql(
+        duck.rollup_ctes("doc"),
+        f"""select conversation_id, message_count, first_sent_at as first_message_date, message_id,
+                   text, type, sent_at
+            from two join m using (conversation_id) where {duck.in_range()}""",
+    ),
+)
 add(
     "in_group_having",
     on("conv", joins.in_group_having),

@@ -128,6 +128,34 @@ def test_stream_flags_equal_the_batch_however_files_fall(spark, make, tmp_path,
     assert got.count() == batch.count() == 3 and got.exceptAll(batch).isEmpty()
 
 
+def test_the_copy_by_id_is_read_without_a_shuffle(spark, talks, tmp_path):
+    store = MessageStore(spark, str(tmp_path / "store"))
+    with pytest.raises(ValueError, match="pull messages first"):
+        store.refresh(talks.limit(0))
+        store.compact()
+    store.refresh(talks.filter("conversation_id <= 10"))
+    store.compact(buckets=4)
+    store.refresh(talks)
+    assert store.not_copied().count() == 1 and store.by_id()[1].count() == 25
+    store.compact(buckets=8)
+    assert store.not_copied().isEmpty()
+    for name in (r.name for r in spark.catalog.listTables() if r.name.startswith("messages_")):
+        spark.sql(f"drop table {name}")  # as in a session that did not write them; the files stay
+    metadata, messages = store.by_id()
+    assert messages.count() == talks.count() and messages.exceptAll(store.messages()).isEmpty()
+    assert metadata.exceptAll(store.metadata()).isEmpty() and metadata.count() == 30
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        joined = joins.metadata_messages(metadata, messages)
+        assert "Exchange" not in plan(joined) and joined.count() == talks.count()
+        ids = spark.createDataFrame([(3,), (17,)], "conversation_id bigint")
+        fetched = joins.fetch_by_ids(messages, ids)
+        assert plan(fetched).count("Exchange hashpartitioning") == 1 and fetched.count() == 6  # of the ids alone
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_two_pulls_at_once_store_nothing_twice(spark, talks, tmp_path, monkeypatch):
     store = MessageStore(spark, str(tmp_path))
     store.save_metadata(rollup.conversation_metadata(talks))
