@@ -24,6 +24,7 @@ from convq.operators import placing
 from convq.sources.workspace import stored
 
 WHOLE, MESSAGE = 0, 1
+BROADCAST_IDS = 1_000_000  # of some 16 bytes each
 BROADCAST_SIGNATURES = 100_000  # of some 40 bytes each; more are joined by a shuffle
 
 # ---------------------------------------------------------------- signatures
@@ -181,8 +182,10 @@ def exact_keys(messages: DataFrame, profile: Profile = OPTIMIZED, checked_ids: D
 
 
 def _prints(messages: DataFrame, ids: DataFrame, profile: Profile) -> DataFrame:
-    """Written fingerprints of the messages of some conversations."""
-    chosen = messages.join(ids, "conversation_id", "left_semi")
+    """Written fingerprints of the messages of some conversations; texts of the others are not shuffled
+    as long as the ids are few enough to be broadcast."""
+    ids = stored(ids, "suspects")
+    chosen = messages.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "conversation_id", "left_semi")
     return stored(message_fingerprints(chosen, profile), "fingerprints")
 
 
@@ -254,13 +257,17 @@ def first_occurrence(
     if ids is not None:
         first_whole = F.min(F.when(F.col("kind") == WHOLE, F.col("conversation_id")))
         exact = stored(_exact(_prints(messages, ids, profile), checked_ids, "shared"), "exact")
-        known = exact.groupBy("exact").agg(F.min("conversation_id").alias("first_id"), first_whole.alias("first_whole"))
-        found = exact.join(known.filter("first_whole is not null"), "exact")
-        later = found.filter((F.col("kind") == WHOLE) & (F.col("first_id") < F.col("conversation_id")))
-        wholes = wholes.join(later.select("conversation_id", F.lit(True).alias("later")), "conversation_id", "left")
+        # a row per text; copies find out by their own id or the key of their message
+        known = exact.groupBy("exact").agg(
+            F.min("conversation_id").alias("first_id"), first_whole.alias("first_whole"), F.max("text_key").alias("text_key")
+        )
+        originals = known.filter(F.col("first_id") == F.col("first_whole")).select(F.col("first_whole").alias("conversation_id"))
+        later = exact.filter(F.col("kind") == WHOLE).select("conversation_id").join(originals, "conversation_id", "left_anti")
+        wholes = wholes.join(later.withColumn("later", F.lit(True)), "conversation_id", "left")
         repeated_whole = F.col("later").isNotNull()
-        like_whole = found.filter(F.col("kind") == MESSAGE).groupBy("text_key").agg(F.min("first_whole").alias("first_whole"))
-        rows = rows.join(like_whole, "text_key", "left")
+        like_whole = stored(known.filter("first_whole is not null and text_key is not null").select("text_key", "first_whole"), "like-whole")
+        few = like_whole.count() <= BROADCAST_SIGNATURES
+        rows = rows.join(F.broadcast(like_whole) if few else like_whole, "text_key", "left")
         repeats_whole = F.coalesce(F.col("first_whole") <= F.col("conversation_id"), F.lit(False))
 
     blank_later = (F.col("words") == 0) & (F.col("conversation_id") > blank_text)
