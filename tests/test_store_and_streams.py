@@ -252,3 +252,20 @@ def test_a_snapshot_counts_only_once_it_is_marked(spark, tmp_path):
     assert table.snapshot() == 2 and values(table.read()) == [0, 1, 2, 3, 4]
     table.compact(1)
     assert table.snapshot() == 2
+
+
+def test_a_batch_of_one_file_is_dealt_over_the_cores(spark, make, tmp_path, monkeypatch):
+    m = make({i: ["go to hell now", "12345 678", "fine words"] for i in range(40)}, step=dt.timedelta(days=5))
+    m.coalesce(1).write.parquet(str(tmp_path / "in"))
+    tasks, counts = [], streams.daily_flag_counts
+
+    def counted(rows, profile):
+        tasks.append(rows.select(F.spark_partition_id()).distinct().count())
+        return counts(rows, profile)
+
+    monkeypatch.setattr(streams, "daily_flag_counts", counted)
+    stream = streams.read_messages(spark, str(tmp_path / "in"), m.schema)
+    streams.stream_message_flags(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert tasks and min(tasks) >= spark.sparkContext.defaultParallelism > 1
+    got = streams.read_daily_flag_counts(spark, str(tmp_path / "out"))
+    assert got.exceptAll(counts(m)).isEmpty() and got.count() == counts(m).count()
