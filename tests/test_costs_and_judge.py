@@ -140,3 +140,18 @@ def test_batched_scorer(spark):
     assert [r.response for r in asked.collect()] == ["{}"] * 6
     short = judge.judge_responses(df, lambda prompts: ["{}"], batched=True).collect()
     assert len(short) == 6 and all("1 answers to 6" in r.error for r in short)
+
+
+MOST = 2 << 20  # bytes that a tokenizer or a judge is handed at once
+
+
+def test_a_tokenizer_gets_a_batch_in_slices(spark):
+    def words(texts):
+        if sum(map(len, texts)) > MOST:
+            raise MemoryError("too many texts at once")
+        return [t.split() for t in texts]
+
+    texts = [("word " * 40_000,), (None,), ("",)] * 20 + [("a" * (3 * MOST),)]
+    df = spark.createDataFrame(texts, "text string").coalesce(1)
+    got = [tuple(r.c) for r in df.select(tk.tokenizer_counts(words)("text").alias("c")).collect()]
+    assert got == [(40_000, False), (0, False), (0, False)] * 20 + [(3 * MOST // 4, True)]
