@@ -155,3 +155,30 @@ def test_a_tokenizer_gets_a_batch_in_slices(spark):
     df = spark.createDataFrame(texts, "text string").coalesce(1)
     got = [tuple(r.c) for r in df.select(tk.tokenizer_counts(words)("text").alias("c")).collect()]
     assert got == [(40_000, False), (0, False), (0, False)] * 20 + [(3 * MOST // 4, True)]
+
+
+def test_a_judge_gets_a_batch_in_slices(spark):
+    def scorer(prompts):
+        if sum(map(len, prompts)) > MOST:
+            raise MemoryError("too many prompts at once")
+        return [str(len(p)) for p in prompts]
+
+    frame = len(judge.PROMPT_HEAD + judge.PROMPT_TAIL)
+    rows = [(i, None if i % 10 == 3 else "é" * (i % 10) * 5000) for i in range(300)]
+    df = spark.createDataFrame(rows, "conversation_id int, full_conversation string").coalesce(1)
+    got = {r.conversation_id: (r.response, r.error) for r in judge.judge_responses(df, scorer, batched=True).collect()}
+    assert got == {i: (None, judge.TOO_LONG) if t is None else (str(len(t) + frame), None) for i, t in rows}
+
+
+def test_a_resumed_judge_gets_a_batch_in_slices(spark, tmp_path):
+    from convq.plans.judge_run import JudgeRun
+
+    def scorer(prompts):
+        if sum(map(len, prompts)) > MOST:
+            raise MemoryError("too many prompts at once")
+        return ["{}"] * len(prompts)
+
+    rows = [(i, f"{i} " + "word " * 10_000) for i in range(100)]
+    df = spark.createDataFrame(rows, "conversation_id int, full_conversation string").coalesce(1)
+    got = JudgeRun(str(tmp_path / "run"), 1).responses(df, scorer, batched=True).collect()
+    assert [r.response for r in got] == ["{}"] * 100
