@@ -6,11 +6,11 @@ without plus, digits in odd groups).  Boosted trees judge each candidate by its
 context.  Base matches that pass their checks always stay; another candidate is added if its
 probability reaches the threshold of its kind and it overlaps no better span.
 
-The trees are trained on candidates of a bounded sample of texts.  The checks give the labels,
+The trees are trained on the candidates of all texts, equal ones counted.  The checks give the labels,
 and every base candidate is also shown in a looser spelling under the same label, so that the
 trees learn forms that the base patterns miss.  Loose candidates that the texts themselves hold
 have no label; they count as wrong, which keeps prose that looks like an address out.
-Thresholds are calibrated on texts the trees have not seen, against both; a kind that cannot
+Thresholds are calibrated on the third of the texts the trees have not seen, against both; a kind that cannot
 reach the wanted precision there adds nothing.
 """
 
@@ -18,13 +18,16 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from convq.llm.boosting import Trees, fit_trees
+from convq.llm.boosting import Trees, fit_counted
+from convq.llm.tables import stored
 
 # ---- fixed values: kinds, base patterns, number of digits, words of the context ----
 KINDS = ("email", "ip", "card", "phone")
@@ -44,6 +47,15 @@ LOOSE = {
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[\x20./_-]{1,2}[0-9]{3,6}){2,3}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+])(?:00[0-9]{1,3}[\x20.-]?|[0-9][\x20.-])?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])"),
 }
+#: What a text must hold for a pattern to match, found faster than by the pattern; see ``_matches``.
+NEEDED = {
+    IP: re.compile(r"\.[0-9]++\.[0-9]++\.[0-9]"),
+    LOOSE["ip"]: re.compile(r"[.\[\]]\x20?[0-9]{1,3}\x20?[.\[\]]{1,3}\x20?[0-9]"),
+    LOOSE["card"]: re.compile(r"[0-9]{4}[\x20./_-]{1,2}[0-9]{3}"),
+    LOOSE["phone"]: re.compile(r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-]?[0-9]{4}"),
+}
+AT = re.compile(r"[\x20\[(]at(?=[\x20\])])")
+LOCAL_PART = 64  # of a loose address, at most
 HINTS = {
     "email": ("mail", "contact", "write"),
     "ip": ("ip", "host", "server", "addr"),
@@ -52,8 +64,8 @@ HINTS = {
 }
 # ---- end of fixed values ----
 CONTEXT = 40
-#: At most so many texts, those of the smallest hash of their id, train the trees.
-SAMPLE_ROWS = 4000
+#: Steps between 0 and 1 that thresholds are judged at.
+LEVELS = 10_000
 #: Wanted share of right spans among the added ones, and the least number of them to judge it by.
 PRECISION = 0.98
 LEAST_SEEN = 10
@@ -97,15 +109,42 @@ def _emails(text: str):
         at = text.find("@", free)
 
 
+def _loose_emails(text: str):
+    """Matches of the loose pattern, from one " at " or "[at]" to the next.
+
+    All starts before such a place have the same rest, so the first one decides.
+    """
+    free = 0
+    for at in AT.finditer(text):
+        end = at.start()
+        if text[end] != " " and text[max(end - 1, 0)] == " ":
+            end -= 1
+        start = end
+        while start > max(free, end - LOCAL_PART) and text[start - 1] in EMAIL_LEFT:
+            start -= 1
+        found = LOOSE["email"].match(text, start) if start < end else None
+        if found:
+            yield found
+            free = found.end()
+
+
+def _matches(pattern: re.Pattern, text: str) -> Iterator[re.Match]:
+    """``pattern.finditer``, but in less time where there is little to find."""
+    if pattern is LOOSE["email"]:
+        return _loose_emails(text)
+    needed = NEEDED.get(pattern)
+    return pattern.finditer(text) if needed is None or needed.search(text) else iter(())
+
+
 def candidates(text: str) -> list[tuple[str, int, int, bool, bool]]:
     """``kind, start, end, base, passes``: all matches of the base patterns and of the loose ones."""
     found = [("email", a, b, True, True) for a, b in _emails(text)]
     for kind, pattern in (("ip", IP), ("card", CARD), ("phone", PHONE)):
-        for m in pattern.finditer(text):
+        for m in _matches(pattern, text):
             found.append((kind, m.start(), m.end(), True, valid(kind, m.group())))
     known = {c[:3] for c in found}
     for kind, pattern in LOOSE.items():
-        for m in pattern.finditer(text):
+        for m in _matches(pattern, text):
             if (kind, m.start(), m.end()) not in known:
                 found.append((kind, m.start(), m.end(), False, False))
     return found
@@ -178,42 +217,60 @@ class Model:
     thresholds: dict[str, float]
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Trees and thresholds from the candidates of at most ``sample_rows`` texts.
+EXAMPLES = "fold int, kind string, loose boolean, label boolean, x array<double>, n bigint"
 
-    With candidates of one label only there is nothing to learn, and no span is added.
-    """
-    ids = docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null")
-    rows = texts.join(F.broadcast(ids.distinct()), "doc_id")
 
-    def scan(batches):
+def _count_examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts: Counter = Counter()
+        for text in batch.column("text").to_pylist():
+            found = examples(text)
+            if found:
+                fold = zlib.crc32(text.encode("utf-8", "replace")) % 3
+                counts.update((fold, kind, loose, label, tuple(x)) for kind, loose, label, x in found)
+        if counts:
+            fold, kind, loose, label, x = zip(*counts)
+            types = (pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.float64()), pa.int64())
+            columns = [pa.array(c, t) for c, t in zip((fold, kind, loose, label, x, counts.values()), types)]
+            yield pa.RecordBatch.from_arrays(columns, ["fold", "kind", "loose", "label", "x", "n"])
+
+
+def _levels(trees: Trees):
+    """Loose examples by the level that their score reaches."""
+
+    def score(batches):
         for batch in batches:
-            out = [
-                {"fold": zlib.crc32(text.as_py().encode("utf-8", "replace")) % 3, "kind": k, "loose": loose, "label": y, "x": x}
-                for text in batch.column("text")
-                for k, loose, y, x in examples(text.as_py())
-            ]
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=arrow)
-
-    arrow = pa.schema([("fold", pa.int64()), ("kind", pa.string()), ("loose", pa.bool_()), ("label", pa.bool_()), ("x", pa.list_(pa.float64()))])
-    sample = rows.mapInArrow(scan, "fold bigint, kind string, loose boolean, label boolean, x array<double>").collect()
-    sample.sort(key=lambda r: (r["fold"], r["kind"], r["loose"], r["label"], r["x"]))
-    x, y = np.array([r["x"] for r in sample], float), np.array([r["label"] for r in sample], float)
-    fold = np.array([r["fold"] for r in sample])
-    train = fold < 2
-    if not len(y) or len(set(y[train])) < 2:
+            level = np.floor(trees.probability(np.array(batch.column("x").to_pylist(), float)) * LEVELS)
+            columns = [batch.column("kind"), pa.array(level.astype(np.int64)), batch.column("label"), batch.column("n")]
+            yield pa.RecordBatch.from_arrays(columns, ["kind", "level", "label", "n"])
+
+    return score
+
+
+def fit(docs: DataFrame) -> Model:
+    """Trees and thresholds from the candidates of all texts, on Spark; runs jobs.
+
+    Examples that are equal in all features are one row with a count; they stay on the executors,
+    and sums over them come to the driver.  With candidates of one label only there is nothing
+    to learn, and no span is added.
+    """
+    texts = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null")
+    seen = texts.mapInArrow(_count_examples, EXAMPLES).groupBy("fold", "kind", "loose", "label", "x").agg(F.sum("n").alias("n"))
+    seen = stored(seen, "examples")
+    trees = fit_counted(seen.filter("fold < 2"))
+    if trees is None:
         return Model(None, {})
-    trees = fit_trees(x[train], y[train])
-    thresholds, score = {}, trees.probability(x)
+    unseen = seen.filter("fold = 2 and loose").select("kind", "x", "label", "n")
+    levels = unseen.mapInArrow(_levels(trees), "kind string, level bigint, label boolean, n bigint").groupBy("kind", "level")
+    found = levels.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("label"), F.col("n")).otherwise(0)).alias("right")).collect()
+    thresholds = {}
     for kind in KINDS:
-        seen = np.array([f == 2 and r["kind"] == kind and r["loose"] for f, r in zip(fold, sample)], bool)
-        for level in np.unique(score[seen & (y == 1)]):
-            taken = seen & (score >= level)
-            if taken.sum() >= LEAST_SEEN and y[taken].mean() >= PRECISION:
-                thresholds[kind] = max(0.5, float(level))
-                break
+        rows = sorted(((r["level"], r["n"], r["right"]) for r in found if r["kind"] == kind), reverse=True)
+        taken = good = 0
+        for level, n, right in rows:  # from the best scores down; the lowest level that is good enough stays
+            taken, good = taken + n, good + right
+            if right and taken >= LEAST_SEEN and good / taken >= PRECISION:
+                thresholds[kind] = max(0.5, level / LEVELS)
     return Model(trees, thresholds)
 
 

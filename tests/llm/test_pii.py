@@ -74,3 +74,35 @@ def test_empty(table):
     df = table([], "doc_id bigint, text string")
     model = pii.fit(df)
     assert model.trees is None and pii.with_spans(df, model).count() == 0
+
+
+def test_trees_of_a_counted_table_are_those_of_its_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 4, size=(900, 3)).astype(float)
+    y = (x[:, 0] + x[:, 1] > 3).astype(float)
+    counts = {}
+    for row, label in zip(x.tolist(), y):
+        counts[(bool(label), *row)] = counts.get((bool(label), *row), 0) + 1
+    table = spark.createDataFrame([(k[0], list(k[1:]), n) for k, n in counts.items()], "label boolean, x array<double>, n bigint")
+    want, got = boosting.fit_trees(x, y, trees=4), boosting.fit_counted(table.repartition(3), trees=4)
+    assert got.start == want.start
+    assert np.allclose(got.probability(x), want.probability(x), atol=1e-5)
+    assert boosting.fit_counted(table.filter("label")) is None and boosting.fit_counted(table.limit(0)) is None
+
+
+def test_the_model_learns_from_all_texts(table):
+    rows = corpus(5000)
+    rows.append((None, "an ip 10.1.2.3", "s", 1))
+    model = pii.fit(table(rows, "doc_id bigint, text string, source string, spans int"))
+    labels = [y for r in rows if pii.zlib.crc32(r[1].encode()) % 3 < 2 for _, _, y, _ in pii.examples(r[1])]
+    ones = sum(labels)
+    assert len(labels) > 4000 and np.isclose(model.trees.start, np.log(ones / (len(labels) - ones)))
+
+
+def test_faster_search_finds_what_the_patterns_find():
+    rng = random.Random(3)
+    parts = ["a", "b.c", " ", "at", " at ", " [at] ", "(at)", " dot ", "[dot]", ".", "12", "123", "4567", "-", "(", ")", "/", "+", "00", "[", "]", "@", "x" * 70]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 25)))
+        for pattern in (*pii.LOOSE.values(), pii.IP, pii.CARD, pii.PHONE):
+            assert [m.span() for m in pii._matches(pattern, text)] == [m.span() for m in pattern.finditer(text)]
